@@ -249,9 +249,9 @@ n AS (SELECT count(*)::INTEGER AS n FROM vocab),
 toks AS (
   SELECT d.doc_id, p, {sql_norm('t')} AS token
   FROM ({SQL_LABELLED_DOCS}) d, unnest(regexp_extract_all(d.text, '{sq(tx.NAIVE_TOKEN)}', 0)) WITH ORDINALITY AS u(t, p)),
-ids AS (SELECT toks.doc_id, toks.p, coalesce(vocab.id, n.n) AS id FROM toks CROSS JOIN n LEFT JOIN vocab ON toks.token = vocab.token),
-vec AS (SELECT doc_id, list(id ORDER BY p) AS v FROM ids GROUP BY doc_id)
-SELECT d.doc_id, coalesce(len(v), 0) AS n_tokens, coalesce(len(list_filter(v, lambda x: x = (SELECT n FROM n))), 0) AS n_unk,
+ids AS (SELECT toks.doc_id, toks.p, coalesce(vocab.id, n.n) AS id, vocab.id IS NULL AS unk FROM toks CROSS JOIN n LEFT JOIN vocab ON toks.token = vocab.token),
+vec AS (SELECT doc_id, list(id ORDER BY p) AS v, count(*) FILTER (WHERE unk) AS n_unk FROM ids GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(v), 0) AS n_tokens, coalesce(n_unk, 0)::INTEGER AS n_unk,
        md5(coalesce(array_to_string(v, ','), '')) AS vector_md5
 FROM ({SQL_LABELLED_DOCS}) d LEFT JOIN vec ON d.doc_id = vec.doc_id
 """
@@ -329,7 +329,6 @@ def q_snk_sparse(spark: SparkSession, sf: str) -> DataFrame:
     toks, v = alpha(spark, sf)
     n = v.count()
     counts = vocab.doc_term_counts(toks, v, doc="doc_id")
-    labels = toks.select("doc_id", "label").distinct()
     docs = labelled_docs(spark, sf).select("doc_id", "label")
     return corpus.sparse_rows(counts, docs, n, doc="doc_id")
 
