@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_text"]
+_MODULES = ["q_text", "q_eval"]
 
 
 def catalog() -> dict:
