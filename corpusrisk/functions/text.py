@@ -157,7 +157,7 @@ def find_desc_functions(text) -> Column:
 def fix_commit_hash(url) -> Column:
     """``flt_confirm_fix`` projection: hash (group 4) of a fix-commit URL, null if no match."""
     u = _c(url)
-    return F.when(u.rlike(FIX_COMMIT_URL), F.regexp_extract(u, F.lit(FIX_COMMIT_URL), FIX_COMMIT_GROUP))
+    return F.when(u.rlike(FIX_COMMIT_URL), F.regexp_extract(u, FIX_COMMIT_URL, FIX_COMMIT_GROUP))
 
 
 def split_lines(text) -> Column:
