@@ -84,7 +84,7 @@ def valid_fix_commits(advisories: DataFrame, commits: DataFrame) -> tuple[DataFr
 
 def first_parent(parents: Column) -> Column:
     """``fn_first_parent``: first parent or null."""
-    return F.try_element_at(parents, F.lit(1))
+    return F.get(parents, F.lit(0))  # null when there is no parent
 
 
 # ---------------------------------------------------------------------------------------------- line diff
