@@ -135,9 +135,24 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_content(spark: SparkSession, path: str) -> DataFrame:
-    """``src_content``: one row per file: ``(file, content)`` (whole text)."""
-    df = spark.read.option("wholetext", True).text(path)
-    return df.select(_file_name().alias("file"), F.col("value").alias("content"))
+    """``src_content``: one row per file: ``(file, content)`` (whole text; an empty file keeps an
+    empty row, so it is not mistaken for a missing one)."""
+    df = spark.read.format("binaryFile").load(path)
+    scanned = df.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("content").cast("string").alias("content"))
+    # file scans skip zero-length files: add them back from the listing (names of empty files only)
+    empties = _empty_files(spark, path)
+    if not empties:
+        return scanned
+    return scanned.unionByName(spark.createDataFrame([(n, "") for n in empties], "file string, content string"))
+
+
+def _empty_files(spark: SparkSession, path: str) -> list[str]:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p) or not fs.getFileStatus(p).isDirectory():
+        return []
+    return [st.getPath().getName() for st in fs.listStatus(p) if st.isFile() and st.getLen() == 0]
 
 
 def attach_content(index: DataFrame, content: DataFrame, strict: bool = True) -> DataFrame:
@@ -245,7 +260,7 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.text(path)
     kv = F.split(F.col("value"), ": ?", 2)
     return df.select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("split"), F.trim(kv[0]).alias("key"), F.try_cast(F.trim(kv[1]), "double").alias("value")
+        F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("split"), F.trim(kv[0]).alias("key"), F.trim(kv[1]).try_cast("double").alias("value")
     ).filter(F.col("key") != "")
 
 
