@@ -127,3 +127,72 @@ QUERIES = {
     "ml_ngram_lm": (q_ml_ngram_lm, SQL_ML_NGRAM_LM),
     "ml_ngram_top_next": (q_ml_ngram_top_next, SQL_ML_NGRAM_TOP_NEXT),
 }
+
+
+# ---------------------------------------------------------------------------------------------- batching and sequence models
+
+from corpusrisk.functions import text as tx  # noqa: E402
+from corpusrisk.functions import vectors as vx  # noqa: E402
+from corpusrisk.operators import batching, sequence_model as sqm, vocab  # noqa: E402
+from corpusrisk.plans.q_text import first_seen  # noqa: E402
+from corpusrisk.plans.tables import labelled_docs  # noqa: E402
+
+BATCH, STEPS = 32, 50
+
+
+def classifier_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    v = first_seen(spark, sf)
+    n = v.count()
+    docs = labelled_docs(spark, sf)
+    vec = vocab.vectorise(vocab.explode_tokens(docs, "doc_id", tx.tokenise("text")), v, unk=n, doc="doc_id")
+    lab = docs.select("doc_id", "part", F.when(F.col("label") == "VULNERABLE", 1).otherwise(0).alias("y"))
+    return vec.join(lab, "doc_id"), n
+
+
+def q_fn_chunk(spark: SparkSession, sf: str) -> DataFrame:
+    """``fn_chunk`` + ``fn_pad_right``: labelled documents in batches of 32, right-padded with the
+    pad code to the batch's longest length (rounded up to 50) and cut into chunks of 50."""
+    vec, n = classifier_vectors(spark, sf)
+    b = batching.make_batches(vec.withColumnRenamed("doc_id", "file"), BATCH, STEPS, pad=n + 1, label="y", vector="vector")
+    return b.select("batch", "slot", "file", "y", F.size("chunks").alias("n_chunks"), F.md5(F.array_join(F.flatten("chunks"), ",")).alias("chunks_md5"))
+
+
+def q_fn_doc_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """``fn_doc_chunks``: every corpus document as max(ceil(n/128), 1) rows of 128 ids, zero
+    padding in front."""
+    ids = lm_ids(spark, sf)
+    vec = vocab.regroup(ids, doc="doc_ord", pos="pos", value="id", out="v")
+    rows = vx.front_padded_rows("v", corpus.ROW_LENGTH)
+    return vec.select("doc_ord", F.size(rows).alias("n_rows"), F.md5(F.array_join(F.flatten(rows), ",")).alias("rows_md5"))
+
+
+SQL_FN_DOC_CHUNKS = f"""WITH {SQL_LM_IDS},
+vec AS (SELECT doc_ord, list(id ORDER BY pos) AS v FROM lids GROUP BY doc_ord),
+r AS (SELECT doc_ord, v, greatest(CAST(ceil(len(v) / 128.0) AS BIGINT), 1) AS n_rows FROM vec)
+SELECT doc_ord, n_rows::INTEGER AS n_rows, md5(array_to_string(list_concat(list_resize([]::INTEGER[], n_rows * 128 - len(v), 0), v), ',')) AS rows_md5 FROM r"""
+
+
+def q_ml_sequence(spark: SparkSession, sf: str) -> DataFrame:
+    """``ml_sequence``: weighted n-gram presence classifier over the token-id vectors."""
+    vec, _ = classifier_vectors(spark, sf)
+    vec = vec.withColumnRenamed("doc_id", "file")
+    m, _ = sqm.fit_sequence_classifier(vec.filter(F.col("part") == "train"), vec.filter(F.col("part") == "valid"), "vector", n=3, pos_class_weight=2.0)
+    return m
+
+
+def q_ft_token_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """``ft_token_vectors``: Word2Vec token vectors pooled (mean, sd) per labelled document."""
+    docs = labelled_docs(spark, sf).select("doc_id", tx.tokenise("text").alias("tokens"))
+    vecs = sqm.token_vectors(docs.filter(F.size("tokens") > 0), "tokens")
+    dv = sqm.document_vectors(docs, "doc_id", "tokens", vecs)
+    return dv.select("doc_id", F.size("mean_vector").alias("width"), F.size("sd_vector").alias("sd_width"))
+
+
+QUERIES.update(
+    {
+        "fn_chunk": (q_fn_chunk, None),
+        "fn_doc_chunks": (q_fn_doc_chunks, SQL_FN_DOC_CHUNKS),
+        "ml_sequence": (q_ml_sequence, None),
+        "ft_token_vectors": (q_ft_token_vectors, None),
+    }
+)
