@@ -374,11 +374,14 @@ UNION ALL SELECT doc_id, y FROM neg, cnt WHERE r <= cnt.neg - (cnt.n % {TRIM_BAT
 
 
 def q_smp_exact(spark: SparkSession, sf: str) -> DataFrame:
-    """``smp_exact``: exactly 100 labelled documents without replacement, seeded."""
-    return sm.sample_exact(labels(spark, sf), "doc_id", 100, seed=1).select("doc_id", "label")
+    """``smp_exact``: exactly n = a quarter of the labelled documents, without replacement,
+    seeded (the sample size follows the table so the query runs at every scale)."""
+    lb = labels(spark, sf)
+    return sm.sample_exact(lb, "doc_id", lb.count() // 4, seed=1).select("doc_id", "label")
 
 
-SQL_SMP_EXACT = f"WITH {SQL_LABELS} SELECT doc_id, label FROM lab ORDER BY md5(concat_ws('|', '1', CAST(doc_id AS VARCHAR))), doc_id LIMIT 100"
+SQL_SMP_EXACT = f"""WITH {SQL_LABELS}
+SELECT doc_id, label FROM lab QUALIFY row_number() OVER (ORDER BY md5(concat_ws('|', '1', CAST(doc_id AS VARCHAR))), doc_id) <= (SELECT count(*) // 4 FROM lab)"""
 
 
 def q_smp_shuffle(spark: SparkSession, sf: str) -> DataFrame:
