@@ -113,10 +113,12 @@ def strip_comments(text) -> Column:
     return F.regexp_replace(once, F.lit(J_LITERAL_SPACE), F.lit("$1"))
 
 
-def replace_strings(text) -> Column:
-    """``fn_replace_strings``: every ``"..."`` (stops at the next quote, escaped or not)
-    becomes `` <placeholder> ``."""
-    return F.regexp_replace(_c(text), F.lit(J_STRING), F.lit(f" {STRING_PLACEHOLDER} "))
+def replace_strings(text, c_escapes: bool = False) -> Column:
+    """``fn_replace_strings``: every ``"..."`` becomes `` <placeholder> ``.  By default a literal
+    stops at the next quote, escaped or not (the reference's effective rule); ``c_escapes=True``
+    honours backslash escapes as C does."""
+    pattern = _J_DQ if c_escapes else J_STRING
+    return F.regexp_replace(_c(text), F.lit(pattern), F.lit(f" {STRING_PLACEHOLDER} "))
 
 
 def denoise_tokens(code) -> Column:

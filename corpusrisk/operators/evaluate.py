@@ -136,3 +136,24 @@ def value_at_reference(curve: DataFrame, keys: Sequence[str], reference: DataFra
     return j.groupBy(*keys).agg(
         F.min_by(F.col(variable), F.struct(dist.alias("d"), F.col("is_end").alias("e"), F.col("threshold").alias("t"))).alias("value")
     ).withColumn("metric", F.lit(variable))
+
+
+# Dataset document types and the labels they translate to
+VULNERABLE_FILE, PATCHED_VULNERABLE_FILE = "VULNERABLE_FILE", "PATCHED_VULNERABLE_FILE"
+
+
+def translate_label(doc_type="doc_type") -> Column:
+    """``prj_label_translate``: VULNERABLE_FILE -> VULNERABLE; PATCHED_VULNERABLE_FILE raises;
+    any other type -> NOT_VULNERABLE."""
+    t = _c(doc_type)
+    return (
+        F.when(t == VULNERABLE_FILE, F.lit("VULNERABLE"))
+        .when(t == PATCHED_VULNERABLE_FILE, F.raise_error(F.concat(F.lit("cannot generate label for "), t)))
+        .otherwise(F.lit("NOT_VULNERABLE"))
+    )
+
+
+def strict_lookup(df: DataFrame, lookup: DataFrame, key: str, value: str) -> DataFrame:
+    """``jn_strict_lookup``: left join a label lookup; a key without an entry raises."""
+    j = df.join(lookup.select(key, F.col(value).alias("_lv")), key, "left")
+    return j.withColumn(value, F.coalesce(F.col("_lv"), F.raise_error(F.concat(F.lit("no entry for "), F.col(key).cast("string"))))).drop("_lv")

@@ -202,3 +202,15 @@ def drop_many_commits_rows(fix_rows: DataFrame, max_fix_commits: int = MAX_FIX_C
     advisory (partial aggregation, nothing collected), then keep the small advisories."""
     small = fix_rows.groupBy(key).agg(F.count_distinct(commit).alias("n_commits")).filter(F.col("n_commits") <= max_fix_commits)
     return fix_rows.join(small, key, "left_semi")
+
+
+def flatten_blame_tree(tree: DataFrame) -> dict[str, DataFrame]:
+    """``dif_cve_flatten``: the nested advisory tree (as written by :func:`blame_tree` or read
+    with ``src_blame_json``) back to ``fix_commits`` and ``commit_affected_lines`` rows
+    (``explode`` of the two maps, then ``inline`` of the line structs)."""
+    commits = tree.select("cve_id", F.explode("fix_commits").alias("fix_commit_hash", "d"))
+    files = commits.select("fix_commit_hash", F.explode("d.affected_files").alias("affected_file", "f"))
+    lines = files.select(
+        F.col("fix_commit_hash").alias("affecting_commit_hash"), "affected_file", F.inline("f.blame_lines")
+    ).select("affecting_commit_hash", "affected_file", F.col("line_no").cast("int").alias("affected_line"), F.col("blame_commit").alias("affected_line_blame_commit_hash"))
+    return {"fix_commits": commits.select("cve_id", "fix_commit_hash"), "commit_affected_lines": lines}

@@ -154,8 +154,12 @@ def q_fn_find_all(spark: SparkSession, sf: str) -> DataFrame:
 # counts and vocabularies over the labelled training documents
 
 
-def train_tokens(spark: SparkSession, sf: str, naive: bool = True) -> DataFrame:
-    docs = labelled_docs(spark, sf).filter(F.col("part") == "train")
+def train_tokens(spark: SparkSession, sf: str, vocab_scope: str = "train") -> DataFrame:
+    """Tokens the vocabulary is fitted on: the training part (default) or, with
+    ``vocab_scope='all'``, training and validation rows as the reference's search script does."""
+    docs = labelled_docs(spark, sf)
+    if vocab_scope == "train":
+        docs = docs.filter(F.col("part") == "train")
     return vocab.explode_tokens(docs, "doc_id", tx.tokenise("text"), keep=["label"])
 
 
@@ -431,7 +435,21 @@ SELECT stream, ((n + 127) // 128)::BIGINT AS n_rows, (((n + 127) // 128) // 128)
 """
 
 
+def q_flt_dev_group(spark: SparkSession, sf: str) -> DataFrame:
+    """``flt_dev_group``: each document's seeded group of 100 and its train / validation part."""
+    from corpusrisk.plans.tables import dev_group
+
+    d = load(spark, sf, "documents")
+    g = dev_group()
+    return d.select("doc_id", g.alias("grp"), F.when(g < 80, "train").otherwise("valid").alias("part"))
+
+
+SQL_FLT_DEV_GROUP = """SELECT doc_id, grp, CASE WHEN grp < 80 THEN 'train' ELSE 'valid' END AS part
+FROM (SELECT doc_id, ('0x' || substr(md5(concat_ws('|', '1', CAST(doc_id AS VARCHAR))), 1, 8))::BIGINT % 100 AS grp FROM documents)"""
+
+
 QUERIES = {
+    "flt_dev_group": (q_flt_dev_group, SQL_FLT_DEV_GROUP),
     "vocab_class_counts": (q_vocab_class_counts, SQL_VOCAB_CLASS_COUNTS),
     "fn_tokenise": (q_fn_tokenise, SQL_FN_TOKENISE),
     "fn_normalise": (q_fn_normalise, SQL_FN_NORMALISE),

@@ -119,3 +119,44 @@ def test_changed_lines_match_sequence_matcher_on_simple_edits(spark, a, b):
 def test_deleted_file_counts_empty_tail(spark):
     fv = spark.createDataFrame([("c", "D", "p", None, "a\nb\n", None)], "commit_hash string, change_type string, a_path string, b_path string, a_text string, b_text string")
     assert sorted(r["line_no"] for r in ln.changed_lines(fv).collect()) == [1, 2, 3]
+
+
+def test_blame_tree_json_round_trip(spark, tmp):
+    from corpusrisk.sinks import writers as wr
+
+    fc = spark.createDataFrame([("CVE-9", "c1"), ("CVE-9", "c2")], "cve_id string, fix_commit_hash string")
+    al = spark.createDataFrame([("c1", "a.c", 3, "b3"), ("c1", "a.c", 1, "b1"), ("c1", "b.c", 2, "b2")], "affecting_commit_hash string, affected_file string, affected_line int, affected_line_blame_commit_hash string")
+    cd = spark.createDataFrame([("c1", "2017-01-01T00:00:00+00:00", None)], "commit_hash string, committed_timestamp string, parent_commit_hash string")
+    adv = spark.createDataFrame([("CVE-9", ["c1", "c2"], ["a.c"], ["f"])], "cve_id string, fix_commits array<string>, desc_files array<string>, desc_functions array<string>")
+    tree = ln.blame_tree({"fix_commits": fc, "commit_affected_lines": al, "commit_details": cd}, adv)
+    t = tree.first()
+    assert [x["line_no"] for x in t["fix_commits"]["c1"]["affected_files"]["a.c"]["blame_lines"]] == [1, 3]  # sorted by line
+    assert t["fix_commits"]["c2"]["affected_files"] == {}  # commit without files
+    wr.write_blame_tree(tree, f"{tmp}/tree")
+    back = ln.flatten_blame_tree(tree)
+    assert sorted(map(tuple, back["commit_affected_lines"].collect())) == sorted(map(tuple, al.collect()))
+    assert sorted(map(tuple, back["fix_commits"].collect())) == sorted(map(tuple, fc.collect()))
+    assert rd.read_blame_json(spark, f"{tmp}/tree").count() == 1
+
+
+def test_label_translate_and_strict_lookup(spark):
+    from corpusrisk.operators import evaluate as ev
+
+    df = spark.createDataFrame([("VULNERABLE_FILE",), ("OTHER",)], "t string")
+    assert [r[0] for r in df.select(ev.translate_label("t")).collect()] == ["VULNERABLE", "NOT_VULNERABLE"]
+    with pytest.raises(Exception):
+        spark.createDataFrame([("PATCHED_VULNERABLE_FILE",)], "t string").select(ev.translate_label("t")).collect()
+    idx = spark.createDataFrame([(1,), (2,)], "k int")
+    lk = spark.createDataFrame([(1, "VULNERABLE")], "k int, label string")
+    with pytest.raises(Exception):
+        ev.strict_lookup(idx, lk, "k", "label").collect()
+    assert ev.strict_lookup(idx.filter("k = 1"), lk, "k", "label").first()["label"] == "VULNERABLE"
+
+
+def test_baseline_lines(spark):
+    from corpusrisk.operators import report as rp
+
+    curve = spark.createDataFrame([("r", 100, "precision", 0.5), ("r", 100, "recall", 0.2)], "run string, training_examples int, metric string, score double")
+    stats = spark.createDataFrame([("s", "precision", 0.7), ("s", "recall", 0.4), ("s", "TP", 3.0)], "split string, key string, value double")
+    got = {r["metric"]: r["baseline"] for r in rp.baseline_lines(curve, stats).collect()}
+    assert got == {"precision": 0.7, "recall": 0.4}
