@@ -90,8 +90,10 @@ def tokenise_ops(text) -> Column:
 def normalise(token) -> Column:
     """``fn_normalise`` for one token column."""
     t = _c(token)
+    # NUM_PREFIX matches exactly the tokens whose first character is a decimal digit ("0x.." starts
+    # with 0), so only that character is tested
     return (
-        F.when(t.rlike(NUM_PREFIX), F.lit(NUM_TOKEN))
+        F.when(F.substring(t, 1, 1).rlike(r"^\p{Nd}$"), F.lit(NUM_TOKEN))
         .when(t == F.lit(STRING_PLACEHOLDER), F.lit(STR_TOKEN))
         .otherwise(t)
     )

@@ -10,7 +10,8 @@ from corpusrisk.functions import text as tx
 from corpusrisk.functions import vectors as vx
 from corpusrisk.operators import corpus, vocab
 from corpusrisk.operators.prefix import dense_index
-from corpusrisk.plans.tables import SQL_LABELLED_DOCS, labelled_docs, load
+from corpusrisk.plans.tables import SQL_LABELLED_DOCS, labelled_docs, load, load_text
+from corpusrisk.session import pin
 
 MIN_OCC, MIN_DOCS = 5, 3  # vocabulary thresholds used by the catalogue
 LM_VOCAB_SIZE = 10000  # top VOCAB_SIZE - 2 tokens (0 = padding, n + 1 = unknown)
@@ -110,7 +111,7 @@ SELECT page_id, length(s) AS n_chars, md5(s) AS text_md5 FROM (SELECT page_id, {
 
 
 def q_fn_denoise(spark: SparkSession, sf: str) -> DataFrame:
-    p = load(spark, sf, "pages")
+    p = load_text(spark, sf, "pages", ["page_id", "html"])
     t = tx.denoise_tokens("html")
     return p.select("page_id", F.size(t).alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("code_md5"))
 
@@ -351,9 +352,10 @@ FROM ({SQL_LABELLED_DOCS}) d LEFT JOIN feat ON d.doc_id = feat.doc_id
 
 
 def lm_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    d = load(spark, sf, "documents")
-    lines = d.select("doc_id", tx.corpus_line("text").alias("line"))
-    return dense_index(lines, ["doc_id"], out="doc_ord")
+    d = load_text(spark, sf, "documents", ["doc_id", "text"])
+    # rank the keys only (range sampling reads its input in full), then attach the cleaned lines
+    order = dense_index(d.select("doc_id"), ["doc_id"], out="doc_ord")
+    return pin(d.select("doc_id", tx.corpus_line("text").alias("line")).join(order, "doc_id"))
 
 
 SQL_LM_CORPUS = f"""

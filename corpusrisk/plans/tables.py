@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusrisk.functions import rand
+from corpusrisk.session import spread
 
 DEV_SEED = 1  # flt_dev_group seed
 DEV_TRAIN_GROUPS = 80  # groups < 80 train, >= 80 validation (of 100)
@@ -20,6 +21,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def load_text(spark: SparkSession, sf_dir: str, name: str, cols: list[str]) -> DataFrame:
+    """A text table for regex-heavy work: only the needed columns, spread over the task slots."""
+    return spread(load(spark, sf_dir, name).select(*cols))
+
+
 def label_text(quality) -> F.Column:
     return F.when(quality == 0, F.lit("VULNERABLE")).otherwise(F.lit("NOT_VULNERABLE"))
 
@@ -31,7 +37,7 @@ def dev_group(col: str = "doc_id", seed=DEV_SEED) -> F.Column:
 
 def labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``jn_semi_labels``: documents that have a label row, with label text and dev part."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = load_text(spark, sf_dir, "documents", ["doc_id", "text"])
     labels = load(spark, sf_dir, "labels").select("doc_id", "quality")
     return docs.join(labels, "doc_id").select(
         "doc_id",

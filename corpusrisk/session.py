@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -53,4 +54,16 @@ def pin(df: DataFrame) -> DataFrame:
     """Materialise ``df`` to the reliable checkpoint folder so that partition contents and
     row order stay fixed across the jobs that read it (and survive executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # persist first: the checkpoint write then reads the cached rows instead of recomputing them
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition a scan that has fewer partitions than the cluster has task slots
+    (a small file with few row groups feeding CPU-heavy regex work).  A large input already has
+    at least that many splits, so this is a no-op at scale and adds no shuffle there."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
