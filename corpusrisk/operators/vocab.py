@@ -76,15 +76,20 @@ def topk_vocab(tokens: DataFrame, k: int, doc_ord: str = "doc_ord", pos: str = "
     return ided.select(token, F.col("id").cast("int").alias("id"), "occurrences")
 
 
-def _vocab_side(vocab: DataFrame, max_rows: int = BROADCAST_VOCAB_ROWS) -> DataFrame:
-    """Broadcast the vocabulary only when its size is checked to be below ``max_rows``."""
+def vocab_side(vocab: DataFrame, max_rows: int = BROADCAST_VOCAB_ROWS) -> DataFrame:
+    """The vocabulary as a join side: pinned, and broadcast only when its size is checked to be
+    below ``max_rows``.  Prepare once and pass it to several lookups with ``prepared=True``."""
     pinned = pin(vocab)
     return F.broadcast(pinned) if pinned.count() <= max_rows else pinned
 
 
-def lookup_ids(tokens: DataFrame, vocab: DataFrame, unk: int | Column, token: str = "token", out: str = "id") -> DataFrame:
+_vocab_side = vocab_side
+
+
+def lookup_ids(tokens: DataFrame, vocab: DataFrame, unk: int | Column, token: str = "token", out: str = "id", prepared: bool = False) -> DataFrame:
     """``jn_vocab``: token -> id, a miss -> ``unk``."""
-    v = _vocab_side(vocab.select(F.col(token), F.col("id").alias("_vid")))
+    v = vocab.select(F.col(token), F.col("id").alias("_vid"))
+    v = v if prepared else vocab_side(v)
     u = unk if isinstance(unk, Column) else F.lit(unk)
     return tokens.join(v, token, "left").withColumn(out, F.coalesce(F.col("_vid"), u).cast("int")).drop("_vid")
 
