@@ -99,3 +99,42 @@ def test_best_run_ties_and_zero(spark):
     df = spark.createDataFrame([("s", "b", 0.5), ("s", "a", 0.5), ("t", "x", 0.0)], "split string, run string, average_precision double")
     out = {r["split"]: r["best_run"] for r in rp.best_run(df, ["split"]).collect()}
     assert out == {"s": "a"}
+
+
+def _brute(labels, scores):
+    """Step-wise AP and tie-aware AUC by brute force over all thresholds and pairs."""
+    import numpy as np
+
+    y, s = np.asarray(labels), np.asarray(scores)
+    P, N = y.sum(), len(y) - y.sum()
+    ap, prev_r = 0.0, 0.0
+    for t in sorted(set(s), reverse=True):
+        sel = s >= t
+        tp = (y[sel] == 1).sum()
+        r = tp / P
+        ap += (r - prev_r) * tp / sel.sum()
+        prev_r = r
+    pos, neg = s[y == 1], s[y == 0]
+    auc = sum(((p > neg).sum() + 0.5 * (p == neg).sum()) for p in pos) / (P * N)
+    return ap, auc
+
+
+def test_metrics_on_hot_run_match_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    n = 3000
+    runs = np.where(rng.random(n) < 0.6, "hot", rng.choice(["a", "b"], n))
+    y = (rng.random(n) < 0.3).astype(int)
+    s = np.round(np.clip(rng.normal(0.4 + 0.2 * y, 0.2), 0, 1), 2)  # many ties
+    df = spark.createDataFrame([(str(r), int(i), int(a), float(b)) for i, (r, a, b) in enumerate(zip(runs, y, s))], "run string, id int, label int, score double")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = {r["run"]: r for r in ev.ranking_metrics(ev.curve_points(df, ["run"]), ["run"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    for run in ("hot", "a", "b"):
+        m = runs == run
+        ap, auc = _brute(y[m], s[m])
+        assert got[run]["average_precision"] == pytest.approx(ap, abs=1e-9)
+        assert got[run]["roc_auc"] == pytest.approx(auc, abs=1e-9)

@@ -109,3 +109,13 @@ def test_fix_commit_hash(spark):
 def test_attr_name(spark):
     df = spark.createDataFrame([("a-b.c", 3), ("é_x", 0)], "t string, i int")
     assert [r[0] for r in df.select(tx.attr_name("t", "i")).collect()] == ["feat_a_b_c_3", "feat_é_x_0"]
+
+
+def test_replace_strings_escape_option(spark):
+    cases = ['a "x\\"y" b', '"p" "q"']
+    df = spark.createDataFrame([(c,) for c in cases], "s string")
+    plain = [r[0] for r in df.select(tx.replace_strings("s")).collect()]
+    esc = [r[0] for r in df.select(tx.replace_strings("s", c_escapes=True)).collect()]
+    ph = f" {tx.STRING_PLACEHOLDER} "
+    assert plain[0] == f"a {ph}y\" b" and esc[0] == f"a {ph} b"
+    assert plain[1] == esc[1] == f"{ph} {ph}"
