@@ -124,6 +124,19 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A dataset written by ``writers.write_dataset``: the index (``split``, ``part`` from the
+    partition folders) and the content table keyed by ``file``."""
+    schema = T.StructType(list(INDEX_SCHEMA.fields) + [T.StructField("split", T.StringType()), T.StructField("part", T.StringType())])
+    index = spark.read.schema(schema).option("header", True).csv(f"{path}/index")
+    return index.select("split", "part", "file", "label"), spark.read.parquet(f"{path}/content")
+
+
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """A cleaned corpus written by ``writers.write_corpus``: ``(doc_ord, line)``."""
+    return spark.read.parquet(path)
+
+
 def splits(index: DataFrame) -> DataFrame:
     """``src_splits``: distinct split names that have a training part, sorted as strings."""
     return index.filter((F.col("part") == "train") & F.col("split").isNotNull()).select("split").distinct().orderBy("split")

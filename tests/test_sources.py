@@ -92,3 +92,15 @@ def test_stats_lines_and_resume(spark):
     planned = spark.createDataFrame([("a",), ("b",)], "split string")
     finished = spark.createDataFrame([("a", "r1")], "split string, run string")
     assert [r["split"] for r in wr.pending_splits(planned, finished).collect()] == ["b"]
+
+
+def test_dataset_and_corpus_round_trip(spark, tmp):
+    idx = spark.createDataFrame([("1500", "train", "a", "VULNERABLE"), ("1500", "test", "b", "NOT_VULNERABLE")], "split string, part string, file string, label string")
+    content = spark.createDataFrame([("a", "int a;"), ("b", "")], "file string, content string")
+    wr.write_dataset(idx, content, f"{tmp}/ds")
+    i2, c2 = rd.read_dataset(spark, f"{tmp}/ds")
+    assert sorted(map(tuple, i2.collect())) == sorted(map(tuple, idx.collect()))
+    assert sorted(map(tuple, c2.collect())) == [("a", "int a;"), ("b", "")]
+    corpus = spark.createDataFrame([(0, "x <EOF>"), (1, " <EOF>")], "doc_ord long, line string")
+    wr.write_corpus(corpus, f"{tmp}/corpus")
+    assert sorted(map(tuple, rd.read_corpus(spark, f"{tmp}/corpus").collect())) == [(0, "x <EOF>"), (1, " <EOF>")]
