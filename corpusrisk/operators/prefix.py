@@ -53,7 +53,7 @@ def dense_index(df: DataFrame, order: Sequence, out: str = "idx", num_partitions
         (F.sum("_cr_n").over(Window.orderBy("_cr_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_cr_off"),
     ).fillna(0, subset=["_cr_off"])
     return (
-        pos.join(F.broadcast(offsets), "_cr_pid")
+        pos.join(F.broadcast(offsets), "_cr_pid")  # one row per partition: bounded by the partition count
         .withColumn(out, (F.col("_cr_off") + F.col("_cr_pos") + F.lit(base)).cast("long"))
         .drop("_cr_mid", "_cr_pid", "_cr_pos", "_cr_off")
     )

@@ -12,6 +12,7 @@ from corpusrisk.operators import report as rp
 from corpusrisk.operators import sampling as sm
 from corpusrisk.operators.prefix import dense_index
 from corpusrisk.plans.tables import label_text, load
+from corpusrisk.session import broadcast_if_small
 
 KEYS = ["split", "run"]
 V = rp.VULNERABLE_SHARE * rp.ALERT_UNIVERSE_FILES
@@ -175,7 +176,7 @@ def q_set_union_all(spark: SparkSession, sf: str) -> DataFrame:
     rel = rp.release_numbers(scored(spark, sf))
     model = pr_at_ref(spark, sf).select("split", F.lit("LM").alias("model"), "metric", "score")
     base = rp.unpivot_metrics(baseline(spark, sf), ["split"], ["precision", "recall"]).select("split", F.lit("BASE").alias("model"), "metric", "score")
-    return model.unionByName(base).join(F.broadcast(rel), "split").select("release", "model", "metric", "score")
+    return model.unionByName(base).join(broadcast_if_small(rel), "split").select("release", "model", "metric", "score")
 
 
 SQL_SET_UNION_ALL = f"""WITH {SQL_POINTS}
@@ -194,7 +195,7 @@ def q_rep_split_metrics(spark: SparkSession, sf: str) -> DataFrame:
     rel = rp.release_numbers(scored(spark, sf))
     m = run_metrics(spark, sf)
     long = rp.unpivot_metrics(m, KEYS, ["precision", "recall", "f1", "accuracy", "average_precision", "roc_auc"])
-    return long.join(F.broadcast(rel), "split").select("release", "run", "metric", "score")
+    return long.join(broadcast_if_small(rel), "split").select("release", "run", "metric", "score")
 
 
 SQL_REP_SPLIT_METRICS = f"""WITH {SQL_POINTS},

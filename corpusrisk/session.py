@@ -68,3 +68,11 @@ def spread(df: DataFrame) -> DataFrame:
     at least that many splits, so this is a no-op at scale and adds no shuffle there."""
     slots = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Broadcast ``df`` only after counting it below ``max_rows`` (release lists, per-stream
+    summaries, metric tables); otherwise leave the join strategy to AQE."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= max_rows else df
