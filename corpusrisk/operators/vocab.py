@@ -101,9 +101,9 @@ def regroup(ids: DataFrame, doc: str = "doc", pos: str = "pos", value: str = "id
     return ids.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).alias("v")))), lambda s: s["v"]).alias(out))
 
 
-def vectorise(tokens: DataFrame, vocab: DataFrame, unk: int, doc: str = "doc", pos: str = "pos", token: str = "token") -> DataFrame:
+def vectorise(tokens: DataFrame, vocab: DataFrame, unk: int, doc: str = "doc", pos: str = "pos", token: str = "token", prepared: bool = False) -> DataFrame:
     """``ft_vocab_vectorise`` (apply step): per document the id vector, unknown tokens -> ``unk``."""
-    return regroup(lookup_ids(tokens, vocab, unk, token=token), doc=doc, pos=pos, value="id", out="vector")
+    return regroup(lookup_ids(tokens, vocab, unk, token=token, prepared=prepared), doc=doc, pos=pos, value="id", out="vector")
 
 
 def doc_term_counts(tokens: DataFrame, vocab: DataFrame, doc: str = "doc", token: str = "token") -> DataFrame:

@@ -134,17 +134,15 @@ QUERIES = {
 from corpusrisk.functions import text as tx  # noqa: E402
 from corpusrisk.functions import vectors as vx  # noqa: E402
 from corpusrisk.operators import batching, sequence_model as sqm, vocab  # noqa: E402
-from corpusrisk.plans.q_text import first_seen  # noqa: E402
+from corpusrisk.plans.q_text import labelled_vectors  # noqa: E402
 from corpusrisk.plans.tables import labelled_docs  # noqa: E402
 
 BATCH, STEPS = 32, 50
 
 
 def classifier_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
-    v = first_seen(spark, sf)
-    n = v.count()
+    vec, n = labelled_vectors(spark, sf)
     docs = labelled_docs(spark, sf)
-    vec = vocab.vectorise(vocab.explode_tokens(docs, "doc_id", tx.tokenise("text")), v, unk=n, doc="doc_id")
     lab = docs.select("doc_id", "part", F.when(F.col("label") == "VULNERABLE", 1).otherwise(0).alias("y"))
     return vec.join(lab, "doc_id"), n
 

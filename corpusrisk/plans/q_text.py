@@ -231,14 +231,21 @@ vocab AS (
 SQL_WIN_FIRST_SEEN_ID = f"WITH {SQL_FIRST_SEEN} SELECT token, id FROM vocab"
 
 
+def labelled_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """Every labelled document as ids of the first-seen training vocabulary (unknown = n).  The
+    documents are tokenised once (pinned); the vocabulary is fitted on the training part."""
+    toks = pin(vocab.explode_tokens(labelled_docs(spark, sf), "doc_id", tx.tokenise("text"), keep=["part"]))
+    fitted = vocab.first_seen_vocab(toks.filter(F.col("part") == "train").withColumn("doc_ord", F.col("doc_id")), doc_ord="doc_ord", doc="doc_id", min_occurrences=MIN_OCC, min_documents=MIN_DOCS)
+    v = vocab.vocab_side(fitted.select("token", "id"))
+    n = v.count()
+    return vocab.vectorise(toks, v, unk=n, doc="doc_id", prepared=True), n
+
+
 def q_ft_vocab_vectorise(spark: SparkSession, sf: str) -> DataFrame:
     """``ft_vocab_vectorise`` / ``jn_vocab``: every labelled document (train and valid) as ids of
     the training vocabulary, unknown = n."""
-    v = first_seen(spark, sf)
-    n = v.count()
+    vec, n = labelled_vectors(spark, sf)
     docs = labelled_docs(spark, sf)
-    toks = vocab.explode_tokens(docs, "doc_id", tx.tokenise("text"))
-    vec = vocab.vectorise(toks, v, unk=n, doc="doc_id")
     all_docs = docs.select("doc_id").join(vec, "doc_id", "left").withColumn("vector", F.coalesce("vector", F.array().cast("array<int>")))
     return all_docs.select(
         "doc_id",
@@ -264,11 +271,7 @@ FROM ({SQL_LABELLED_DOCS}) d LEFT JOIN vec ON d.doc_id = vec.doc_id
 
 def q_fn_pad(spark: SparkSession, sf: str) -> DataFrame:
     """``fn_pad``: keep the last SEQ_LEN ids, pad with 0 in front (sequence-classifier input)."""
-    v = first_seen(spark, sf)
-    n = v.count()
-    docs = labelled_docs(spark, sf)
-    toks = vocab.explode_tokens(docs, "doc_id", tx.tokenise("text"))
-    vec = vocab.vectorise(toks, v, unk=n, doc="doc_id")
+    vec, _ = labelled_vectors(spark, sf)
     padded = vx.pad_front(F.col("vector"), SEQ_LEN)
     return vec.select("doc_id", F.size(padded).alias("n"), F.md5(F.array_join(padded, ",")).alias("padded_md5"))
 
