@@ -134,7 +134,8 @@ QUERIES = {
 from corpusrisk.functions import text as tx  # noqa: E402
 from corpusrisk.functions import vectors as vx  # noqa: E402
 from corpusrisk.operators import batching, sequence_model as sqm, vocab  # noqa: E402
-from corpusrisk.plans.q_text import labelled_vectors  # noqa: E402
+from corpusrisk.plans.q_text import SQL_FIRST_SEEN, labelled_vectors, sql_norm, sq  # noqa: E402
+from corpusrisk.plans.tables import SQL_LABELLED_DOCS  # noqa: E402
 from corpusrisk.plans.tables import labelled_docs  # noqa: E402
 
 BATCH, STEPS = 32, 50
@@ -186,9 +187,28 @@ def q_ft_token_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return dv.select("doc_id", F.size("mean_vector").alias("width"), F.size("sd_vector").alias("sd_width"))
 
 
+SQL_FN_CHUNK = f"""
+WITH {SQL_FIRST_SEEN},
+nv AS (SELECT count(*)::INTEGER AS n FROM vocab),
+ld AS ({SQL_LABELLED_DOCS}),
+toks AS (SELECT d.doc_id, p, {sql_norm('t')} AS token FROM ld d, unnest(regexp_extract_all(d.text, '{sq(tx.NAIVE_TOKEN)}', 0)) WITH ORDINALITY AS u(t, p)),
+ids AS (SELECT toks.doc_id, toks.p, coalesce(vocab.id, nv.n) AS id FROM toks CROSS JOIN nv LEFT JOIN vocab ON toks.token = vocab.token),
+vec AS (SELECT doc_id, list(id ORDER BY p) AS v FROM ids GROUP BY doc_id),
+d AS (SELECT vec.doc_id AS file, v, CASE WHEN ld.label = 'VULNERABLE' THEN 1 ELSE 0 END AS y FROM vec JOIN ld USING (doc_id)),
+cnt AS (SELECT count(*) AS n, count(*) FILTER (WHERE y = 0) AS neg FROM d),
+negs AS (SELECT file, row_number() OVER (ORDER BY md5(concat_ws('|', '1', CAST(file AS VARCHAR))), file) - 1 AS r FROM d WHERE y = 0),
+kept AS (SELECT * FROM d WHERE y = 1 UNION ALL SELECT d.* FROM d JOIN negs USING (file) CROSS JOIN cnt WHERE negs.r < cnt.neg - cnt.n % {BATCH}),
+b AS (SELECT *, (row_number() OVER (ORDER BY md5(concat_ws('|', '1', CAST(file AS VARCHAR))), file) - 1) AS q FROM kept),
+bl AS (SELECT q // {BATCH} AS batch, CAST(ceil(max(len(v)) / {STEPS}.0) * {STEPS} AS INTEGER) AS L FROM b GROUP BY q // {BATCH})
+SELECT b.q // {BATCH} AS batch, CAST(b.q % {BATCH} AS INTEGER) AS slot, b.file, b.y, CAST(bl.L / {STEPS} AS INTEGER) AS n_chunks,
+       md5(array_to_string(list_concat(b.v, list_resize([]::INTEGER[], bl.L - len(b.v), (SELECT n + 1 FROM nv))), ',')) AS chunks_md5
+FROM b JOIN bl ON b.q // {BATCH} = bl.batch
+"""
+
+
 QUERIES.update(
     {
-        "fn_chunk": (q_fn_chunk, None),
+        "fn_chunk": (q_fn_chunk, SQL_FN_CHUNK),
         "fn_doc_chunks": (q_fn_doc_chunks, SQL_FN_DOC_CHUNKS),
         "ml_sequence": (q_ml_sequence, None),
         "ft_token_vectors": (q_ft_token_vectors, None),
