@@ -29,3 +29,17 @@ def test_running_sum_descending_order(spark):
     pdf = pd.DataFrame({"k": ["x"] * 6, "s": [0.9, 0.8, 0.7, 0.6, 0.2, 0.1], "v": [1.0, 0, 1, 0, 1, 0]})
     out = running_sum(spark.createDataFrame(pdf), ["k"], [F.desc("s")], ["v"], num_partitions=3).toPandas().sort_values("s", ascending=False)
     assert out["cum_v"].tolist() == [1, 1, 2, 2, 3, 3]
+
+
+def test_sample_exact_equals_ordered_limit(spark):
+    import pytest
+
+    from corpusrisk.operators.sampling import sample_exact, seeded_key
+
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    for n in (1, 250, 4999):
+        got = sorted(r["k"] for r in sample_exact(df, "k", n, seed=5).collect())
+        exp = sorted(r["k"] for r in df.orderBy(seeded_key(5, "k"), "k").limit(n).collect())
+        assert got == exp
+    with pytest.raises(ValueError):
+        sample_exact(df, "k", 5001)
