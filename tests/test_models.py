@@ -112,3 +112,12 @@ def test_ngram_lm_prefers_seen_bigrams(spark):
     assert set(ce) == {0, 1, 2, 3, 4} and all(v < 1.0 for v in ce.values())
     top = {r["v"]: r["top_next"] for r in ngram.top_next(model).collect()}
     assert top[1] == 2 and top[2] == 1
+
+
+def test_objective_history(spark, frames):
+    from pyspark.ml.classification import LogisticRegression
+
+    tr, _ = frames
+    model = LogisticRegression(featuresCol=md.FEATURES, labelCol=md.LABEL, maxIter=5).fit(tr)
+    h = md.objective_history(model)
+    assert len(h) >= 1 and list(h.columns) == ["iteration", "loss"]

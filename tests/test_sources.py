@@ -104,3 +104,16 @@ def test_dataset_and_corpus_round_trip(spark, tmp):
     corpus = spark.createDataFrame([(0, "x <EOF>"), (1, " <EOF>")], "doc_ord long, line string")
     wr.write_corpus(corpus, f"{tmp}/corpus")
     assert sorted(map(tuple, rd.read_corpus(spark, f"{tmp}/corpus").collect())) == [(0, "x <EOF>"), (1, " <EOF>")]
+
+
+def test_predictions_writer_and_time_key(spark, tmp):
+    from pyspark.sql import functions as F
+
+    from corpusrisk.operators.sampling import time_key
+
+    pred = spark.createDataFrame([(1.0, 0.0), (0.0, 0.0)], "prediction double, label double")
+    wr.write_predictions(pred, f"{tmp}/pred")
+    back = spark.read.option("header", True).csv(f"{tmp}/pred")
+    assert back.columns == ["prediction", "label"] and back.count() == 2
+    df = spark.createDataFrame([("Time_1500000000",), ("x",)], "k string")
+    assert [r[0] for r in df.select(time_key("k")).collect()] == ["1500000000", "x"]
