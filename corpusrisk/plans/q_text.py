@@ -232,9 +232,10 @@ SQL_WIN_FIRST_SEEN_ID = f"WITH {SQL_FIRST_SEEN} SELECT token, id FROM vocab"
 
 
 def labelled_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
-    """Every labelled document as ids of the first-seen training vocabulary (unknown = n).  The
-    documents are tokenised once (pinned); the vocabulary is fitted on the training part."""
-    toks = pin(vocab.explode_tokens(labelled_docs(spark, sf), "doc_id", tx.tokenise("text"), keep=["part"]))
+    """Every labelled document as ids of the first-seen training vocabulary (unknown = n); the
+    vocabulary is fitted on the training part.  The tokens are recomputed for the two uses rather
+    than materialised: the exploded token table is several times larger than the text."""
+    toks = vocab.explode_tokens(labelled_docs(spark, sf), "doc_id", tx.tokenise("text"), keep=["part"])
     fitted = vocab.first_seen_vocab(toks.filter(F.col("part") == "train").withColumn("doc_ord", F.col("doc_id")), doc_ord="doc_ord", doc="doc_id", min_occurrences=MIN_OCC, min_documents=MIN_DOCS)
     v = vocab.vocab_side(fitted.select("token", "id"))
     n = v.count()
@@ -406,8 +407,7 @@ SQL_WIN_NEXT_TOKEN = f"WITH {SQL_LM_IDS} SELECT doc_ord, pos, id, next_id FROM n
 def q_win_stream_pack(spark: SparkSession, sf: str) -> DataFrame:
     """``win_stream_pack``: the train and validation token streams cut into rows of 128."""
     c = lm_corpus(spark, sf)
-    ids = corpus.next_token_ids(c, corpus.lm_vocabulary(c, LM_VOCAB_SIZE))
-    rows = corpus.pack_streams(ids, corpus.ROW_LENGTH)
+    rows = corpus.pack_corpus(c, corpus.lm_vocabulary(c, LM_VOCAB_SIZE), corpus.ROW_LENGTH)
     return rows.select(
         "stream", "row", F.size(F.filter("x", lambda v: v != 0)).alias("n_nonzero"), F.md5(F.array_join("x", ",")).alias("x_md5"), F.md5(F.array_join("y", ",")).alias("y_md5")
     )
@@ -427,8 +427,7 @@ SELECT stream, row::BIGINT AS row, len(list_filter(x, lambda v: v <> 0)) AS n_no
 def q_win_full_batches(spark: SparkSession, sf: str) -> DataFrame:
     """``win_full_batches``: per stream the rows, the full batches of 128 rows and rows used."""
     c = lm_corpus(spark, sf)
-    ids = corpus.next_token_ids(c, corpus.lm_vocabulary(c, LM_VOCAB_SIZE))
-    return corpus.batch_summary(corpus.pack_streams(ids, corpus.ROW_LENGTH), corpus.BATCH_SIZE)
+    return corpus.batch_summary(corpus.pack_corpus(c, corpus.lm_vocabulary(c, LM_VOCAB_SIZE), corpus.ROW_LENGTH), corpus.BATCH_SIZE)
 
 
 SQL_WIN_FULL_BATCHES = f"""
