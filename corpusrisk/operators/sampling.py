@@ -85,12 +85,24 @@ def doc_id_hex(h) -> Column:
     return F.lpad(F.lower(F.hex(F.pmod(c.cast("bigint"), F.lit(4294967296)))), 16, "0")
 
 
-def iso_timestamp(ts) -> Column:
-    """``fn_time``: ISO-8601 with offset, microseconds only when non-zero (Python ``isoformat``)."""
-    c = (F.col(ts) if isinstance(ts, str) else ts).cast("timestamp")
-    micros = F.pmod(F.unix_micros(c), F.lit(1000000))
-    frac = F.when(micros != 0, F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))).otherwise(F.lit(""))
-    return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), frac, F.date_format(c, "xxx"))
+def iso_timestamp(ts, naive_utc: bool = True) -> Column:
+    """``fn_time``: ISO-8601 with offset, microseconds only when non-zero (Python ``isoformat``).
+
+    With ``naive_utc`` the input is a wall-clock (``TIMESTAMP_NTZ``) time taken as UTC, and the
+    text does not depend on the session time zone; otherwise the instant is rendered in the
+    session time zone with its offset."""
+    raw = F.col(ts) if isinstance(ts, str) else ts
+    c = raw.cast("timestamp_ntz") if naive_utc else raw.cast("timestamp")
+    micros = F.date_format(c, "SSSSSS")
+    frac = F.when(micros != F.lit("000000"), F.concat(F.lit("."), micros)).otherwise(F.lit(""))
+    offset = F.lit("+00:00") if naive_utc else F.date_format(c, "xxx")
+    return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), frac, offset)
+
+
+def epoch_seconds(ts) -> Column:
+    """Whole seconds since 1970-01-01 of a wall-clock time taken as UTC (session-zone free)."""
+    c = (F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz")
+    return (F.unix_date(F.to_date(c)).cast("long") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)).cast("long")
 
 
 def time_key(name) -> Column:

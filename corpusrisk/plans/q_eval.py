@@ -314,8 +314,7 @@ SQL_PRJ_DOCID = "SELECT o_orderkey, lpad(lower(printf('%x', o_orderkey % 4294967
 
 def q_fn_time(spark: SparkSession, sf: str) -> DataFrame:
     o = load(spark, sf, "orders")
-    epoch = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
-    return o.select("o_orderkey", sm.iso_timestamp("o_orderdate").alias("committed_timestamp"), epoch.alias("epoch_seconds").cast("long"))
+    return o.select("o_orderkey", sm.iso_timestamp("o_orderdate").alias("committed_timestamp"), sm.epoch_seconds("o_orderdate").alias("epoch_seconds"))
 
 
 SQL_FN_TIME = """
