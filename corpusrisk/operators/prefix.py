@@ -23,10 +23,14 @@ from corpusrisk.session import pin
 _POS_BITS = 33  # monotonically_increasing_id: partition id in the upper bits, row number below
 
 
-def _n_parts(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _range(df: DataFrame, cols: list[Column], n: int | None) -> DataFrame:
+    """Range-partition on ``cols`` into ``n`` or ``min(shuffle partitions, 4 x task slots)``
+    partitions: the configured count on a large cluster, without hundreds of near-empty tasks
+    (each pass here runs Python per partition) when a small session keeps the default of 200."""
+    if not n:
+        spark = df.sparkSession
+        n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+    return df.repartitionByRange(n, *cols)
 
 
 def _sort_cols(order: Sequence) -> list[Column]:
@@ -41,7 +45,7 @@ def dense_index(df: DataFrame, order: Sequence, out: str = "idx", num_partitions
     sorted partitions and the partition offsets from a broadcast of one row per partition.
     """
     cols = _sort_cols(order)
-    ranged = pin(df.repartitionByRange(_n_parts(df, num_partitions), *cols).sortWithinPartitions(*cols))
+    ranged = pin(_range(df, cols, num_partitions).sortWithinPartitions(*cols))
     mid = F.monotonically_increasing_id()
     pos = ranged.withColumn("_cr_mid", mid).withColumn("_cr_pid", F.shiftright(F.col("_cr_mid"), _POS_BITS)).withColumn(
         "_cr_pos", F.col("_cr_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))
@@ -77,7 +81,7 @@ def running_sum(
     values = list(values)
     cols = [F.col(k) for k in keys] + _sort_cols(order)
     ranged = pin(
-        df.repartitionByRange(_n_parts(df, num_partitions), *cols).sortWithinPartitions(*cols).withColumn("_cr_pid", F.spark_partition_id())
+        _range(df, cols, num_partitions).sortWithinPartitions(*cols).withColumn("_cr_pid", F.spark_partition_id())
     )
     key_types = {f.name: f.dataType for f in ranged.schema.fields if f.name in keys}
 
