@@ -85,8 +85,8 @@ LEARNING_CURVE_SCHEMA = T.ArrayType(
     )
 )
 
-# Fixed value: the index file name pattern, ``[<split>_]<part>.csv``
-INDEX_NAME = r"^(?:([^_]+)_)?([^_.]+)\.csv$"
+# Fixed value: index file names are ``[<split>_]<part>.csv``; with more underscores the part is
+# the second piece
 
 
 def _file_name() -> F.Column:
@@ -115,10 +115,12 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     """``src_index``: dataset index CSVs (``file,label``) with ``split`` and ``part`` from the file
     name: ``<split>_<part>.csv`` or ``<part>.csv`` (split null)."""
     df = spark.read.schema(INDEX_SCHEMA).option("header", True).csv(path)
-    fn = _file_name()
+    base = F.regexp_replace(_file_name(), r"\.csv", "")
+    pieces = F.split(base, "_")
+    has = F.instr(base, "_") > 0
     return df.select(
-        F.nullif(F.regexp_extract(fn, INDEX_NAME, 1), F.lit("")).alias("split"),
-        F.regexp_extract(fn, INDEX_NAME, 2).alias("part"),
+        F.when(has, F.element_at(pieces, 1)).alias("split"),
+        F.when(has, F.element_at(pieces, 2)).otherwise(base).alias("part"),
         "file",
         "label",
     )
@@ -220,7 +222,10 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """``src_vocab``: one token per line, id = line number starting at 1."""
     from corpusrisk.operators.prefix import dense_index
 
-    lines = spark.read.text(path).select(_file_name().alias("_f"), F.trim(F.col("value")).alias("token"), F.monotonically_increasing_id().alias("_m"))
+    from corpusrisk.functions.text import SPACE
+
+    stripped = F.regexp_replace(F.col("value"), f"^[{SPACE}]+|[{SPACE}]+$", "")
+    lines = spark.read.text(path).select(_file_name().alias("_f"), stripped.alias("token"), F.monotonically_increasing_id().alias("_m"))
     return dense_index(lines, ["_f", "_m"], out="id", base=1).select("token", F.col("id").cast("int").alias("id"))
 
 

@@ -117,3 +117,12 @@ def test_predictions_writer_and_time_key(spark, tmp):
     assert back.columns == ["prediction", "label"] and back.count() == 2
     df = spark.createDataFrame([("Time_1500000000",), ("x",)], "k string")
     assert [r[0] for r in df.select(time_key("k")).collect()] == ["1500000000", "x"]
+
+
+def test_index_name_with_more_underscores_and_vocab_whitespace(spark, tmp):
+    _w(f"{tmp}/i2/a_b_c.csv", "file,label\nx,VULNERABLE\n")
+    r = rd.read_index(spark, f"{tmp}/i2").first()
+    assert (r["split"], r["part"]) == ("a", "b")
+    _w(f"{tmp}/v2.txt", "\tint \r\n;\n\n")
+    got = [tuple(x) for x in rd.read_vocabulary(spark, f"{tmp}/v2.txt").orderBy("id").collect()]
+    assert got[:3] == [("int", 1), (";", 2), ("", 3)]
