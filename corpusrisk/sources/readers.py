@@ -237,16 +237,18 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 # ---------------------------------------------------------------------------------------------- results
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
+def read_runs(spark: SparkSession, path: str, finished_only: bool = True) -> DataFrame:
     """``src_runs``: every ``results_<run>.json`` below ``<split>/``, exploded to scored examples
-    ``(split, run, id, label, score)``; the positional ``[id, label, score]`` triples are cast."""
+    ``(split, run, id, label, score)``; the positional ``[id, label, score]`` triples are cast.
+    With ``finished_only`` only runs listed in the split's ``run_ids.txt`` are read."""
     df = spark.read.schema(RUN_SCHEMA).option("multiLine", True).json(f"{path}/*/results_*.json")
     p = F.col("_metadata.file_path")
-    return df.select(
+    out = df.select(
         F.regexp_extract(p, r"/([^/]+)/results_[^/]+\.json$", 1).alias("split"),
         F.regexp_extract(p, r"results_([^/]+)\.json$", 1).alias("run"),
         F.explode("test.examples").alias("e"),
     ).select("split", "run", F.col("e")[0].alias("id"), F.col("e")[1].cast("int").alias("label"), F.col("e")[2].cast("double").alias("score"))
+    return out.join(finished_runs(spark, path), ["split", "run"], "left_semi") if finished_only else out
 
 
 def read_run_metrics(spark: SparkSession, path: str) -> DataFrame:

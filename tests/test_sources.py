@@ -66,8 +66,10 @@ def test_runs_stats_curves_config(spark, tmp):
     ex = [["f1", 1, 0.9], ["f2", 0, 0.2]]
     _w(f"{tmp}/res/s1/results_r1.json", json.dumps({"test": {"roc_auc": 1.0, "average_precision": 1.0, "precision": 1, "recall": 1, "f1": 1, "accuracy": 1, "confusion_matrix": [[1, 0], [0, 1]], "examples": ex}}))
     _w(f"{tmp}/res/s1/run_ids.txt", "r1\n")
+    _w(f"{tmp}/res/s1/results_r2.json", json.dumps({"test": {"examples": [["f9", 1, 0.5]]}}))  # unfinished: not listed
     runs = sorted(tuple(r) for r in rd.read_runs(spark, f"{tmp}/res").collect())
     assert runs == [("s1", "r1", "f1", 1, 0.9), ("s1", "r1", "f2", 0, 0.2)]
+    assert rd.read_runs(spark, f"{tmp}/res", finished_only=False).count() == 3
     assert [tuple(r) for r in rd.finished_runs(spark, f"{tmp}/res").collect()] == [("s1", "r1")]
     _w(f"{tmp}/stats/s1/stats.txt", "TP: 3\nprecision: 0.75\nF1: NaN\n")
     st = {r["key"]: r["value"] for r in rd.read_stats(spark, f"{tmp}/stats/*/stats.txt").collect()}
