@@ -128,3 +128,13 @@ def test_index_name_with_more_underscores_and_vocab_whitespace(spark, tmp):
     _w(f"{tmp}/v2.txt", "\tint \r\n;\n\n")
     got = [tuple(x) for x in rd.read_vocabulary(spark, f"{tmp}/v2.txt").orderBy("id").collect()]
     assert got[:3] == [("int", 1), (";", 2), ("", 3)]
+
+
+def test_corpus_order_from_archive_members(spark):
+    from corpusrisk.functions import text as tx
+    from corpusrisk.operators.corpus import with_doc_ord
+
+    members = spark.createDataFrame([("b.zip", "x/2.c", "int b;"), ("a.zip", "z/9.c", "/* c */ f();"), ("a.zip", "y/1.c", "")], "archive string, path string, content string")
+    corpus = with_doc_ord(members.select("archive", "path", tx.corpus_line("content").alias("line")), ["archive", "path"])
+    got = [(r["doc_ord"], r["path"], r["line"]) for r in corpus.orderBy("doc_ord").collect()]
+    assert got == [(0, "y/1.c", " <EOF>"), (1, "z/9.c", "f ( ) ; <EOF>"), (2, "x/2.c", "int b ; <EOF>")]
