@@ -45,3 +45,23 @@ def held_out(id_col: str | Column = "doc_id") -> Column:
     """The held-out quarter: crc32 of the id as text, modulo 4, is 2 (null id: false)."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def number_rows(df: DataFrame, order: list[str | Column], label: str, out: str = "idx") -> DataFrame:
+    """Add ``out``: the row's 0-based position in the total order ``order`` (staged).
+
+    Rows are range-sorted; a row's place within its partition is written with it, and the
+    partitions' row counts (one row per partition) give the offsets.  No task holds more than a
+    range partition, however the keys are spread, as long as ``order`` tells rows apart."""
+    from pyspark.sql import Window
+
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    n = shuffle_partitions(df.sparkSession)
+    ranged = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    placed = stage(ranged.withColumn("_mid", F.monotonically_increasing_id()), label)
+    part, pos = F.shiftright("_mid", 33), F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    # one offset per range partition: its size is the configured partition count
+    return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(out, F.col("_off") + pos).drop("_mid", "_part", "_off")

@@ -4,13 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusrisk.llm.byte_bpe import byte_bpe
 from corpusrisk.llm.common import load
 from corpusrisk.llm.exact_dedup import exact_dedup
+from corpusrisk.llm.packing import best_fit_packing
 from corpusrisk.llm.quality_rules import quality_rules
 
 SQL_SPACE = r"[\x20\x09-\x0D]"
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public vocabulary file (never copied)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(load(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = byte_bpe(load(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(load(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "host_docs", "host_failed"
@@ -54,6 +74,8 @@ FROM n
 """
 
 QUERIES = {
+    "op3_best_fit_packing": (op3_best_fit_packing, None),
+    "op5_byte_bpe": (op5_byte_bpe, None),
     "op6_quality_rules": (op6_quality_rules, SQL_OP6),
     "op9_exact_dedup": (op9_exact_dedup, SQL_OP9),
 }
