@@ -65,3 +65,28 @@ def number_rows(df: DataFrame, order: list[str | Column], label: str, out: str =
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     # one offset per range partition: its size is the configured partition count
     return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(out, F.col("_off") + pos).drop("_mid", "_part", "_off")
+
+
+def running_total(df: DataFrame, key: str, order: list[str | Column], value: str, label: str, out: str = "upto") -> DataFrame:
+    """Add ``out``: the running sum of ``value`` (long, inclusive) within ``key`` (not null) in ``order``.
+
+    A key may span any number of range partitions: sums run within (partition, key), and the sums
+    of earlier partitions - one row per partition and key it holds - are added."""
+    from pyspark.sql import Window
+
+    cols = [F.col(key), *(F.col(c) if isinstance(c, str) else c for c in order)]
+    ranged = df.repartitionByRange(shuffle_partitions(df.sparkSession), *cols).sortWithinPartitions(*cols)
+    placed = stage(ranged.withColumn("_mid", F.monotonically_increasing_id()), label).withColumn("_part", F.shiftright("_mid", 33))
+    sums = placed.groupBy("_part", key).agg(F.sum(value).alias("_s"))
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("_part", key, F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_base"))
+    inner = Window.partitionBy("_part", key).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    run = placed.withColumn("_run", F.sum(value).over(inner))
+    return run.join(base, ["_part", key]).withColumn(out, (F.col("_base") + F.col("_run")).cast("long")).drop("_part", "_mid", "_run", "_base")
+
+
+def places(df: DataFrame, key: str, order: list[str | Column], out: str, label: str) -> DataFrame:
+    """Add ``out``: the row's 0-based place within its ``key`` (not null) in ``order``."""
+    rows = number_rows(df, [F.col(key), *order], label, "_g")
+    first = rows.groupBy(key).agg(F.min("_g").alias("_first"))
+    return rows.join(first, key).withColumn(out, F.col("_g") - F.col("_first")).drop("_g", "_first")
