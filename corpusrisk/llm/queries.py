@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusrisk.llm.byte_bpe import byte_bpe
 from corpusrisk.llm.common import load
 from corpusrisk.llm.exact_dedup import exact_dedup
 from corpusrisk.llm.packing import best_fit_packing
 from corpusrisk.llm.quality_rules import quality_rules
+from corpusrisk.llm.sharding import balanced_shards
+from corpusrisk.llm.warc import audited_archive
 
 SQL_SPACE = r"[\x20\x09-\x0D]"
 
@@ -73,7 +76,43 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM n
 """
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_shards(load(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+DRILL = 997  # the audit drill damages the stored copy of pages whose id is 5 modulo this
+
+
+def op10_warc_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive of all pages, written, read back and audited; a drill overwrites the first
+    character of some stored pages, which the audit has to locate among all records."""
+    pages = load(spark, sf_dir, "pages")
+    hurt = (F.col("page_id") % DRILL == 5) & (F.length("html") > 0)
+    stored = pages.withColumn("html", F.when(hurt, F.expr("overlay(html PLACING '~' FROM 1 FOR 1)")).otherwise(F.col("html")))
+    return audited_archive(pages, stored).select(
+        F.col("record_id").alias("page_id"), "url", F.col("idx").alias("record_no"), "offset", "length", "sha256", "status", "replica_sha256"
+    )
+
+
+SQL_OP10 = rf"""
+WITH s AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
+                  CASE WHEN page_id % {DRILL} = 5 AND length(html) > 0 THEN '~' || substr(html, 2) ELSE coalesce(html, '') END AS rot FROM pages),
+c AS (SELECT chr(13) || chr(10) AS nl),
+h AS (SELECT page_id, url, html, rot, nl,
+             'WARC/1.1' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, 'null') || '>' || nl
+             || 'WARC-Date: 1970-01-01T00:00:00Z' || nl || 'WARC-Target-URI: ' || regexp_replace(url, '[
+]', ' ', 'g') || nl
+             || 'Content-Type: text/html' || nl || 'Content-Length: ' AS head FROM s, c),
+r AS (SELECT page_id, url, head || strlen(html) || nl || nl || html || nl || nl AS rec, head || strlen(rot) || nl || nl || rot || nl || nl AS rep FROM h),
+d AS (SELECT page_id, url, strlen(rec)::BIGINT AS length, sha256(rec) AS sha256, sha256(rep) AS replica_sha256 FROM r)
+SELECT page_id, url, row_number() OVER w - 1 AS record_no, (sum(length) OVER (w ROWS UNBOUNDED PRECEDING) - length)::BIGINT AS "offset", length, sha256,
+       CASE WHEN sha256 = replica_sha256 THEN 'intact' ELSE 'changed' END AS status, replica_sha256
+FROM d WINDOW w AS (ORDER BY page_id NULLS FIRST, url, sha256)
+"""
+
 QUERIES = {
+    "op8_sharding": (op8_sharding, None),
+    "op10_warc_fixity_audit": (op10_warc_fixity_audit, SQL_OP10),
     "op3_best_fit_packing": (op3_best_fit_packing, None),
     "op5_byte_bpe": (op5_byte_bpe, None),
     "op6_quality_rules": (op6_quality_rules, SQL_OP6),
