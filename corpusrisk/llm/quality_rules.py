@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusrisk.llm.common import SPACE_CLASS, WORD_CLASS
+from corpusrisk.llm.common import SPACE_CLASS, WORD_CLASS, stage
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -81,23 +81,16 @@ def host_verdicts(failures: DataFrame, max_rate: float = HOST_MAX_RATE) -> DataF
     ``m(1-m)/v - 1`` (at least 1; with no spread, 1000 documents' worth)."""
     hosts = failures.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("failed").cast("long")).alias("host_failed"))
     rate = F.col("host_failed") / F.col("host_docs")
-    prior = hosts.agg(
-        (F.sum("host_failed") / F.sum("host_docs")).alias("m"),
-        F.coalesce(F.var_samp(rate), F.lit(0.0)).alias("v"),
-    ).select("m", F.when(F.col("v") > 0, F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(1.0))).otherwise(F.lit(1000.0)).alias("strength"))
-    shrunk = (F.col("host_failed") + F.col("m") * F.col("strength")) / (F.col("host_docs") + F.col("strength"))
-    # the prior is one row (a global aggregate), so joining it to the hosts multiplies nothing
-    return (
-        hosts.join(F.broadcast(prior))
-        .withColumn("host_rate", shrunk)
-        .select("host", "host_docs", "host_failed", "host_rate", (F.col("host_rate") <= max_rate).alias("host_ok"))
-    )
+    # the prior is one row: it reaches the driver and goes back as two literals
+    mean, spread = hosts.agg(F.sum("host_failed") / F.sum("host_docs"), F.coalesce(F.var_samp(rate), F.lit(0.0))).first()
+    mean = mean or 0.0
+    strength = max(mean * (1 - mean) / spread - 1, 1.0) if spread > 0 else 1000.0
+    shrunk = (F.col("host_failed") + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength))
+    return hosts.select("host", "host_docs", "host_failed", shrunk.alias("host_rate"), (shrunk <= max_rate).alias("host_ok"))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = HOST_MAX_RATE) -> DataFrame:
     """Counts, ``base_failed``, the host's figures and ``kept`` for each row of ``docs``."""
-    from corpusrisk.llm.common import stage
-
     rows = stage(rule_failures(document_counts(docs, id_col, text_col, host_col)), "rule-counts")
     verdict = host_verdicts(rows, max_rate).withColumnRenamed("host", "_host")
     return (
