@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from corpusrisk.llm.byte_bpe import byte_bpe
 from corpusrisk.llm.common import load
 from corpusrisk.llm.exact_dedup import exact_dedup
+from corpusrisk.llm.language_id import language_id
 from corpusrisk.llm.packing import best_fit_packing
+from corpusrisk.llm.quality_classifier import quality_scores
 from corpusrisk.llm.quality_rules import quality_rules
 from corpusrisk.llm.sharding import balanced_shards
+from corpusrisk.llm.simhash import simhash_near_dedup
 from corpusrisk.llm.warc import audited_archive
 
 SQL_SPACE = r"[\x20\x09-\x0D]"
@@ -23,6 +26,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_near_dedup(load(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "component_size")
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(load(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -76,6 +87,10 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM n
 """
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(load(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(load(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
@@ -100,7 +115,7 @@ WITH s AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
 c AS (SELECT chr(13) || chr(10) AS nl),
 h AS (SELECT page_id, url, html, rot, nl,
              'WARC/1.1' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, 'null') || '>' || nl
-             || 'WARC-Date: 1970-01-01T00:00:00Z' || nl || 'WARC-Target-URI: ' || regexp_replace(url, '[
+             || 'WARC-Date: 1970-01-01T00:00:00Z' || nl || 'WARC-Target-URI: ' || regexp_replace(url, '[
 ]', ' ', 'g') || nl
              || 'Content-Type: text/html' || nl || 'Content-Length: ' AS head FROM s, c),
 r AS (SELECT page_id, url, head || strlen(html) || nl || nl || html || nl || nl AS rec, head || strlen(rot) || nl || nl || rot || nl || nl AS rep FROM h),
@@ -111,12 +126,15 @@ FROM d WINDOW w AS (ORDER BY page_id NULLS FIRST, url, sha256)
 """
 
 QUERIES = {
-    "op8_sharding": (op8_sharding, None),
-    "op10_warc_fixity_audit": (op10_warc_fixity_audit, SQL_OP10),
+    "op1_simhash_near_dedup": (op1_simhash_near_dedup, None),
+    "op2_quality_classifier": (op2_quality_classifier, None),
     "op3_best_fit_packing": (op3_best_fit_packing, None),
     "op5_byte_bpe": (op5_byte_bpe, None),
     "op6_quality_rules": (op6_quality_rules, SQL_OP6),
+    "op7_language_id": (op7_language_id, None),
+    "op8_sharding": (op8_sharding, None),
     "op9_exact_dedup": (op9_exact_dedup, SQL_OP9),
+    "op10_warc_fixity_audit": (op10_warc_fixity_audit, SQL_OP10),
 }
 
 
