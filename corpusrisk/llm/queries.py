@@ -14,6 +14,7 @@ from corpusrisk.llm.quality_classifier import quality_scores
 from corpusrisk.llm.quality_rules import quality_rules
 from corpusrisk.llm.sharding import balanced_shards
 from corpusrisk.llm.simhash import simhash_near_dedup
+from corpusrisk.llm.suffix_dedup import suffix_dedup
 from corpusrisk.llm.warc import audited_archive
 
 SQL_SPACE = r"[\x20\x09-\x0D]"
@@ -38,6 +39,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(load(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(load(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -129,6 +134,7 @@ QUERIES = {
     "op1_simhash_near_dedup": (op1_simhash_near_dedup, None),
     "op2_quality_classifier": (op2_quality_classifier, None),
     "op3_best_fit_packing": (op3_best_fit_packing, None),
+    "op4_suffix_array_dedup": (op4_suffix_array_dedup, None),
     "op5_byte_bpe": (op5_byte_bpe, None),
     "op6_quality_rules": (op6_quality_rules, SQL_OP6),
     "op7_language_id": (op7_language_id, None),
