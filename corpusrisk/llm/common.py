@@ -37,6 +37,14 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken, name = {c.lower() for c in df.columns}, f"_{base}"
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -35,12 +35,13 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusrisk.llm.common import shuffle_partitions, stage
+from corpusrisk.llm.common import fresh_name, shuffle_partitions, stage
 
 SPAN = 50
 GRAM = 16
@@ -420,20 +421,21 @@ def whole_characters(raw: bytes, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def suffix_dedup(docs: DataFrame, hot: int = HOT, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: rid (its ``monotonically_increasing_id``), doc_id, n_bytes, n_removed,
-    n_spans, kept_sha256, removed (list of byte ranges) and, ``with_text``, kept_text: the text without
-    the characters that lie wholly in removed ranges (a character cut by an edge stays, as the rest
-    would be no text)."""
-    rows = docs.select(
+def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(
         F.monotonically_increasing_id().alias("rid"),
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("ord"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
+
+
+def suffix_dedup(docs: DataFrame, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: rid (its ``monotonically_increasing_id``), doc_id, n_bytes, n_removed,
+    n_spans, kept_sha256 and removed (list of byte ranges)."""
+    rows = _ordered(docs, id_col, text_col)
     spans = repeated_spans(rows.select("rid", "ord", "text"), hot)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    fields = f"rid long, doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<a:long,b:long>>, kept_text string"
 
     def cut(batches):
         for batch in batches:
@@ -443,17 +445,40 @@ def suffix_dedup(docs: DataFrame, hot: int = HOT, with_text: bool = False, id_co
                 gone = covered([(s["lo"], s["hi"]) for s in some]) if some else []
                 edges = [0, *(x for g in gone for x in g), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                readable = None
-                if with_text:
-                    edges = [0, *(x for a, b in gone for x in whole_characters(raw, a, b)), len(raw)]
-                    readable = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])).decode() if gone else raw.decode()
-                out.append((len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), [{"a": a, "b": b} for a, b in gone], readable))
-            columns = list(zip(*out)) or [()] * 6
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.string()]
+                out.append((len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), [{"a": a, "b": b} for a, b in gone]))
+            columns = list(zip(*out)) or [()] * 5
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, types))],
-                names=["rid", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept_text"],
+                names=["rid", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"],
             )
 
-    out = rows.select("rid", "doc_id", "text").join(spans, "rid", "left").select("rid", "doc_id", "text", "spans").mapInArrow(cut, fields)
-    return out if with_text else out.drop("kept_text")
+    return rows.select("rid", "doc_id", "text").join(spans, "rid", "left").select("rid", "doc_id", "text", "spans").mapInArrow(
+        cut, f"rid long, doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<a:long,b:long>>"
+    )
+
+
+def kept_text(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the characters that lie wholly in the removed byte ranges (one that an edge
+    cuts stays: the rest of it would be no text)."""
+    raw = text.encode()
+    edges = [0, *(x for a, b in covered(spans) for x in whole_characters(raw, a, b)), len(raw)]
+    return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])).decode()
+
+
+def without_repeats(docs: DataFrame, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """``docs`` with all its rows and columns, repeated strings cut out of the texts (and the length in
+    characters counted anew where ``length_col`` is one of its columns)."""
+    rid, found = fresh_name(docs, "rid"), fresh_name(docs, "spans")
+    spans = repeated_spans(_ordered(docs, id_col, text_col).select("rid", "ord", "text"), hot)
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, some: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else kept_text(t, [(x["lo"], x["hi"]) for x in s]) for t, s in zip(text, some)], dtype=object)
+
+    out = docs.withColumn(rid, F.monotonically_increasing_id()).join(spans.select(F.col("rid").alias(rid), F.col("spans").alias(found)), rid, "left")
+    out = out.withColumn(text_col, cut(F.col(text_col), F.col(found)))
+    if length_col in docs.columns:
+        kind = docs.schema[length_col].dataType
+        out = out.withColumn(length_col, F.when(F.col(found).isNull(), F.col(length_col)).otherwise(F.length(text_col).cast(kind)))
+    return out.select(*docs.columns)
