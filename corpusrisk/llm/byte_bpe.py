@@ -184,9 +184,9 @@ def coder(ranks_path: str, pattern: str) -> ByteBPE:
     return ByteBPE(ranks_path, pattern)
 
 
-def text_groups(batch: pa.RecordBatch, chars: int = GROUP_CHARS):
+def text_groups(batch: pa.RecordBatch, chars: int = GROUP_CHARS, as_bytes: bool = False):
     """Slices of a (doc_id, text) batch with about ``chars`` characters each (one text at least)."""
-    texts, start, total = batch.column(1).to_pylist(), 0, 0
+    texts, start, total = (batch.column(1).cast(pa.binary()) if as_bytes else batch.column(1)).to_pylist(), 0, 0
     for i, t in enumerate(texts):
         total += len(t)
         if total >= chars or i + 1 == len(texts):

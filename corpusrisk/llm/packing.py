@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusrisk.llm.common import id_text, number_rows
+from corpusrisk.llm.common import id_text, number_rows, stage
 
 SEQUENCE_TOKENS = 2048
 END_ID = 0
-REMEMBERED = 300_000  # encoded words kept per worker before the table is started anew
+REMEMBERED = 1_000_000  # encoded words kept per worker before the table is started anew
 GROUP_CHARS = 2_000_000
 
 
@@ -95,8 +95,9 @@ class WordCoder:
         for w, core, ending in plain:
             self.known[w] = cores[core] + self.whole(ending) if ending else cores[core]
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        cut = [t.encode().split() for t in texts]  # at the six ASCII spaces; other ones stay inside a word
+    def encode_many(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, given and returned as bytes."""
+        cut = [t.split() for t in texts]  # at the six ASCII spaces; other ones stay inside a word
         if len(self.known) > REMEMBERED:
             self.known.clear()
         self.learn(set().union(*cut).difference(self.known))
@@ -120,7 +121,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE_
     def cut(batches):
         coder = word_coder(tokenizer_path)
         for batch in batches:
-            for ids, texts in text_groups(batch, GROUP_CHARS):
+            for ids, texts in text_groups(batch, GROUP_CHARS, as_bytes=True):
                 rows = [
                     (i, n, s // 4, len(p := c[s : s + 4 * size]) // 4, zlib.crc32(p), p if with_ids else None)
                     for i, c in enumerate(x + end for x in coder.encode_many(texts))
@@ -180,6 +181,8 @@ def best_fit_runs(lengths: dict[int, int], size: int) -> list[tuple[int, int, in
 
 def pack(pieces: DataFrame, size: int = SEQUENCE_TOKENS) -> DataFrame:
     """Add sequence_id and offset (both long) to rows with ``doc_id``, ``piece`` and ``length`` (1 to ``size``)."""
+    # range sorting reads its input twice: tokenise once
+    pieces = stage(pieces, "tokenised")
     order = [F.col("length").desc(), F.col("doc_id"), F.col("piece")]
     ranked = number_rows(pieces, order, "pieces", "_rank")
     # one row per length: at most ``size`` rows
