@@ -120,10 +120,11 @@ def changed_lines(file_versions: DataFrame, keys: tuple[str, ...] = ("commit_has
     paired = new.join(old, keys + ["line", "occ"], "left").select(*keys, "new_no", "old_no")
     n_old = old.groupBy(*keys).agg(F.max("old_no").alias("n_old"))
     before = Window.partitionBy(*keys).orderBy("new_no").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*keys).orderBy("new_no").rowsBetween(1, Window.unboundedFollowing)
+    # looking forward is looking back in descending order: one pass, not a new scan per row
+    after = Window.partitionBy(*keys).orderBy(F.desc("new_no")).rowsBetween(Window.unboundedPreceding, -1)
     gaps = (
         paired.withColumn("prev_old", F.coalesce(F.last("old_no", ignorenulls=True).over(before), F.lit(0)))
-        .withColumn("next_old", F.first("old_no", ignorenulls=True).over(after))
+        .withColumn("next_old", F.last("old_no", ignorenulls=True).over(after))
         .filter(F.col("old_no").isNull())
         .join(n_old, keys, "left")
         .withColumn("next_old", F.coalesce(F.col("next_old"), F.coalesce(F.col("n_old"), F.lit(0)) + 1))

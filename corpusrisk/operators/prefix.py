@@ -4,7 +4,7 @@ A window with no ``partitionBy`` (or one whose key holds a third of all rows) ru
 Both helpers here instead range-partition on ``keys + order`` (the range sampler spreads a hot
 key over many partitions), pin that layout with a reliable checkpoint, compute per-partition
 totals (one small row per partition), turn them into carry-in offsets, and add the offsets in a
-second pass over the pinned partitions.  Work and memory per task stay bounded by the partition
+second pass over the pinned rows.  Work and memory per task stay bounded by the partition
 size whatever the key skew.
 """
 
@@ -12,11 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusrisk.session import pin
 
@@ -24,13 +21,8 @@ _POS_BITS = 33  # monotonically_increasing_id: partition id in the upper bits, r
 
 
 def _range(df: DataFrame, cols: list[Column], n: int | None) -> DataFrame:
-    """Range-partition on ``cols`` into ``n`` or ``min(shuffle partitions, 4 x task slots)``
-    partitions: the configured count on a large cluster, without hundreds of near-empty tasks
-    (each pass here runs Python per partition) when a small session keeps the default of 200."""
-    if not n:
-        spark = df.sparkSession
-        n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
-    return df.repartitionByRange(n, *cols)
+    """Range-partition on ``cols`` into ``n`` or the session's configured shuffle partitions."""
+    return df.repartitionByRange(n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
 
 
 def _sort_cols(order: Sequence) -> list[Column]:
@@ -74,98 +66,32 @@ def running_sum(
     """Add ``cum_<v>`` = inclusive running sum of ``v`` within each ``keys`` group in ``order``.
 
     Equivalent to ``sum(v).over(partitionBy(keys).orderBy(order).rowsBetween(unbounded, 0))``,
-    but a key may span any number of partitions.  ``order`` must be total within a key.
-    Values are summed as doubles (counts stay exact below 2^53).
-    """
-    keys = list(keys)
-    values = list(values)
+    null keys being a group of their own, but a key may span any number of partitions.  ``order``
+    must be total within a key (aggregate equal values first), or ties share a partition.  Values
+    are summed as doubles (counts stay exact below 2^53).
+
+    Rows are pinned in range order; sums run inside each (partition, key), and what earlier
+    partitions hold of a key is carried in: at most one key per partition goes on from the one
+    before it, so the carry table has at most one row per partition."""
+    keys, values = list(keys), list(values)
     cols = [F.col(k) for k in keys] + _sort_cols(order)
-    ranged = pin(
-        _range(df, cols, num_partitions).sortWithinPartitions(*cols).withColumn("_cr_pid", F.spark_partition_id())
-    )
-    key_types = {f.name: f.dataType for f in ranged.schema.fields if f.name in keys}
-
-    # pass 1: for every partition its first key, last key, and totals of the last key's rows
-    stat_schema = T.StructType(
-        [T.StructField("_cr_pid", T.IntegerType())]
-        + [T.StructField("first_" + k, key_types[k]) for k in keys]
-        + [T.StructField("last_" + k, key_types[k]) for k in keys]
-        + [T.StructField("one_key", T.BooleanType())]
-        + [T.StructField("tot_" + v, T.DoubleType()) for v in values]
-    )
-
-    def _segments(b: pd.DataFrame) -> np.ndarray:
-        """Segment number of each row: a new segment starts where the key changes."""
-        if not keys:
-            return np.zeros(len(b), dtype=np.int64)
-        k = b[keys]
-        chg = k.ne(k.shift()).any(axis=1).to_numpy()
-        chg[0] = True
-        return np.cumsum(chg) - 1
-
-    def _key_at(b: pd.DataFrame, i: int) -> tuple:
-        return tuple(b[k].iloc[i] for k in keys)
-
-    def _stats(batches):
-        pid, first, last, one_key, tot = None, None, None, True, np.zeros(len(values))
-        for b in batches:
-            if b.empty:
-                continue
-            pid = int(b["_cr_pid"].iloc[0])
-            seg = _segments(b)
-            vals = b[values].to_numpy(dtype="float64", na_value=0.0)
-            head, tail = _key_at(b, 0), _key_at(b, len(b) - 1)
-            if first is None:
-                first = head
-            continues = last is not None and head == last
-            if seg[-1] > 0 or (last is not None and not continues):
-                one_key = False
-            tail_sum = vals[seg == seg[-1]].sum(axis=0)
-            tot = (tot + tail_sum) if (seg[-1] == 0 and continues) else tail_sum
-            last = tail
-        if pid is None:
-            return
-        row = {"_cr_pid": [pid], "one_key": [one_key]}
-        for i, k in enumerate(keys):
-            row["first_" + k] = [first[i]]
-            row["last_" + k] = [last[i]]
-        for i, v in enumerate(values):
-            row["tot_" + v] = [float(tot[i])]
-        yield pd.DataFrame(row)[[f.name for f in stat_schema.fields]]
-
-    stats = ranged.mapInPandas(_stats, stat_schema).orderBy("_cr_pid").collect()  # one row per partition
-    carry: dict[int, tuple] = {}
-    prev_last, prev_out = None, None
-    for r in stats:
-        first_key = tuple(r["first_" + k] for k in keys)
-        carry_in = prev_out if (prev_last is not None and first_key == prev_last) else np.zeros(len(values))
-        carry[r["_cr_pid"]] = (first_key, carry_in.copy())
-        tot = np.array([r["tot_" + v] for v in values])
-        prev_out = carry_in + tot if r["one_key"] else tot
-        prev_last = tuple(r["last_" + k] for k in keys)
-
-    out_schema = T.StructType(
-        [f for f in ranged.schema.fields if f.name != "_cr_pid"] + [T.StructField(out_prefix + v, T.DoubleType()) for v in values]
-    )
-
-    # pass 2: per-segment cumulative sums, seeded with the carry-in of the partition's first key
-    def _accumulate(batches):
-        run_key, run = None, None
-        for b in batches:
-            if b.empty:
-                continue
-            if run is None:
-                run_key, run = carry.get(int(b["_cr_pid"].iloc[0]), (None, np.zeros(len(values))))
-            seg = _segments(b)
-            vals = pd.DataFrame(b[values].to_numpy(dtype="float64", na_value=0.0))
-            cum = vals.groupby(seg).cumsum().to_numpy()
-            if _key_at(b, 0) == run_key:
-                cum[seg == 0] += run
-            last_seg = seg == seg[-1]
-            run_key, run = _key_at(b, len(b) - 1), cum[last_seg][-1].copy()
-            res = b.drop(columns=["_cr_pid"])
-            for i, v in enumerate(values):
-                res[out_prefix + v] = cum[:, i]
-            yield res
-
-    return ranged.mapInPandas(_accumulate, out_schema)
+    mid = F.monotonically_increasing_id()
+    ranged = pin(_range(df, cols, num_partitions).sortWithinPartitions(*cols).withColumn("_cr_mid", mid))
+    placed = ranged.withColumn("_cr_pid", F.shiftright("_cr_mid", _POS_BITS))
+    num = {v: F.coalesce(F.col(v).cast("double"), F.lit(0.0)) for v in values}
+    sums = placed.groupBy("_cr_pid", *keys).agg(*[F.sum(num[v]).alias(f"_cr_s_{i}") for i, v in enumerate(values)])
+    earlier = Window.partitionBy(*keys).orderBy("_cr_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.select(
+        F.col("_cr_pid").alias("_cr_cpid"),
+        *[F.col(k).alias(f"_cr_k_{i}") for i, k in enumerate(keys)],
+        *[F.sum(f"_cr_s_{i}").over(earlier).alias(f"_cr_c_{i}") for i in range(len(values))],
+    ).filter(F.col("_cr_c_0").isNotNull())
+    inner = Window.partitionBy("_cr_pid", *keys).orderBy("_cr_mid").rowsBetween(Window.unboundedPreceding, 0)
+    run = placed.select("*", *[F.sum(num[v]).over(inner).alias(f"_cr_r_{i}") for i, v in enumerate(values)])
+    same = F.col("_cr_pid") == F.col("_cr_cpid")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_cr_k_{i}"))
+    # bounded: at most one row per range partition
+    out = run.join(F.broadcast(carry), same, "left")
+    total = lambda i: F.col(f"_cr_r_{i}") + F.coalesce(F.col(f"_cr_c_{i}"), F.lit(0.0))
+    return out.select(*df.columns, *[total(i).alias(out_prefix + v) for i, v in enumerate(values)])

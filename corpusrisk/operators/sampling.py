@@ -16,8 +16,6 @@ from corpusrisk.operators.prefix import dense_index
 
 # Generated-data split fractions (train / valid / test by position)
 TRAIN_FRACTION, VALID_END_FRACTION = 0.6, 0.8
-# Releases are broadcast to the range join only below this count (checked)
-MAX_BROADCAST_RELEASES = 100_000
 
 
 def seeded_key(seed, id_col: str) -> Column:
@@ -117,13 +115,12 @@ def release_years(df: DataFrame, time_col: str) -> DataFrame:
 
 def time_split(df: DataFrame, time_col: str) -> DataFrame:
     """``ml_time_split``: for every release year, rows of earlier years are ``train`` and rows of
-    that year ``test``.  Range join against the release list, broadcast after a size check."""
-    rel = release_years(df, time_col)
-    n_rel = rel.count()
-    side = F.broadcast(rel) if n_rel <= MAX_BROADCAST_RELEASES else rel
-    yr = F.year(time_col)
-    return df.join(side, yr <= F.col("_yr")).select(
-        *df.columns, F.col("_yr").cast("string").alias("split"), F.when(yr < F.col("_yr"), "train").otherwise("test").alias("part")
+    that year ``test``.  Every year is paired with itself and the later release years on the
+    table of distinct years (a few rows), and rows join those pairs by equality."""
+    later = Window.orderBy("_yr").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    pairs = release_years(df, time_col).filter(F.col("_yr").isNotNull()).select("_yr", F.collect_list("_yr").over(later).alias("_later")).select("_yr", F.explode("_later").alias("_release"))
+    return df.withColumn("_yr", F.year(time_col)).join(pairs, "_yr").select(
+        *df.columns, F.col("_release").cast("string").alias("split"), F.when(F.col("_yr") < F.col("_release"), "train").otherwise("test").alias("part")
     )
 
 

@@ -128,13 +128,18 @@ vol2 AS (SELECT *, CASE WHEN precision >= {rp.MIN_PRECISION} THEN true_positives
 SQL_FN_ALERT_VOLUME = f"WITH {SQL_POINTS}, {SQL_ALERT} SELECT split, run, threshold, true_positives, false_positives FROM vol2"
 
 
+def _mean(c: str) -> str:
+    """The exact mean of ``report.exact_mean`` in SQL."""
+    return f"(sum(CAST(round({c} * {rp.MEAN_UNIT!r}) AS DECIMAL(38, 0)))::DOUBLE / count({c}) / {rp.MEAN_UNIT!r})"
+
+
 def q_rep_alert_volume(spark: SparkSession, sf: str) -> DataFrame:
     """``rep_alert_volume`` (+ ``agg_threshold_mean``): mean curve and volumes per threshold over runs."""
     return rp.threshold_means(rp.alert_volume(curve(spark, sf)), ["split"])
 
 
 SQL_REP_ALERT_VOLUME = f"""WITH {SQL_POINTS}, {SQL_ALERT}
-SELECT split, threshold, avg(precision) AS precision, avg(recall) AS recall, avg(true_positives) AS true_positives, avg(false_positives) AS false_positives
+SELECT split, threshold, {_mean('precision')} AS precision, {_mean('recall')} AS recall, {_mean('true_positives')} AS true_positives, {_mean('false_positives')} AS false_positives
 FROM vol2 GROUP BY split, threshold"""
 
 

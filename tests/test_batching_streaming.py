@@ -1,4 +1,4 @@
-"""The batching docstring example, vector helpers, and the streaming corpus cleaner."""
+"""Batching, vector helpers, and the streaming corpus cleaner."""
 
 import os
 
@@ -12,16 +12,17 @@ from corpusrisk.streaming.corpus_stream import clean_corpus_stream
 _ = None
 
 
-def test_make_batches_docstring_example(spark):
-    docs = [(1, list(range(1, 8)), 0), (2, [8, 9, 10, 11], 1), (3, [12, 13, 14, 15, 16], 0), (4, [17, 18], 0)]
+def test_make_batches_pads_to_the_longest_of_a_batch(spark):
+    docs = [(10, [5, 5, 6], 0), (11, [40], 1), (12, [21, 22, 23, 24, 25], 0), (13, [31, 32], 0), (14, [], 0), (15, [9, 8], 1)]
     df = spark.createDataFrame(docs, "file int, vectors array<int>, label int")
-    b = batching.make_batches(df, batch_size=2, steps=3, pad=-1, order="file").orderBy("batch", "slot").collect()
-    got = [(r["batch"], r["file"], r["chunks"]) for r in b]
-    assert got == [
-        (0, 1, [[1, 2, 3], [4, 5, 6], [7, -1, -1]]),
-        (0, 2, [[8, 9, 10], [11, -1, -1], [-1, -1, -1]]),
-        (1, 3, [[12, 13, 14], [15, 16, -1]]),
-        (1, 4, [[17, 18, -1], [-1, -1, -1]]),
+    b = batching.make_batches(df, batch_size=3, steps=2, pad=-7, order="file").orderBy("batch", "slot").collect()
+    assert [(r["batch"], r["file"], r["chunks"]) for r in b] == [
+        (0, 10, [[5, 5], [6, -7], [-7, -7]]),
+        (0, 11, [[40, -7], [-7, -7], [-7, -7]]),
+        (0, 12, [[21, 22], [23, 24], [25, -7]]),
+        (1, 13, [[31, 32]]),
+        (1, 14, [[-7, -7]]),
+        (1, 15, [[9, 8]]),
     ]
 
 
