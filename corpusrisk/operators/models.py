@@ -34,6 +34,14 @@ from corpusrisk.session import pin
 
 FEATURES, LABEL, WEIGHT = "features", "label", "weight"
 
+# Defaults; every one is a spec entry or an argument.  A forest grows to the greatest depth Spark
+# builds; boosted trees stay small, as each only mends what the others leave.
+FOREST_TREES, FOREST_DEPTH, BOOSTED_DEPTH, TREE_BINS = 100, 30, 5, 32
+BOOSTING_ROUNDS = 50
+SEARCH_TRIALS = 100
+RUNS_PER_SPLIT = 10
+LEARNING_CURVE_RUNS, LEARNING_CURVE_SIZES = 50, (100, 500, 1000, 2000, 5000, 10000)
+
 
 # ---------------------------------------------------------------------------------------------- data
 
@@ -66,6 +74,7 @@ def make_estimator(spec: dict, n_rows: float | None = None, seed: int = 1):
     """``ml_fit_eval`` factory: spec -> Spark ML estimator; an unknown type raises."""
     t = spec.get("type")
     common = dict(featuresCol=FEATURES, labelCol=LABEL)
+    tree = dict(maxDepth=int(spec.get("max_depth", FOREST_DEPTH if t == "RandomForest" else BOOSTED_DEPTH)), maxBins=int(spec.get("max_bins", TREE_BINS)))
     if t == "NaiveBayes":
         return NaiveBayes(modelType="gaussian", weightCol=WEIGHT, **common)
     if t == "LR":
@@ -74,10 +83,10 @@ def make_estimator(spec: dict, n_rows: float | None = None, seed: int = 1):
         l1 = spec.get("penalty", "l2") == "l1"
         return LogisticRegression(regParam=reg, elasticNetParam=1.0 if l1 else 0.0, standardization=False, weightCol=WEIGHT, maxIter=200, **common)
     if t == "RandomForest":
-        return RandomForestClassifier(numTrees=int(spec["n_estimators"]), impurity=spec.get("criterion", "gini"), weightCol=WEIGHT, seed=seed, **common)
+        return RandomForestClassifier(numTrees=int(spec.get("n_estimators", FOREST_TREES)), impurity=spec.get("criterion", "gini"), weightCol=WEIGHT, seed=seed, **tree, **common)
     if t == "GBT":
         extra = {"validationIndicatorCol": spec["validation_col"]} if spec.get("validation_col") else {}
-        return GBTClassifier(maxIter=int(spec.get("n_estimators", 20)), weightCol=WEIGHT, seed=seed, **extra, **common)
+        return GBTClassifier(maxIter=int(spec.get("n_estimators", FOREST_TREES)), weightCol=WEIGHT, seed=seed, **tree, **extra, **common)
     if t in ("SVM", "AdaBoost"):
         return spec  # trained by fit_svm / fit_adaboost below
     raise ValueError(f"invalid classifier type in spec: {spec}")
@@ -93,7 +102,7 @@ def fit_predict(train: DataFrame, test: DataFrame, spec: dict, seed: int = 1) ->
     if t == "SVM":
         return fit_svm(train, test, spec, seed)
     if t == "AdaBoost":
-        return fit_adaboost(train, test, int(spec["n_estimators"]), seed)
+        return fit_adaboost(train, test, int(spec.get("n_estimators", BOOSTING_ROUNDS)), seed)
     n = train.agg(F.sum(WEIGHT)).first()[0] if t == "LR" else None
     model = make_estimator(spec, n, seed).fit(train)
     return _p1(model.transform(test)).select("file", LABEL, "score")
@@ -222,23 +231,36 @@ def trial_table(spark, space: dict, n_trials: int, seed: int = 1) -> DataFrame:
     return t
 
 
-def random_search(train: DataFrame, valid: DataFrame, trials: DataFrame, to_spec, seed: int = 1) -> DataFrame:
-    """``ml_random_search``: run every trial (each trains on the cluster) and record AP; a
-    failing trial is recorded with its error and skipped.  The trial table is small (the
-    number of trials), so it is iterated on the driver; the data never is."""
-    out = []
-    for row in trials.orderBy("trial").collect():
+def reweighted(frame: DataFrame, pos_class_weight: float) -> DataFrame:
+    """``frame`` with its weight column drawn anew for another weight of class 1."""
+    return frame.withColumn(WEIGHT, ev.sample_weight(LABEL, float(pos_class_weight)))
+
+
+def random_search(train: DataFrame, valid: DataFrame, trials: DataFrame, to_spec, seed: int = 1, parallelism: int = 4) -> DataFrame:
+    """``ml_random_search``: run every trial (each trains on the cluster, ``parallelism`` of them at
+    a time) and record AP.  A trial's ``pos_class_weight``, where its spec has one, weighs its
+    training rows.  A spec that no estimator takes is recorded with its error and skipped; any
+    other failure - a lost executor, memory - ends the search, as does a search without a result.
+    The trial table is small (the number of trials), so the driver goes through it, never the data."""
+    from multiprocessing.pool import ThreadPool
+
+    def one(row) -> tuple:
         spec = to_spec(row.asDict())
         try:
-            m, _ = train_and_evaluate(train, valid, spec, seed)
-            r = m.first()
-            out.append((int(row["trial"]), str(spec), float(r["average_precision"]), None))
-        except Exception as e:  # noqa: BLE001 - failed trials are recorded and skipped
-            out.append((int(row["trial"]), str(spec), None, str(e)[:200]))
+            data = reweighted(train, spec["pos_class_weight"]) if "pos_class_weight" in spec else train
+            m, _ = train_and_evaluate(data, valid, spec, seed)
+            return int(row["trial"]), str(spec), float(m.first()["average_precision"]), None
+        except (ValueError, KeyError, TypeError) as e:
+            return int(row["trial"]), str(spec), None, str(e)
+
+    with ThreadPool(parallelism) as pool:
+        out = pool.map(one, trials.orderBy("trial").collect())
+    if out and all(r[2] is None for r in out):
+        raise ValueError(f"every trial failed; the first: {out[0][3]}")
     return train.sparkSession.createDataFrame(out, "trial long, spec string, average_precision double, error string")
 
 
-def repeat_runs(train: DataFrame, test: DataFrame, spec: dict, runs: int, split: str) -> tuple[DataFrame, DataFrame]:
+def repeat_runs(train: DataFrame, test: DataFrame, spec: dict, runs: int = RUNS_PER_SPLIT, split: str = "") -> tuple[DataFrame, DataFrame]:
     """``ml_repeat_runs``: k runs of one spec on prepared (pinned) data, seed = run number;
     ``(metrics per run, examples per run)`` with a reproducible run id."""
     from corpusrisk.operators.report import run_id
@@ -254,15 +276,21 @@ def repeat_runs(train: DataFrame, test: DataFrame, spec: dict, runs: int, split:
     return union(metrics), union(examples)
 
 
-def learning_curve(train: DataFrame, test: DataFrame, spec: dict, sizes: Sequence[int], runs: int, seed: int = 1) -> DataFrame:
-    """``ml_learning_curve``: for every run and training size, an exact seeded sample of that
-    size (nested across sizes: the smallest hashes) -> fit -> test precision and recall."""
+def run_samples(train: DataFrame, seed: int, run: int) -> DataFrame:
+    """``train`` with ``_r``, the 1-based rank of each row in this run's own random order."""
     from corpusrisk.operators.prefix import dense_index
 
-    keyed = train.withColumn("_k", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("file").cast("string"))))
-    ranked = dense_index(keyed, ["_k", "file"], out="_r", base=1).drop("_k")
+    keyed = train.withColumn("_k", F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(run)), F.col("file").cast("string"))))
+    return dense_index(keyed, ["_k", "file"], out="_r", base=1).drop("_k")
+
+
+def learning_curve(train: DataFrame, test: DataFrame, spec: dict, sizes: Sequence[int] = LEARNING_CURVE_SIZES, runs: int = LEARNING_CURVE_RUNS, seed: int = 1) -> DataFrame:
+    """``ml_learning_curve``: for every run and training size, an exact seeded sample of that
+    size -> fit -> test precision and recall.  Each run draws its own sample (nested across the
+    sizes of a run: the smallest hashes)."""
     out = []
     for run in range(runs):
+        ranked = run_samples(train, seed, run)
         for n in sizes:
             sample = ranked.filter(F.col("_r") <= n).drop("_r")
             m, _ = train_and_evaluate(sample, test, spec, seed=run + 1)

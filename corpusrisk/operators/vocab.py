@@ -11,11 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusrisk.operators.prefix import dense_index
-from corpusrisk.session import pin
-
-# Broadcast a vocabulary only below this many rows (checked with a count on the pinned table);
-# larger vocabularies take the shuffle join, where AQE splits skewed token partitions.
-BROADCAST_VOCAB_ROWS = 2_000_000
+from corpusrisk.session import broadcast_if_small, pin
 
 
 def explode_tokens(df: DataFrame, doc: str, tokens: Column | str, pos: str = "pos", token: str = "token", keep: list[str] | None = None) -> DataFrame:
@@ -76,11 +72,11 @@ def topk_vocab(tokens: DataFrame, k: int, doc_ord: str = "doc_ord", pos: str = "
     return ided.select(token, F.col("id").cast("int").alias("id"), "occurrences")
 
 
-def vocab_side(vocab: DataFrame, max_rows: int = BROADCAST_VOCAB_ROWS) -> DataFrame:
-    """The vocabulary as a join side: pinned, and broadcast only when its size is checked to be
-    below ``max_rows``.  Prepare once and pass it to several lookups with ``prepared=True``."""
-    pinned = pin(vocab)
-    return F.broadcast(pinned) if pinned.count() <= max_rows else pinned
+def vocab_side(vocab: DataFrame) -> DataFrame:
+    """The vocabulary as a join side: pinned, and broadcast only when its bytes are measured to be
+    few; larger ones take the shuffle join, where AQE splits skewed token partitions.  Prepare
+    once and pass it to several lookups with ``prepared=True``."""
+    return broadcast_if_small(pin(vocab))
 
 
 _vocab_side = vocab_side

@@ -75,13 +75,13 @@ def q_ml_drf(spark: SparkSession, sf: str) -> DataFrame:
     li = load(spark, sf, "lineitem").withColumn("y", (F.col(CLASS) == "R").cast("int")).withColumn("file", F.concat_ws("-", "l_orderkey", "l_linenumber"))
     li = li.withColumn("_g", dev_group("l_orderkey"))
     train, test = li.filter(F.col("_g") < 80), li.filter(F.col("_g") >= 80)
-    cuts = ds.fit_cuts(train, FEATURES, CLASS, max_depth=4)
+    cuts = ds.fit_cuts(train, FEATURES, CLASS)
     tr, te = ds.apply_cuts(train, cuts, "b_"), ds.apply_cuts(test, cuts, "b_")
     bcols = [c for c in tr.columns if c.startswith("b_")]
     keep = [c for c in bcols if c not in set(ds.useless_columns(tr, bcols))]
     # no accepted cut: every feature is useless and the forest can only learn the class prior
     vec = F.array(*[F.col(c).cast("double") for c in keep]) if keep else F.array(F.lit(0.0))
-    m, _ = md.train_and_evaluate(md.model_frame(tr.withColumn("_v", vec), "_v", "y"), md.model_frame(te.withColumn("_v", vec), "_v", "y"), {"type": "RandomForest", "n_estimators": 20, "criterion": "gini"})
+    m, _ = md.train_and_evaluate(md.model_frame(tr.withColumn("_v", vec), "_v", "y"), md.model_frame(te.withColumn("_v", vec), "_v", "y"), {"type": "RandomForest", "n_estimators": 100, "criterion": "gini"})
     return m.withColumn("n_binary_features", F.lit(len(keep)))
 
 

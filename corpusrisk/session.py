@@ -70,9 +70,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` only after counting it below ``max_rows`` (release lists, per-stream
-    summaries, metric tables); otherwise leave the join strategy to AQE."""
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only after its data has been measured below ``max_bytes`` (release lists,
+    vocabularies, metric tables); otherwise leave the join strategy to AQE.  ``df`` is measured by
+    a job of its own, so pass a pinned or otherwise cheap table."""
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if df.count() <= max_rows else df
+    width = F.lit(16)
+    for f in df.schema.fields:
+        plain = f.dataType.simpleString() in ("int", "bigint", "double", "float", "boolean", "smallint", "tinyint", "date", "timestamp")
+        width = width + (F.lit(8) if plain else F.coalesce(F.octet_length(F.col(f.name) if f.dataType.simpleString() in ("string", "binary") else F.to_json(F.struct(f.name))), F.lit(0)) + 16)
+    size = df.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df

@@ -19,11 +19,13 @@ def write_blame_tree(tree: DataFrame, path: str, mode: str = "overwrite") -> Non
     tree.write.mode(mode).json(path)
 
 
-def write_dataset(index: DataFrame, content: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_dataset(index: DataFrame, content: DataFrame, path: str, mode: str = "overwrite", metadata: DataFrame | None = None) -> None:
     """``snk_dataset``: index CSVs partitioned by ``split, part``; content as parquet keyed by
     ``file`` (not one file per document)."""
     index.select("split", "part", "file", "label").write.mode(mode).partitionBy("split", "part").option("header", True).csv(f"{path}/index")
     content.select("file", "content").write.mode(mode).parquet(f"{path}/content")
+    if metadata is not None:
+        metadata.select("id", "label", "commit hash", "path", "commit time").write.mode(mode).option("header", True).csv(f"{path}/metadata")
 
 
 def write_corpus(corpus: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -57,9 +59,13 @@ def write_stats(prf: DataFrame, path: str, mode: str = "overwrite") -> None:
     stats_lines(prf).write.mode(mode).partitionBy(*[c for c in prf.columns if c not in {"tp", "tn", "fp", "fn", "precision", "recall", "f1", "accuracy"}]).text(path)
 
 
-def write_runs(results: DataFrame, examples: DataFrame, path: str) -> None:
-    """``snk_runs``: append run metrics and scored examples partitioned by split, then write each
-    split's run list last; the list is the commit marker read by :func:`pending_splits`."""
+def write_runs(results: DataFrame, examples: DataFrame, path: str, history: DataFrame | None = None) -> None:
+    """``snk_runs``: append run metrics, scored examples and, where given, the training history
+    ``(split, run, iteration, loss)``, partitioned by split; each split's run list comes last.  The
+    list is the commit marker that ``readers.read_saved_runs`` and :func:`pending_splits` go by.
+    (One document per run would hold all of a run's examples in one row.)"""
+    if history is not None:
+        history.write.mode("append").partitionBy("split").parquet(f"{path}/history")
     results.write.mode("append").partitionBy("split").parquet(f"{path}/results")
     examples.write.mode("append").partitionBy("split").parquet(f"{path}/examples")
     results.select("split", "run").distinct().write.mode("append").partitionBy("split").parquet(f"{path}/run_ids")

@@ -76,6 +76,20 @@ RUN_SCHEMA = T.StructType(
     ]
 )
 
+# the tree that ``writers.write_blame_tree`` writes: commit hashes and file names are map keys
+BLAME_SCHEMA = (
+    "cve_id STRING, cve_desc_files ARRAY<STRING>, cve_desc_functions ARRAY<STRING>, "
+    "fix_commits MAP<STRING, STRUCT<committed_timestamp: STRING, affected_files: MAP<STRING, STRUCT<blame_lines: ARRAY<STRUCT<line_no: INT, blame_commit: STRING>>>>>>"
+)
+
+# hyperparameters of the sequence classifier and of the document-vector classifiers
+CONFIG_SCHEMA = (
+    "min_token_occurrences INT, min_token_documents INT, class_weight MAP<STRING, DOUBLE>, embed_dim INT, conv_filters INT, conv_kernel_size INT, "
+    "conv_padding STRING, conv_strides INT, conv_pool_size INT, lstm_size INT, batch_size INT, max_length INT, dropout DOUBLE, es_min_delta DOUBLE, "
+    "es_patience INT, max_epochs INT, pos_class_weight DOUBLE, pooling STRING, "
+    "classifier STRUCT<type: STRING, n_estimators: DOUBLE, criterion: STRING, C: DOUBLE, penalty: STRING, kernel: STRUCT<type: STRING, gamma: DOUBLE>>"
+)
+
 LEARNING_CURVE_SCHEMA = T.ArrayType(
     T.StructType(
         [
@@ -105,7 +119,7 @@ def read_feeds(spark: SparkSession, path: str) -> DataFrame:
 
 def read_blame_json(spark: SparkSession, path: str) -> DataFrame:
     """``src_blame_json``: the nested advisory tree written by ``write_blame_tree``."""
-    return spark.read.json(path)
+    return spark.read.schema(BLAME_SCHEMA).json(path)
 
 
 # ---------------------------------------------------------------------------------------------- datasets
@@ -182,7 +196,7 @@ def read_tree(spark: SparkSession, path: str, glob: str = "*.c") -> DataFrame:
     """``src_tree``: every ``*.c`` file below ``path`` as UTF-8 text; undecodable files are
     dropped (the reference logs and skips them).  ``(path, content)``."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    text = F.try_validate_utf8(F.col("content").cast("string")) if hasattr(F, "try_validate_utf8") else F.col("content").cast("string")
+    text = F.try_validate_utf8(F.col("content").cast("string"))
     return df.select("path", text.alias("content")).filter(F.col("content").isNotNull())
 
 
@@ -192,14 +206,17 @@ ARCHIVE_SUFFIXES = (".zip", ".tar.gz")
 
 def read_archives(spark: SparkSession, path: str, glob: str = "*", member_suffix: str = ".c") -> DataFrame:
     """``src_archive``: members of zip / tar.gz archives ending in ``member_suffix``, as
-    ``(archive, path, content)``; any other archive suffix raises.  One archive per task."""
+    ``(archive, path, content)``; any other archive suffix raises, a member that is not UTF-8 is
+    left out (as in :func:`read_tree`).  Archives are dealt out over the session's partitions and
+    handed on one at a time."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+    raw = raw.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
     schema = T.StructType([T.StructField("archive", T.StringType()), T.StructField("path", T.StringType()), T.StructField("content", T.BinaryType())])
 
     def _members(batches):
         for b in batches:
-            out = []
             for archive, blob in zip(b["path"], b["content"]):
+                out = []
                 if archive.endswith(".zip"):
                     with zipfile.ZipFile(io.BytesIO(blob)) as z:
                         for name in sorted(z.namelist()):
@@ -212,14 +229,15 @@ def read_archives(spark: SparkSession, path: str, glob: str = "*", member_suffix
                                 out.append((archive, m.name, t.extractfile(m).read()))
                 else:
                     raise ValueError(f"unsupported archive: {archive}")
-            yield pd.DataFrame(out, columns=["archive", "path", "content"])
+                yield pd.DataFrame(out, columns=["archive", "path", "content"])
 
     members = raw.mapInPandas(_members, schema)
-    return members.select("archive", "path", F.col("content").cast("string").alias("content"))
+    return members.select("archive", "path", F.try_validate_utf8(F.col("content").cast("string")).alias("content")).filter(F.col("content").isNotNull())
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """``src_vocab``: one token per line, id = line number starting at 1."""
+    """``src_vocab``: one token per line, id = line number starting at 1.  The order of lines is that
+    of the file's splits; a table ``(token, id)`` is the form to keep vocabularies in."""
     from corpusrisk.operators.prefix import dense_index
 
     from corpusrisk.functions.text import SPACE
@@ -251,6 +269,18 @@ def read_runs(spark: SparkSession, path: str, finished_only: bool = True) -> Dat
     return out.join(finished_runs(spark, path), ["split", "run"], "left_semi") if finished_only else out
 
 
+def read_saved_runs(spark: SparkSession, path: str, finished_only: bool = True) -> DataFrame:
+    """Scored examples ``(split, run, id, label, score)`` of what ``writers.write_runs`` wrote, by
+    default of runs on their split's run list only."""
+    out = spark.read.parquet(f"{path}/examples").select("split", "run", F.col("file").cast("string").alias("id"), F.col("label").cast("int").alias("label"), "score")
+    return out.join(saved_run_list(spark, path), ["split", "run"], "left_semi") if finished_only else out
+
+
+def saved_run_list(spark: SparkSession, path: str) -> DataFrame:
+    """``(split, run)`` of the finished runs that ``writers.write_runs`` listed."""
+    return spark.read.parquet(f"{path}/run_ids").select("split", "run")
+
+
 def read_run_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Per run the stored test metrics ``(split, run, roc_auc, average_precision, ...)``."""
     df = spark.read.schema(RUN_SCHEMA).option("multiLine", True).json(f"{path}/*/results_*.json")
@@ -286,8 +316,5 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
 
 def read_config(spark: SparkSession, path: str) -> DataFrame:
     """``src_config``: hyperparameter JSON; ``class_weight`` string keys re-cast to int."""
-    df = spark.read.option("multiLine", True).json(path)
-    if "class_weight" in df.columns:
-        cw = F.from_json(F.to_json("class_weight"), "map<string,double>")
-        df = df.withColumn("class_weight", F.transform_keys(cw, lambda k, v: k.cast("int")))
-    return df
+    df = spark.read.schema(CONFIG_SCHEMA).option("multiLine", True).json(path)
+    return df.withColumn("class_weight", F.transform_keys("class_weight", lambda k, v: k.cast("int")))

@@ -123,7 +123,11 @@ def test_blame_tree_json_round_trip(spark, tmp):
     back = ln.flatten_blame_tree(tree)
     assert sorted(map(tuple, back["commit_affected_lines"].collect())) == sorted(map(tuple, al.collect()))
     assert sorted(map(tuple, back["fix_commits"].collect())) == sorted(map(tuple, fc.collect()))
-    assert rd.read_blame_json(spark, f"{tmp}/tree").count() == 1
+    read = rd.read_blame_json(spark, f"{tmp}/tree")
+    again = ln.flatten_blame_tree(read)
+    assert read.count() == 1
+    assert sorted(map(tuple, again["commit_affected_lines"].collect())) == sorted(map(tuple, al.collect()))
+    assert sorted(map(tuple, again["fix_commits"].collect())) == sorted(map(tuple, fc.collect()))
 
 
 def test_label_translate_and_strict_lookup(spark):

@@ -121,3 +121,21 @@ def test_objective_history(spark, frames):
     model = LogisticRegression(featuresCol=md.FEATURES, labelCol=md.LABEL, maxIter=5).fit(tr)
     h = md.objective_history(model)
     assert len(h) >= 1 and list(h.columns) == ["iteration", "loss"]
+
+
+def test_learning_curve_draws_a_sample_per_run(spark, frames):
+    tr, _ = frames
+    first = [sorted(r["file"] for r in md.run_samples(tr, 1, run).filter("_r <= 40").collect()) for run in (0, 1)]
+    assert len(first[0]) == len(first[1]) == 40 and first[0] != first[1]
+
+
+def test_search_uses_the_drawn_weight_and_keeps_whole_errors(spark, frames):
+    tr, te = frames
+    heavy = md.reweighted(tr, 9.0).groupBy(md.LABEL).agg(F.max(md.WEIGHT).alias("w")).collect()
+    assert {r[md.LABEL]: r["w"] for r in heavy} == {0.0: 1.0, 1.0: 9.0}
+    trials = spark.createDataFrame([(0, "LR"), (1, "x" * 400)], "trial long, kind string")
+    to_spec = lambda r: {"type": r["kind"], "C": 1.0, "pos_class_weight": 3.0}
+    got = {r["trial"]: r for r in md.random_search(tr, te, trials, to_spec).collect()}
+    assert got[0]["average_precision"] > 0.9 and "x" * 400 in got[1]["error"]
+    with pytest.raises(ValueError):
+        md.random_search(tr, te, trials.filter("trial = 1"), to_spec)

@@ -138,3 +138,31 @@ def test_corpus_order_from_archive_members(spark):
     corpus = with_doc_ord(members.select("archive", "path", tx.corpus_line("content").alias("line")), ["archive", "path"])
     got = [(r["doc_ord"], r["path"], r["line"]) for r in corpus.orderBy("doc_ord").collect()]
     assert got == [(0, "y/1.c", " <EOF>"), (1, "z/9.c", "f ( ) ; <EOF>"), (2, "x/2.c", "int b ; <EOF>")]
+
+
+def test_saved_runs_round_trip(spark, tmp):
+    results = spark.createDataFrame([("s1", "r1", 0.5), ("s2", "r1", 0.7)], "split string, run string, average_precision double")
+    examples = spark.createDataFrame([("s1", "r1", "f1", 1.0, 0.9), ("s2", "r1", "f2", 0.0, 0.1)], "split string, run string, file string, label double, score double")
+    history = spark.createDataFrame([("s1", "r1", 0, 0.69), ("s1", "r1", 1, 0.4)], "split string, run string, iteration int, loss double")
+    wr.write_runs(results, examples, f"{tmp}/saved", history)
+    assert sorted(map(tuple, rd.read_saved_runs(spark, f"{tmp}/saved").collect())) == [("s1", "r1", "f1", 1, 0.9), ("s2", "r1", "f2", 0, 0.1)]
+    assert spark.read.parquet(f"{tmp}/saved/history").count() == 2
+    planned = spark.createDataFrame([("s1",), ("s3",)], "split string")
+    assert [r["split"] for r in wr.pending_splits(planned, rd.saved_run_list(spark, f"{tmp}/saved")).collect()] == ["s3"]
+
+
+def test_metadata_round_trip(spark, tmp):
+    meta = spark.createDataFrame([("000000000000000a", "VULNERABLE", "c1", "a.c", 1500000000)], rd.METADATA_SCHEMA)
+    index = spark.createDataFrame([("s", "train", "a.c", "VULNERABLE")], "split string, part string, file string, label string")
+    wr.write_dataset(index, spark.createDataFrame([("a.c", "int x;")], "file string, content string"), f"{tmp}/ds", metadata=meta)
+    assert [tuple(r) for r in rd.read_metadata(spark, f"{tmp}/ds/metadata").collect()] == [tuple(r) for r in meta.collect()]
+
+
+def test_archive_member_that_is_not_text_is_left_out(spark, tmp):
+    import zipfile
+
+    os.makedirs(f"{tmp}/z")
+    with zipfile.ZipFile(f"{tmp}/z/a.zip", "w") as z:
+        z.writestr("ok.c", "int été;")
+        z.writestr("bad.c", b"\xff\xfe\xc3")
+    assert [(r["path"], r["content"]) for r in rd.read_archives(spark, f"{tmp}/z").collect()] == [("ok.c", "int été;")]
