@@ -33,6 +33,7 @@ lose only what smaller ids have; extra columns are ignored; an empty table gives
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -41,13 +42,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusrisk.llm.common import fresh_name, shuffle_partitions, stage
+from corpusrisk.llm.common import fresh_name, release_shuffles, shuffle_partitions, stage
 
 SPAN = 50
 GRAM = 16
 WINDOW = SPAN - GRAM + 1  # 16-byte strings in a 50-byte string
-SEGMENT = 1 << 20  # windows of a text that are taken up at a time
-FLUSH = 1 << 20  # entries (or bytes of runs / 32) a task gathers before it sends them
+SEGMENT = 1 << 19  # windows of a text that are taken up at a time
+FLUSH = 1 << 20  # bucket identifiers a task gathers before it sends them
+FLUSH_BYTES = 16 << 20  # and bytes of runs
 RANGE_ENTRIES = 4_000_000
 HOT = 100_000
 GROUP_BITS = 4  # live buckets are reported to groups of 16 neighbouring rows
@@ -220,8 +222,8 @@ def _by_range(batches, columns: list[str]):
         yield rows
 
 
-def _array(rows, i: int, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(x[i] for x in rows), kind)
+def _array(rows, i: int, kind, packed: bool = False) -> np.ndarray:
+    return np.frombuffer(b"".join(zlib.decompress(x[i]) if packed else x[i] for x in rows), kind)
 
 
 def _live_buckets(hot: int):
@@ -253,64 +255,81 @@ def _among(ids: np.ndarray, some: np.ndarray) -> np.ndarray:
     return some[np.minimum(np.searchsorted(some, ids), len(some) - 1)] == ids
 
 
+def _gathered(data: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of several stretches of ``data``, one after another."""
+    total = np.cumsum(size)
+    return data[np.repeat(place - total + size, size) + np.arange(total[-1] if len(total) else 0)]
+
+
 def _packed_runs(ranges: int):
     """(rid, ord, text, live, hot) batches -> packed runs of live buckets by range, and settled
     spans (rows with ``rid``): copies of a run that a smaller doc_id has in the same task."""
 
-    def flush(runs):
-        key, rid, ord_, start, count, blobs = zip(*runs)
-        key, rid, ord_, start, count = np.array(key, np.uint64), *(np.array(x, np.int64) for x in (rid, ord_, start, count))
-        digest = np.array([xxhash.xxh3_64_intdigest(b) for b in blobs], np.uint64)
+    def flush(held):
+        key, rid, ord_, start, count, data = (np.concatenate(x) for x in zip(*held))
+        size = count + SPAN - 1
+        place = np.cumsum(size) - size
+        raw = data.tobytes()
+        digest = np.array([xxhash.xxh3_64_intdigest(raw[a : a + n]) for a, n in zip(place.tolist(), size.tolist())], np.uint64)
         order = np.lexsort((ord_, digest, key))
         first = _starts(key[order], digest[order])
         owner = np.repeat(ord_[order][first], np.diff(np.append(first, len(order))))
         settled = np.zeros(len(order), dtype=bool)
         settled[order] = ord_[order] > owner
-        for i in np.flatnonzero(settled).tolist():
-            yield int(key[i] % np.uint64(ranges)), int(rid[i]), int(start[i]), int(start[i] + count[i]), *[None] * 6
+        at = _range_of(key, ranges)
+        i = np.flatnonzero(settled)
+        for r, d, a, n in zip(at[i].tolist(), rid[i].tolist(), start[i].tolist(), count[i].tolist()):
+            yield r, d, a, a + n, *[None] * 6
         left = np.flatnonzero(~settled)
-        at = _range_of(key[left], ranges)
-        left = left[np.argsort(at, kind="stable")]
-        at = np.sort(at)
-        first = _starts(at)
-        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(at)]):
+        left = left[np.argsort(at[left], kind="stable")]
+        first = _starts(at[left])
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(left)]):
             i = left[a:b]
-            yield int(at[a]), None, None, None, key[i].tobytes(), rid[i].tobytes(), ord_[i].tobytes(), start[i].tobytes(), count[i].tobytes(), b"".join(blobs[k] for k in i.tolist())
-
-    def send(runs):
-        rows = list(flush(runs))
-        for s in range(0, len(rows), 10_000):
-            yield _table(rows[s : s + 10_000], _RUNS)
+            columns = (rid[i], ord_[i], start[i], count[i], _gathered(data, place[i], size[i]))
+            yield int(at[i[0]]), None, None, None, key[i].tobytes(), *(zlib.compress(c.tobytes(), 1) for c in columns)
+
+    def send(held):
+        rows = []
+        for row in flush(held):
+            rows.append(row)
+            if len(rows) == 5_000:
+                yield _table(rows, _RUNS)
+                rows = []
+        if rows:
+            yield _table(rows, _RUNS)
 
     def run(batches):
-        runs, held = [], 0
+        held, size = [], 0
         for batch in batches:
-            rid, ord_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rid, ord_ = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data, offsets = _buffer(batch.column(2))
-            known = [[np.sort(np.frombuffer(b"".join(x), np.uint64)) for x in batch.column(c).to_pylist()] for c in (3, 4)]
+            known = lambda c, i: np.sort(np.frombuffer(b"".join(batch.column(c)[i].as_py()), np.uint64))
             for seg in segments(np.diff(offsets)):
                 g = Group(seg, data, offsets)
                 begin, end = g.runs()
                 edges = np.searchsorted(g.part[begin], np.arange(len(seg) + 1))
+                ids = g.low[begin]
+                keep, large = np.zeros(len(begin), dtype=bool), np.zeros(len(begin), dtype=bool)
                 for p, (i, _, _) in enumerate(seg):
-                    a, b = begin[edges[p] : edges[p + 1]], end[edges[p] : edges[p + 1]]
-                    ids = g.low[a]
-                    keep = _among(ids, known[0][i])
-                    large = keep & _among(ids, known[1][i])
-                    for k in np.flatnonzero(keep & ~large).tolist():
-                        s, n = int(g.at[a[k]]), int(b[k] - a[k])
-                        runs.append((ids[k], rid[i], ord_[i], int(g.start[a[k]]), n, g.data[s : s + n + SPAN - 1].tobytes()))
-                        held += n + 80
-                    for k in np.flatnonzero(large).tolist():  # one refinement deeper: a run of one for each string
-                        s, n = int(g.at[a[k]]), int(b[k] - a[k])
-                        for w, x in enumerate(span_ids(g.data[s : s + n + SPAN - 1])):
-                            runs.append((x, rid[i], ord_[i], int(g.start[a[k]]) + w, 1, g.data[s + w : s + w + SPAN].tobytes()))
-                        held += n * 80
-                if held >= 32 * FLUSH:
-                    yield from send(runs)
-                    runs, held = [], 0
-        if runs:
-            yield from send(runs)
+                    part = slice(edges[p], edges[p + 1])
+                    keep[part] = _among(ids[part], known(3, i))
+                    large[part] = keep[part] & _among(ids[part], known(4, i))
+                k = np.flatnonzero(keep & ~large)
+                if len(k):
+                    n, row = end[k] - begin[k], g.text[g.part[begin[k]]]
+                    held.append((ids[k], rid[row], ord_[row], g.start[begin[k]], n, _gathered(g.data, g.at[begin[k]], n + SPAN - 1)))
+                    size += int((n + 100).sum())
+                for j in np.flatnonzero(large).tolist():  # one refinement deeper: a run of one for each string
+                    place, n, row = int(g.at[begin[j]]), int(end[j] - begin[j]), g.text[g.part[begin[j]]]
+                    text, one = g.data[place : place + n + SPAN - 1], np.ones(n, dtype=np.int64)
+                    each = _gathered(text, np.arange(n), one * SPAN)
+                    held.append((span_ids(text), one * rid[row], one * ord_[row], g.start[begin[j]] + np.arange(n), one, each))
+                    size += n * 100
+                if size >= FLUSH_BYTES:
+                    yield from send(held)
+                    held, size = [], 0
+        if held:
+            yield from send(held)
 
     return run
 
@@ -338,8 +357,8 @@ def _refine(batches):
         if not packed:
             continue
         key = _array(packed, 3, np.uint64)
-        rid, ord_, start, count = (_array(packed, i, np.int64) for i in (4, 5, 6, 7))
-        data = _array(packed, 8, np.uint8)
+        rid, ord_, start, count = (_array(packed, i, np.int64, True) for i in (4, 5, 6, 7))
+        data = _array(packed, 8, np.uint8, True)
         size = count + SPAN - 1
         place = np.cumsum(size) - size
         raw = data.tobytes()
@@ -358,10 +377,9 @@ def _refine(batches):
         bucket = np.repeat(np.arange(len(fresh)), np.diff(np.append(fresh, len(one))))
         shared = np.bincount(bucket, minlength=len(fresh))[bucket] > 1
         runs, bucket = one[shared], bucket[shared]
-        repeated = {}
         if len(runs):
             n = count[runs]
-            buf = np.concatenate([data[a : a + m] for a, m in zip(place[runs].tolist(), size[runs].tolist())])
+            buf = _gathered(data, place[runs], size[runs])
             begin = np.cumsum(n + SPAN - 1) - (n + SPAN - 1)
             owner = np.repeat(np.arange(len(runs)), n)
             at = begin[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
@@ -377,8 +395,7 @@ def _refine(batches):
             member = np.flatnonzero(~whole & (number[of] >= 0))
             lo = np.cumsum(n) - n
             mine = number[of[member]]
-            picked = np.concatenate([np.arange(a, a + m) for a, m in zip(lo[mine].tolist(), n[mine].tolist())]) if len(member) else np.zeros(0, np.int64)
-            for r, a, b in _spans(rid[member], start[member], flags[picked], count[member]):
+            for r, a, b in _spans(rid[member], start[member], _gathered(flags, lo[mine], n[mine]), count[member]):
                 yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(a), pa.array(b)], schema=_SPANS)
 
 
@@ -394,10 +411,12 @@ def repeated_spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
     kinds = lambda schema: ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'long'}" for f in schema)
     buckets = rows.select("rid", "text").mapInArrow(_initial_buckets(ranges), kinds(_BUCKETS))
     live = stage(buckets.repartition(n, "r").sortWithinPartitions("r").mapInArrow(_live_buckets(hot), kinds(_LIVE)), "live-buckets")
+    release_shuffles(spark)
     by_group = live.groupBy("gid").agg(F.collect_list("live").alias("live"), F.collect_list("hot").alias("hot"))  # of 16 texts
     there = rows.select("rid", "ord", "text", gid).join(by_group, "gid").select("rid", "ord", "text", "live", "hot")
     runs = there.mapInArrow(_packed_runs(ranges), kinds(_RUNS))
     spans = stage(runs.repartition(n, "r").sortWithinPartitions("r").mapInArrow(_refine, kinds(_SPANS)), "repeated-spans")
+    release_shuffles(spark)
     return spans.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # of one text
 
 

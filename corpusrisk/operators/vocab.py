@@ -14,17 +14,34 @@ from corpusrisk.operators.prefix import dense_index
 from corpusrisk.session import broadcast_if_small, pin
 
 
+FIRST = "first"
+
+
 def explode_tokens(df: DataFrame, doc: str, tokens: Column | str, pos: str = "pos", token: str = "token", keep: list[str] | None = None) -> DataFrame:
-    """``(doc, tokens ARRAY)`` -> ``(doc, pos, token)`` with 0-based positions."""
+    """``(doc, tokens ARRAY)`` -> ``(doc, pos, token, first)`` with 0-based positions; ``first`` marks
+    the first occurrence of the token in its document (tokens are sorted inside the row, so no
+    document is ever regrouped to count it)."""
     tok = F.col(tokens) if isinstance(tokens, str) else tokens
     cols = [doc] + list(keep or [])
-    return df.select(*cols, F.posexplode(tok).alias(pos, token))
+    # the tokenising expression is evaluated once: it is referred to twice below
+    ordered = df.select(*cols, tok.alias("_t")).select(*cols, F.array_sort(F.transform("_t", lambda t, i: F.struct(t.alias("t"), i.alias("p")))).alias("_s"))
+    new = lambda x, k: F.struct(x["t"].alias("t"), x["p"].alias("p"), (~x["t"].eqNullSafe(F.get("_s", k - 1)["t"]) | (k == 0)).alias("f"))
+    rows = ordered.select(*cols, F.explode(F.transform("_s", new)).alias("_x"))
+    return rows.select(*cols, F.col("_x.p").alias(pos), F.col("_x.t").alias(token), F.col("_x.f").alias(FIRST))
+
+
+def occurrences() -> Column:
+    return F.count(F.lit(1)).cast("long").alias("occurrences")
+
+
+def documents() -> Column:
+    return F.sum(F.col(FIRST).cast("long")).alias("documents")
 
 
-def token_counts(tokens: DataFrame, doc: str = "doc", token: str = "token") -> DataFrame:
-    """``agg_token_counts``: per token, corpus occurrences and number of documents."""
-    per_doc = tokens.groupBy(doc, token).agg(F.count(F.lit(1)).alias("_c"))
-    return per_doc.groupBy(token).agg(F.sum("_c").cast("long").alias("occurrences"), F.count(F.lit(1)).cast("long").alias("documents"))
+def token_counts(tokens: DataFrame, token: str = "token") -> DataFrame:
+    """``agg_token_counts``: per token, corpus occurrences and number of documents, of
+    :func:`explode_tokens` rows.  One aggregation by token: tasks send one row per token."""
+    return tokens.groupBy(token).agg(occurrences(), documents())
 
 
 def vocab_threshold(counts: DataFrame, min_occurrences: int, min_documents: int) -> DataFrame:
@@ -39,26 +56,19 @@ def first_seen_vocab(
     token: str = "token",
     min_occurrences: int = 1,
     min_documents: int = 1,
-    doc: str | None = None,
 ) -> DataFrame:
     """``win_first_seen_id`` + ``agg_vocab_threshold``: ``(token, id, occurrences, documents)``
     with dense ids 0..n-1 in order of first appearance (document order, then position)."""
-    doc = doc or doc_ord
-    per_doc = tokens.groupBy(doc, doc_ord, token).agg(F.count(F.lit(1)).alias("_c"), F.min(pos).alias("_p"))
-    agg = per_doc.groupBy(token).agg(
-        F.sum("_c").cast("long").alias("occurrences"),
-        F.count(F.lit(1)).cast("long").alias("documents"),
-        F.min(F.struct(F.col(doc_ord).alias("o"), F.col("_p").alias("p"))).alias("_first"),
-    )
+    seen = F.when(F.col(FIRST), F.col(doc_ord))  # one row per token and document
+    agg = tokens.groupBy(token).agg(occurrences(), documents(), F.min(doc_ord).alias("_o"), F.min_by(pos, seen).alias("_p"))
     kept = vocab_threshold(agg, min_occurrences, min_documents)
-    ided = dense_index(kept, [F.col("_first.o"), F.col("_first.p")], out="id")
-    return ided.select(token, F.col("id").cast("int").alias("id"), "occurrences", "documents")
+    return dense_index(kept, ["_o", "_p"], out="id").select(token, "id", "occurrences", "documents")
 
 
 def alpha_vocab(tokens: DataFrame, token: str = "token") -> DataFrame:
     """``win_alpha_id``: every distinct token with a dense id in binary (code point) order."""
     distinct = tokens.select(token).distinct()
-    return dense_index(distinct, [token], out="id").select(token, F.col("id").cast("int").alias("id"))
+    return dense_index(distinct, [token], out="id").select(token, "id")
 
 
 def topk_vocab(tokens: DataFrame, k: int, doc_ord: str = "doc_ord", pos: str = "pos", token: str = "token") -> DataFrame:
@@ -87,7 +97,7 @@ def lookup_ids(tokens: DataFrame, vocab: DataFrame, unk: int | Column, token: st
     v = vocab.select(F.col(token), F.col("id").alias("_vid"))
     v = v if prepared else vocab_side(v)
     u = unk if isinstance(unk, Column) else F.lit(unk)
-    return tokens.join(v, token, "left").withColumn(out, F.coalesce(F.col("_vid"), u).cast("int")).drop("_vid")
+    return tokens.join(v, token, "left").withColumn(out, F.coalesce(F.col("_vid").cast("long"), u.cast("long"))).drop("_vid")
 
 
 def regroup(ids: DataFrame, doc: str = "doc", pos: str = "pos", value: str = "id", out: str = "vector") -> DataFrame:

@@ -42,7 +42,7 @@ def feed_to_relational(
 
 
 def documents_to_scores(
-    index: DataFrame, content: DataFrame, spec: dict, runs: int = 1, pooling: str = "mean+sd", pos_class_weight: float = 1.0, vector_size: int = 16
+    index: DataFrame, content: DataFrame, spec: dict, runs: int = 1, pooling: str = "mean+sd", pos_class_weight: float = 1.0, vector_size: int = sqm.VECTOR_SIZE
 ) -> tuple[DataFrame, DataFrame]:
     """E2.  ``index``: ``(split, part, file, label)`` with part in {train, test}; ``content``:
     ``(file, content)``.  Returns ``(metrics per split and run, scored examples)``."""

@@ -59,6 +59,52 @@ FROM best
 """
 
 
+DAYS, SIZE_CLASS = "ship_days", "size_class"
+CUT_FEATURES = ["l_quantity", "l_extendedprice", "l_tax"]
+BLURRED = "blurred_quantity"  # quantity with noise: several cuts on several levels
+
+
+def shipped(spark: SparkSession, sf: str) -> DataFrame:
+    size = F.when(F.col("l_quantity") < 17, "few").when(F.col("l_quantity") < 34, "some").otherwise("many")
+    return load(spark, sf, "lineitem").withColumn(DAYS, F.datediff(F.to_date("l_shipdate"), F.lit("1990-01-01")).cast("double")).withColumn(
+        BLURRED, F.col("l_quantity").cast("double") + F.lit(100.0) * F.col("l_discount").cast("double")
+    ).withColumn(SIZE_CLASS, size)
+
+
+def q_ft_mdl_cuts(spark: SparkSession, sf: str) -> DataFrame:
+    """``ft_mdl_discretise`` to its last level: every accepted cut of quantity, price, tax,
+    shipping day and blurred quantity for the order's size class, segments split until none is accepted."""
+    return ds.fit_cuts(shipped(spark, sf), [*CUT_FEATURES, DAYS, BLURRED], SIZE_CLASS)
+
+
+_CUT_VALUES = {**{f: f for f in CUT_FEATURES}, DAYS: "date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE))", BLURRED: "l_quantity::DOUBLE + 100.0 * l_discount::DOUBLE"}
+_CUT_CLASS = "CASE WHEN l_quantity < 17 THEN 'few' WHEN l_quantity < 34 THEN 'some' ELSE 'many' END"
+_CUT_LONG = " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({v} AS DOUBLE) AS value, {_CUT_CLASS} AS cls FROM lineitem" for f, v in _CUT_VALUES.items())
+# segments (lo, hi] of each feature; an accepted best cut replaces a segment by its two halves
+SQL_FT_MDL_CUTS = f"""
+WITH RECURSIVE long AS ({_CUT_LONG}),
+cl AS (SELECT cls, row_number() OVER (ORDER BY cls) - 1 AS ci FROM (SELECT DISTINCT cls FROM long)),
+h AS (SELECT feature, value, count(*) FILTER (WHERE ci = 0) AS c0, count(*) FILTER (WHERE ci = 1) AS c1, count(*) FILTER (WHERE ci = 2) AS c2
+      FROM long JOIN cl USING (cls) GROUP BY feature, value),
+seg AS (
+  SELECT DISTINCT feature, -1e300 AS lo, 1e300 AS hi, CAST(NULL AS DOUBLE) AS cut FROM h
+  UNION ALL
+  SELECT feature, CASE WHEN side = 0 THEN lo ELSE value END, CASE WHEN side = 0 THEN value ELSE hi END, CASE WHEN side = 0 THEN (value + nxt) / 2 END
+  FROM (
+    SELECT * FROM (
+      SELECT *, (({_xl('nl')} - {_xl('l0')} - {_xl('l1')} - {_xl('l2')}) + ({_xl('nr')} - {_xl('r0')} - {_xl('r1')} - {_xl('r2')})) / n AS entropy FROM (
+        SELECT *, n0 - l0 AS r0, n1 - l1 AS r1, n2 - l2 AS r2, l0 + l1 + l2 AS nl, n0 + n1 + n2 AS n, n0 + n1 + n2 - l0 - l1 - l2 AS nr FROM (
+          SELECT h.feature, lo, hi, value, sum(c0) OVER w AS l0, sum(c1) OVER w AS l1, sum(c2) OVER w AS l2,
+                 sum(c0) OVER s AS n0, sum(c1) OVER s AS n1, sum(c2) OVER s AS n2, count(*) OVER s AS nv, lead(value) OVER (PARTITION BY h.feature, lo, hi ORDER BY value) AS nxt
+          FROM h JOIN seg ON h.feature = seg.feature AND value > lo AND value <= hi
+          WINDOW w AS (PARTITION BY h.feature, lo, hi ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), s AS (PARTITION BY h.feature, lo, hi))
+        WHERE nxt IS NOT NULL))
+    QUALIFY row_number() OVER (PARTITION BY feature, lo, hi ORDER BY entropy, value) = 1), (VALUES (0), (1)) AS sides(side)
+  WHERE {_part('n', ['n0', 'n1', 'n2'])} > log2(nv - 1) + {_part('nl', ['l0', 'l1', 'l2'])} + {_part('nr', ['r0', 'r1', 'r2'])})
+SELECT feature, cut FROM seg WHERE cut IS NOT NULL
+"""
+
+
 def q_ft_drop_useless(spark: SparkSession, sf: str) -> DataFrame:
     """Which numeric ``lineitem`` columns carry no variation."""
     li = load(spark, sf, "lineitem")
@@ -122,6 +168,7 @@ SQL_ML_NGRAM_TOP_NEXT = f"WITH {SQL_NGRAM} SELECT v, arg_min(w, (-c_vw, w)) AS t
 
 QUERIES = {
     "ft_mdl_discretise": (q_ft_mdl_discretise, SQL_FT_MDL_DISCRETISE),
+    "ft_mdl_cuts": (q_ft_mdl_cuts, SQL_FT_MDL_CUTS),
     "ft_drop_useless": (q_ft_drop_useless, SQL_FT_DROP_USELESS),
     "ml_drf": (q_ml_drf, None),
     "ml_ngram_lm": (q_ml_ngram_lm, SQL_ML_NGRAM_LM),
@@ -180,13 +227,36 @@ def q_ml_sequence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_ft_token_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """``ft_token_vectors``: Word2Vec token vectors pooled (mean, sd) per labelled document."""
+    """``ft_token_vectors``: the vector of every token of the labelled documents."""
+    docs = labelled_docs(spark, sf).select(tx.tokenise("text").alias("tokens"))
+    v = sqm.token_vectors(docs, "tokens")
+    return v.select("word", *[F.col("vector")[d].alias(f"v{d}") for d in range(sqm.VECTOR_SIZE)])
+
+
+def q_ft_document_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Token vectors pooled (mean, sd) per labelled document."""
     docs = labelled_docs(spark, sf).select("doc_id", tx.tokenise("text").alias("tokens"))
-    vecs = sqm.token_vectors(docs.filter(F.size("tokens") > 0), "tokens")
-    dv = sqm.document_vectors(docs, "doc_id", "tokens", vecs)
+    dv = sqm.document_vectors(docs, "doc_id", "tokens", sqm.token_vectors(docs, "tokens"))
     return dv.select("doc_id", F.size("mean_vector").alias("width"), F.size("sd_vector").alias("sd_width"))
 
 
+_HALF = [f"('0x' || substr(md5('{sqm.VECTOR_SEED}|' || context), {1 + 8 * h}, 8))::BIGINT" for h in (0, 1)]
+SQL_FT_TOKEN_VECTORS = f"""
+WITH toks AS (SELECT d.doc_id, p, {sql_norm('t')} AS token
+              FROM ({SQL_LABELLED_DOCS}) d, unnest(regexp_extract_all(d.text, '{sq(tx.NAIVE_TOKEN)}', 0)) WITH ORDINALITY AS u(t, p)),
+way AS (SELECT a.token AS word, b.token AS context FROM toks a JOIN toks b ON a.doc_id = b.doc_id AND b.p = a.p + 1
+        UNION ALL SELECT a.token, b.token FROM toks a JOIN toks b ON a.doc_id = b.doc_id AND b.p = a.p + 2),
+pairs AS (SELECT word, context, count(*) AS c FROM (SELECT word, context FROM way UNION ALL SELECT context, word FROM way) GROUP BY ALL),
+words AS (SELECT word, sum(c) AS n FROM pairs GROUP BY word),
+tot AS (SELECT sum(c)::DOUBLE AS total FROM pairs),
+w AS (SELECT p.word, p.context, round(greatest(log2(p.c::DOUBLE * total / (a.n::DOUBLE * b.n::DOUBLE)), 0) * {sqm.VECTOR_UNIT})::BIGINT AS u
+      FROM pairs p JOIN words a ON p.word = a.word JOIN words b ON p.context = b.word, tot),
+h AS (SELECT word, u, {_HALF[0]} AS h0, {_HALF[1]} AS h1 FROM w WHERE u > 0)
+SELECT word, {', '.join(f"sum(CASE WHEN (h{d // 32} >> {d % 32}) & 1 = 1 THEN u ELSE -u END)::BIGINT::DOUBLE / {float(sqm.VECTOR_UNIT)} AS v{d}" for d in range(sqm.VECTOR_SIZE))}
+FROM h GROUP BY word
+"""
+
+
 SQL_FN_CHUNK = f"""
 WITH {SQL_FIRST_SEEN},
 nv AS (SELECT count(*)::INTEGER AS n FROM vocab),
@@ -211,6 +281,7 @@ QUERIES.update(
         "fn_chunk": (q_fn_chunk, SQL_FN_CHUNK),
         "fn_doc_chunks": (q_fn_doc_chunks, SQL_FN_DOC_CHUNKS),
         "ml_sequence": (q_ml_sequence, None),
-        "ft_token_vectors": (q_ft_token_vectors, None),
+        "ft_token_vectors": (q_ft_token_vectors, SQL_FT_TOKEN_VECTORS),
+        "ft_document_vectors": (q_ft_document_vectors, None),
     }
 )

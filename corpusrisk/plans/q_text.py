@@ -175,12 +175,8 @@ train_tokens AS (
 def q_vocab_class_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: tokens of the labelled training documents occurring >= 5 times in >= 3
     documents, with their occurrences per class."""
-    toks = train_tokens(spark, sf)
-    per_doc = toks.groupBy("doc_id", "label", "token").agg(F.count(F.lit(1)).alias("c"))
-    agg = per_doc.groupBy("token").agg(
-        F.sum("c").cast("long").alias("occurrences"),
-        F.count(F.lit(1)).cast("long").alias("documents"),
-        F.sum(F.when(F.col("label") == "VULNERABLE", F.col("c")).otherwise(0)).cast("long").alias("vulnerable_occurrences"),
+    agg = train_tokens(spark, sf).groupBy("token").agg(
+        vocab.occurrences(), vocab.documents(), F.count_if(F.col("label") == "VULNERABLE").cast("long").alias("vulnerable_occurrences")
     )
     return vocab.vocab_threshold(agg, MIN_OCC, MIN_DOCS)
 
@@ -195,7 +191,7 @@ FROM per_doc GROUP BY token HAVING sum(c) >= {MIN_OCC} AND count(*) >= {MIN_DOCS
 
 
 def q_agg_token_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return vocab.token_counts(train_tokens(spark, sf), doc="doc_id")
+    return vocab.token_counts(train_tokens(spark, sf))
 
 
 SQL_AGG_TOKEN_COUNTS = f"""
@@ -214,7 +210,7 @@ SQL_AGG_VOCAB_THRESHOLD = f"SELECT * FROM ({SQL_AGG_TOKEN_COUNTS}) WHERE occurre
 
 def first_seen(spark: SparkSession, sf: str) -> DataFrame:
     toks = train_tokens(spark, sf).withColumn("doc_ord", F.col("doc_id"))
-    return vocab.first_seen_vocab(toks, doc_ord="doc_ord", doc="doc_id", min_occurrences=MIN_OCC, min_documents=MIN_DOCS)
+    return vocab.first_seen_vocab(toks, doc_ord="doc_ord", min_occurrences=MIN_OCC, min_documents=MIN_DOCS)
 
 
 def q_win_first_seen_id(spark: SparkSession, sf: str) -> DataFrame:
@@ -236,7 +232,7 @@ def labelled_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
     vocabulary is fitted on the training part.  The tokens are recomputed for the two uses rather
     than materialised: the exploded token table is several times larger than the text."""
     toks = vocab.explode_tokens(labelled_docs(spark, sf), "doc_id", tx.tokenise("text"), keep=["part"])
-    fitted = vocab.first_seen_vocab(toks.filter(F.col("part") == "train").withColumn("doc_ord", F.col("doc_id")), doc_ord="doc_ord", doc="doc_id", min_occurrences=MIN_OCC, min_documents=MIN_DOCS)
+    fitted = vocab.first_seen_vocab(toks.filter(F.col("part") == "train").withColumn("doc_ord", F.col("doc_id")), doc_ord="doc_ord", min_occurrences=MIN_OCC, min_documents=MIN_DOCS)
     v = vocab.vocab_side(fitted.select("token", "id"))
     n = v.count()
     return vocab.vectorise(toks, v, unk=n, doc="doc_id", prepared=True), n
@@ -247,7 +243,7 @@ def q_ft_vocab_vectorise(spark: SparkSession, sf: str) -> DataFrame:
     the training vocabulary, unknown = n."""
     vec, n = labelled_vectors(spark, sf)
     docs = labelled_docs(spark, sf)
-    all_docs = docs.select("doc_id").join(vec, "doc_id", "left").withColumn("vector", F.coalesce("vector", F.array().cast("array<int>")))
+    all_docs = docs.select("doc_id").join(vec, "doc_id", "left").withColumn("vector", F.coalesce("vector", F.array().cast("array<bigint>")))
     return all_docs.select(
         "doc_id",
         F.size("vector").alias("n_tokens"),
@@ -379,8 +375,8 @@ SQL_AGG_TOPK_VOCAB = f"WITH {SQL_LM_CORPUS} SELECT token, id, occurrences FROM l
 
 
 def q_flt_line_mod(spark: SparkSession, sf: str) -> DataFrame:
-    c = lm_corpus(spark, sf)
-    return c.select("doc_id", "doc_ord", corpus.stream_of("doc_ord").alias("stream"))
+    ids = load(spark, sf, "documents").select("doc_id")
+    return dense_index(ids, ["doc_id"], out="doc_ord").select("doc_id", "doc_ord", corpus.stream_of("doc_ord").alias("stream"))
 
 
 SQL_FLT_LINE_MOD = f"WITH {SQL_LM_CORPUS} SELECT doc_id, doc_ord, CASE WHEN doc_ord % 100 < 5 THEN 'valid' ELSE 'train' END AS stream FROM lines"
