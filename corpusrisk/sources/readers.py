@@ -129,15 +129,16 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     """``src_index``: dataset index CSVs (``file,label``) with ``split`` and ``part`` from the file
     name: ``<split>_<part>.csv`` or ``<part>.csv`` (split null)."""
     df = spark.read.schema(INDEX_SCHEMA).option("header", True).csv(path)
-    base = F.regexp_replace(_file_name(), r"\.csv", "")
+    split, part = index_name_parts(_file_name())
+    return df.select(split.alias("split"), part.alias("part"), "file", "label")
+
+
+def index_name_parts(name: F.Column) -> tuple[F.Column, F.Column]:
+    """Split and part of an index file's name."""
+    base = F.regexp_replace(name, r"\.csv", "")
     pieces = F.split(base, "_")
     has = F.instr(base, "_") > 0
-    return df.select(
-        F.when(has, F.element_at(pieces, 1)).alias("split"),
-        F.when(has, F.element_at(pieces, 2)).otherwise(base).alias("part"),
-        "file",
-        "label",
-    )
+    return F.when(has, F.element_at(pieces, 1)), F.when(has, F.element_at(pieces, 2)).otherwise(base)
 
 
 def read_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -265,10 +266,15 @@ def read_runs(spark: SparkSession, path: str, finished_only: bool = True) -> Dat
         F.regexp_extract(p, r"/([^/]+)/results_[^/]+\.json$", 1).alias("split"),
         F.regexp_extract(p, r"results_([^/]+)\.json$", 1).alias("run"),
         F.explode("test.examples").alias("e"),
-    ).select("split", "run", F.col("e")[0].alias("id"), F.col("e")[1].cast("int").alias("label"), F.col("e")[2].cast("double").alias("score"))
+    ).select("split", "run", *example_columns(F.col("e")))
     return out.join(finished_runs(spark, path), ["split", "run"], "left_semi") if finished_only else out
 
 
+def example_columns(triple: F.Column) -> list[F.Column]:
+    """The positional ``[id, label, score]`` as typed columns."""
+    return [triple[0].alias("id"), triple[1].cast("int").alias("label"), triple[2].cast("double").alias("score")]
+
+
 def read_saved_runs(spark: SparkSession, path: str, finished_only: bool = True) -> DataFrame:
     """Scored examples ``(split, run, id, label, score)`` of what ``writers.write_runs`` wrote, by
     default of runs on their split's run list only."""
@@ -308,10 +314,14 @@ def read_learning_curve(spark: SparkSession, path: str) -> DataFrame:
 def read_stats(spark: SparkSession, path: str) -> DataFrame:
     """``src_stats``: ``key: value`` lines -> ``(split, key, value DOUBLE)``; split = parent folder."""
     df = spark.read.text(path)
-    kv = F.split(F.col("value"), ": ?", 2)
-    return df.select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("split"), F.trim(kv[0]).alias("key"), F.trim(kv[1]).try_cast("double").alias("value")
-    ).filter(F.col("key") != "")
+    key, value = stats_line(F.col("value"))
+    return df.select(F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("split"), key.alias("key"), value.alias("value")).filter(F.col("key") != "")
+
+
+def stats_line(line: F.Column) -> tuple[F.Column, F.Column]:
+    """Key and value of a ``key: value`` line."""
+    kv = F.split(line, ": ?", 2)
+    return F.trim(kv[0]), F.trim(kv[1]).try_cast("double")
 
 
 def read_config(spark: SparkSession, path: str) -> DataFrame:
