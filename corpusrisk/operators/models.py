@@ -24,7 +24,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -171,35 +171,45 @@ def fit_svm(train: DataFrame, test: DataFrame, spec: dict, seed: int = 1) -> Dat
 # ---------------------------------------------------------------------------------------------- AdaBoost
 
 
+def _stump_rule(model) -> tuple[int, float, float, float]:
+    """Feature, threshold, class up to the threshold and class above it, of a depth-1 tree."""
+    root = model._java_obj.rootNode()
+    if model.depth == 0:
+        return 0, math.inf, root.prediction(), root.prediction()
+    return root.split().featureIndex(), root.split().threshold(), root.leftChild().prediction(), root.rightChild().prediction()
+
+
+def _stump_class(rule: tuple[int, float, float, float]) -> Column:
+    feature, threshold, low, high = rule
+    return F.when(F.col("_x")[feature] <= F.lit(threshold), F.lit(low)).otherwise(F.lit(high))
+
+
 def fit_adaboost(train: DataFrame, test: DataFrame, n_estimators: int, seed: int = 1) -> DataFrame:
-    """``ml_ada``: discrete AdaBoost (SAMME, two classes) of weighted depth-1 trees.  Each round
-    updates the sample weights with a column expression and cuts the lineage with a reliable
-    checkpoint.  P(class 1) = sigmoid(sum_m alpha_m h_m(x) / sum_m alpha_m), h in {-1, 1}."""
-    tr = pin(train.withColumn("_w", F.col(WEIGHT) / F.lit(train.agg(F.sum(WEIGHT)).first()[0])))
-    stumps, alphas = [], []
+    """``ml_ada``: discrete AdaBoost (SAMME, two classes) of weighted depth-1 trees.  A fitted stump
+    is one threshold, so a row's weight is an expression over the stumps so far: the training rows
+    are pinned once, no round writes anything, and the plan stays one projection deep.
+    P(class 1) = sigmoid(sum_m alpha_m h_m(x) / sum_m alpha_m), h in {-1, 1}."""
+    rows = pin(train.withColumn("_x", vector_to_array(FEATURES)))
+    rules: list[tuple[float, tuple]] = []
+    boost = F.lit(0.0)
     for m in range(n_estimators):
-        stump = DecisionTreeClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol="_w", maxDepth=1, seed=seed + m).fit(tr)
-        p = stump.transform(tr).withColumn("_miss", (F.col("prediction") != F.col(LABEL)).cast("double"))
-        err = p.agg(F.sum(F.col("_w") * F.col("_miss")) / F.sum("_w")).first()[0]
-        if err <= 0:
-            stumps.append(stump)
-            alphas.append(1.0)
-            break
+        weighed = rows.withColumn("_w", F.col(WEIGHT) * F.exp(boost))
+        rule = _stump_rule(DecisionTreeClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol="_w", maxDepth=1, seed=seed + m).fit(weighed))
+        miss = (_stump_class(rule) != F.col(LABEL)).cast("double")
+        err = weighed.agg(F.sum(F.col("_w") * miss) / F.sum("_w")).first()[0]
         if err >= 0.5:
             break
-        alpha = math.log((1.0 - err) / err)
-        stumps.append(stump)
-        alphas.append(alpha)
-        upd = p.withColumn("_w", F.col("_w") * F.exp(F.lit(alpha) * F.col("_miss")))
-        total = upd.agg(F.sum("_w")).first()[0]
-        tr = pin(upd.withColumn("_w", F.col("_w") / F.lit(total)).select(*train.columns, "_w"))
-    if not stumps:
+        alpha = math.log((1.0 - err) / err) if err > 0 else 1.0
+        rules.append((alpha, rule))
+        if err <= 0:
+            break
+        boost = boost + F.lit(alpha) * miss
+    if not rules:
         return test.select("file", LABEL, F.lit(0.5).alias("score"))
-    scored = test.withColumn("_d", F.lit(0.0))
-    for stump, alpha in zip(stumps, alphas):
-        scored = stump.transform(scored).withColumn("_d", F.col("_d") + F.lit(alpha) * (F.col("prediction") * 2 - 1)).drop("prediction", "rawPrediction", "probability")
-    total = sum(alphas)
-    return scored.select("file", LABEL, (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_d") / F.lit(total)))).alias("score"))
+    vote = sum((F.lit(alpha) * (_stump_class(rule) * 2 - 1) for alpha, rule in rules), F.lit(0.0))
+    total = sum(alpha for alpha, _ in rules)
+    scored = test.withColumn("_x", vector_to_array(FEATURES))
+    return scored.select("file", LABEL, (F.lit(1.0) / (F.lit(1.0) + F.exp(-vote / F.lit(total)))).alias("score"))
 
 
 # ---------------------------------------------------------------------------------------------- search and runs
@@ -276,28 +286,83 @@ def repeat_runs(train: DataFrame, test: DataFrame, spec: dict, runs: int = RUNS_
     return union(metrics), union(examples)
 
 
-def run_samples(train: DataFrame, seed: int, run: int) -> DataFrame:
-    """``train`` with ``_r``, the 1-based rank of each row in this run's own random order."""
-    from corpusrisk.operators.prefix import dense_index
-
-    keyed = train.withColumn("_k", F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(run)), F.col("file").cast("string"))))
-    return dense_index(keyed, ["_k", "file"], out="_r", base=1).drop("_k")
-
-
-def learning_curve(train: DataFrame, test: DataFrame, spec: dict, sizes: Sequence[int] = LEARNING_CURVE_SIZES, runs: int = LEARNING_CURVE_RUNS, seed: int = 1) -> DataFrame:
-    """``ml_learning_curve``: for every run and training size, an exact seeded sample of that
-    size -> fit -> test precision and recall.  Each run draws its own sample (nested across the
-    sizes of a run: the smallest hashes)."""
-    out = []
-    for run in range(runs):
-        ranked = run_samples(train, seed, run)
-        for n in sizes:
-            sample = ranked.filter(F.col("_r") <= n).drop("_r")
-            m, _ = train_and_evaluate(sample, test, spec, seed=run + 1)
-            out.append(m.select(F.lit(run).alias("run"), F.lit(n).alias("training_examples"), "precision", "recall"))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
+def run_samples(train: DataFrame, sizes: Sequence[int], runs: int, seed: int = 1) -> DataFrame:
+    """``train`` rows with ``run`` and ``_r``, the 1-based rank of the row in that run's own random
+    order, up to the largest size.
+
+    Only rows whose hash lies below a generous threshold are ranked, so a run's window holds about
+    the largest size of rows, not the table; if that ever left a run short, all rows are ranked."""
+    n, most = train.count(), max(sizes)
+    keyed = train.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).withColumn("_u", rand.uniform(seed, F.col("run"), F.col("file").cast("string")))
+    by_run = Window.partitionBy("run").orderBy("_u", "file")
+    share = min(1.0, (1.5 * most + 1000) / max(1, n))
+    near = keyed.filter(F.col("_u") < share) if share < 1.0 else keyed
+    if share < 1.0 and near.groupBy("run").count().filter(F.col("count") < most).count():
+        near = keyed
+    return near.withColumn("_r", F.row_number().over(by_run)).filter(F.col("_r") <= most).drop("_u")
+
+
+def _newton_lr(x: np.ndarray, y: np.ndarray, w: np.ndarray, reg: float) -> np.ndarray:
+    """Weighted logistic regression with an L2 penalty on all but the intercept (last entry)."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    penalty = np.full(x.shape[1], reg)
+    penalty[-1] = 0.0
+    beta, total = np.zeros(x.shape[1]), w.sum()
+    for _ in range(100):
+        p = 1.0 / (1.0 + np.exp(-np.clip(x @ beta, -35, 35)))
+        grad = x.T @ (w * (p - y)) / total + penalty * beta
+        if np.abs(grad).max() < 1e-9:
+            break
+        hess = (x * (w * p * (1 - p))[:, None]).T @ x / total + np.diag(penalty + 1e-10)
+        beta = beta - np.linalg.solve(hess, grad)
+    return beta
+
+
+LEARNING_CURVE_TEST_ROWS = 20_000
+
+
+def learning_curve(
+    train: DataFrame,
+    test: DataFrame,
+    spec: dict,
+    sizes: Sequence[int] = LEARNING_CURVE_SIZES,
+    runs: int = LEARNING_CURVE_RUNS,
+    seed: int = 1,
+    test_rows: int = LEARNING_CURVE_TEST_ROWS,
+) -> DataFrame:
+    """``ml_learning_curve``: for every run and training size, an exact seeded sample of that size
+    -> fit -> precision and recall on a test sample of at most ``test_rows`` rows.  Each run draws
+    its own sample (nested across the sizes of a run: the smallest hashes).
+
+    Samples are bounded by ``sizes``, so with L2 logistic regression every (run, size) is one group
+    of one Spark job, fitted in its task; other estimators are fitted one after another."""
+    samples = run_samples(train, sizes, runs, seed)
+    held = test.withColumn("_u", rand.uniform(seed, F.lit("test"), F.col("file").cast("string"))).orderBy("_u", "file").limit(test_rows).drop("_u")
+    if spec.get("type") == "LR" and spec.get("penalty", "l2") == "l2":
+        rows = held.select(vector_to_array(FEATURES).alias("x"), LABEL).collect()  # at most ``test_rows``
+        data = train.sparkSession.sparkContext.broadcast((np.array([r["x"] for r in rows], dtype=float), np.array([r[LABEL] for r in rows])))
+        c = float(spec["C"])
+
+        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+            tx, ty = data.value
+            w = pdf[WEIGHT].to_numpy(dtype=float)
+            beta = _newton_lr(np.stack(pdf["x"].to_numpy()), pdf[LABEL].to_numpy(dtype=float), w, 1.0 / (c * w.sum()))
+            hit = tx @ beta[:-1] + beta[-1] > 0 if len(tx) else np.zeros(0, dtype=bool)
+            tp, pos, found = float((hit & (ty == 1)).sum()), float(hit.sum()), float((ty == 1).sum())
+            return pd.DataFrame({"run": [pdf["run"].iloc[0]], "training_examples": [pdf["n"].iloc[0]], "precision": [tp / pos if pos else 0.0], "recall": [tp / found if found else 0.0]})
+
+        fits = F.array(*[F.lit(int(n)) for n in sizes])
+        each = samples.select("run", F.explode(F.filter(fits, lambda n: n >= F.col("_r"))).alias("n"), vector_to_array(FEATURES).alias("x"), LABEL, WEIGHT)
+        res = each.groupBy("run", "n").applyInPandas(fit, "run int, training_examples int, precision double, recall double")
+    else:
+        res = None
+        samples, held = pin(samples), pin(held)
+        for run in range(runs):
+            for n in sizes:
+                sample = samples.filter((F.col("run") == run) & (F.col("_r") <= n)).drop("_r", "run")
+                m, _ = train_and_evaluate(sample, held, spec, seed=run + 1)
+                one = m.select(F.lit(run).alias("run"), F.lit(n).alias("training_examples"), "precision", "recall")
+                res = one if res is None else res.unionByName(one)
     return res.unpivot(["run", "training_examples"], ["precision", "recall"], "metric", "score")
 
 

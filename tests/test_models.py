@@ -125,8 +125,20 @@ def test_objective_history(spark, frames):
 
 def test_learning_curve_draws_a_sample_per_run(spark, frames):
     tr, _ = frames
-    first = [sorted(r["file"] for r in md.run_samples(tr, 1, run).filter("_r <= 40").collect()) for run in (0, 1)]
+    got = md.run_samples(tr, [10, 40], 2).select("run", "file", "_r").collect()
+    first = [sorted(r["file"] for r in got if r["run"] == k) for k in (0, 1)]
     assert len(first[0]) == len(first[1]) == 40 and first[0] != first[1]
+    assert sorted(r["_r"] for r in got if r["run"] == 0) == list(range(1, 41))
+
+
+def test_learning_curve_fits_in_tasks_agree_with_the_estimator(spark, frames):
+    tr, te = frames
+    spec = {"type": "LR", "C": 1.0, "penalty": "l2"}
+    curve = {(r["run"], r["training_examples"], r["metric"]): r["score"] for r in md.learning_curve(tr, te, spec, sizes=[30, 200], runs=2).collect()}
+    assert len(curve) == 8
+    sample = md.run_samples(tr, [30, 200], 2).filter("run = 1 AND _r <= 30").drop("run", "_r")
+    m = md.train_and_evaluate(sample, te, spec)[0].first()
+    assert abs(curve[(1, 30, "precision")] - m["precision"]) < 1e-9 and abs(curve[(1, 30, "recall")] - m["recall"]) < 1e-9
 
 
 def test_search_uses_the_drawn_weight_and_keeps_whole_errors(spark, frames):
