@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,10 +33,27 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+_worker_tables: list[dict] = []
+
+
+def worker_table(table: dict) -> dict:
+    """Register a table that a Python worker keeps from task to task to save work."""
+    _worker_tables.append(table)
+    return table
+
+
+def forget_worker_tables() -> None:
+    """Empty this worker's registered tables, at the start of tasks that need the memory."""
+    for table in _worker_tables:
+        table.clear()
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of steps that are staged already: it does so once
     the driver's garbage collector has found their plans unused."""
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # Python's garbage may hold the driver's
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,26 +99,46 @@ def number_rows(df: DataFrame, order: list[str | Column], label: str, out: str =
     return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(out, F.col("_off") + pos).drop("_mid", "_part", "_off")
 
 
+def _ranged(df: DataFrame, cols: list[Column], label: str) -> DataFrame:
+    """``df`` range-sorted and staged, each row with its partition and place (``_part``, ``_mid``)."""
+    ranged = df.repartitionByRange(shuffle_partitions(df.sparkSession), *cols).sortWithinPartitions(*cols)
+    return stage(ranged.withColumn("_mid", F.monotonically_increasing_id()), label).withColumn("_part", F.shiftright("_mid", 33))
+
+
 def running_total(df: DataFrame, key: str, order: list[str | Column], value: str, label: str, out: str = "upto") -> DataFrame:
     """Add ``out``: the running sum of ``value`` (long, inclusive) within ``key`` (not null) in ``order``.
 
-    A key may span any number of range partitions: sums run within (partition, key), and the sums
-    of earlier partitions - one row per partition and key it holds - are added."""
+    A key may span any number of range partitions: sums run within (partition, key), and what
+    earlier partitions hold of a key is added.  Only the first key of a partition can go on from an
+    earlier one, so those carries are at most one row per partition."""
     from pyspark.sql import Window
 
-    cols = [F.col(key), *(F.col(c) if isinstance(c, str) else c for c in order)]
-    ranged = df.repartitionByRange(shuffle_partitions(df.sparkSession), *cols).sortWithinPartitions(*cols)
-    placed = stage(ranged.withColumn("_mid", F.monotonically_increasing_id()), label).withColumn("_part", F.shiftright("_mid", 33))
+    placed = _ranged(df, [F.col(key), *(F.col(c) if isinstance(c, str) else c for c in order)], label)
     sums = placed.groupBy("_part", key).agg(F.sum(value).alias("_s"))
     earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("_part", key, F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_base"))
+    carry = sums.select("_part", key, F.sum("_s").over(earlier).alias("_base")).filter(F.col("_base").isNotNull())
     inner = Window.partitionBy("_part", key).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
     run = placed.withColumn("_run", F.sum(value).over(inner))
-    return run.join(base, ["_part", key]).withColumn(out, (F.col("_base") + F.col("_run")).cast("long")).drop("_part", "_mid", "_run", "_base")
+    total = (F.coalesce("_base", F.lit(0)) + F.col("_run")).cast("long")
+    return run.join(F.broadcast(carry), ["_part", key], "left").withColumn(out, total).drop("_part", "_mid", "_run", "_base")
 
 
-def places(df: DataFrame, key: str, order: list[str | Column], out: str, label: str) -> DataFrame:
-    """Add ``out``: the row's 0-based place within its ``key`` (not null) in ``order``."""
-    rows = number_rows(df, [F.col(key), *order], label, "_g")
-    first = rows.groupBy(key).agg(F.min("_g").alias("_first"))
-    return rows.join(first, key).withColumn(out, F.col("_g") - F.col("_first")).drop("_g", "_first")
+def places(df: DataFrame, key: str, order: list[str | Column], out: str, label: str, size: str | None = None) -> DataFrame:
+    """Add ``out``, the row's 0-based place within its ``key`` (not null) in ``order``, and ``size``,
+    the number of rows of the key.
+
+    Rows are numbered and counted within (partition, key); for keys that several partitions share -
+    at most two per partition - the counts of the others are added from a small table."""
+    from pyspark.sql import Window
+
+    placed = _ranged(df, [F.col(key), *(F.col(c) if isinstance(c, str) else c for c in order)], label)
+    counts = placed.groupBy("_part", key).agg(F.count(F.lit(1)).alias("_n"))
+    of_key = Window.partitionBy(key)
+    earlier = of_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shared = counts.select("_part", key, "_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"), F.sum("_n").over(of_key).alias("_all")).filter("_all > _n").drop("_n")
+    inner = Window.partitionBy("_part", key)
+    rows = placed.withColumn("_row", F.row_number().over(inner.orderBy("_mid")) - 1).withColumn("_here", F.count(F.lit(1)).over(inner))
+    rows = rows.join(F.broadcast(shared), ["_part", key], "left").withColumn(out, (F.col("_row") + F.coalesce("_base", F.lit(0))).cast("long"))
+    if size:
+        rows = rows.withColumn(size, F.coalesce("_all", "_here").cast("long"))
+    return rows.drop("_part", "_mid", "_row", "_here", "_base", "_all")

@@ -121,8 +121,8 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
         F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
         F.sha2(F.col("text").cast("binary"), 256).alias("grp"),
     )
-    rows = places(one, "grp", [F.col("doc_id")], "nth", "grouped")
-    rows = stage(rows.join(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("group_size")), "grp"), "linked")
+    # range sorting reads its input twice: hash the texts once
+    rows = stage(places(stage(one, "hashed"), "grp", [F.col("doc_id")], "nth", "grouped", "group_size"), "linked")
     total = rows.count()
     sizes = quotas(total, shards)
     block_rows = max(2, total // shards // 4)
