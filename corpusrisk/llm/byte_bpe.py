@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from corpusrisk.llm.common import id_text
+from corpusrisk.llm.common import id_text, worker_table
 
 NONE = np.int64(1) << 40  # above every packed (rank, position)
 BATCH_WIDTH = 64  # matches of up to this many bytes are encoded in batches
@@ -50,7 +50,7 @@ class ByteBPE:
         self.pairs = pairs
         self.keys = np.array(sorted(pairs), dtype=np.int64)
         self.values = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = worker_table({})
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merged pair, -1 if it is no token."""

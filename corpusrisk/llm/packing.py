@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusrisk.llm.common import id_text, number_rows, stage
+from corpusrisk.llm.common import id_text, number_rows, stage, worker_table
 
 SEQUENCE_TOKENS = 2048
 END_ID = 0
-REMEMBERED = 1_000_000  # encoded words kept per worker before the table is started anew
+REMEMBERED = 500_000  # encoded words kept per worker before the table is started anew
 GROUP_CHARS = 2_000_000
 
 
@@ -65,7 +65,7 @@ class WordCoder:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = worker_table({})
         self.whole = lru_cache(maxsize=10_000)(self._whole)
 
     def _whole(self, word: str) -> bytes:

@@ -42,15 +42,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusrisk.llm.common import fresh_name, release_shuffles, shuffle_partitions, stage
+from corpusrisk.llm.common import forget_worker_tables, fresh_name, release_shuffles, shuffle_partitions, stage
 
 SPAN = 50
 GRAM = 16
 WINDOW = SPAN - GRAM + 1  # 16-byte strings in a 50-byte string
 SEGMENT = 1 << 19  # windows of a text that are taken up at a time
-FLUSH = 1 << 20  # bucket identifiers a task gathers before it sends them
+FLUSH = 1 << 19  # bucket identifiers a task gathers before it sends them
 FLUSH_BYTES = 16 << 20  # and bytes of runs
-RANGE_ENTRIES = 4_000_000
+CHUNK = 1 << 14  # runs that are refined together (or one bucket, where that has more)
+RANGE_ENTRIES = 500_000
 HOT = 100_000
 GROUP_BITS = 4  # live buckets are reported to groups of 16 neighbouring rows
 NO_ID = (1 << 63) - 1
@@ -173,6 +174,7 @@ def _initial_buckets(ranges: int):
             yield int(at[a]), ids[by].tobytes(), group[by].tobytes(), several[by].tobytes()
 
     def run(batches):
+        forget_worker_tables()
         parts, held = [], 0
         for batch in batches:
             rid = batch.column(0).to_numpy()
@@ -299,6 +301,7 @@ def _packed_runs(ranges: int):
             yield _table(rows, _RUNS)
 
     def run(batches):
+        forget_worker_tables()
         held, size = [], 0
         for batch in batches:
             rid, ord_ = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -361,42 +364,53 @@ def _refine(batches):
         data = _array(packed, 8, np.uint8, True)
         size = count + SPAN - 1
         place = np.cumsum(size) - size
-        raw = data.tobytes()
-        digest = np.array([xxhash.xxh3_64_intdigest(raw[a : a + n]) for a, n in zip(place.tolist(), size.tolist())], np.uint64)
-        # equal runs are one from here on, under the smallest doc_id
-        order = np.lexsort((ord_, digest, key))
-        first = _starts(key[order], digest[order])
-        of = np.empty(len(order), dtype=np.int64)
-        of[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-        one = order[first]
-        whole = ord_ > ord_[one][of]  # a smaller doc_id has the whole run
-        if whole.any():
-            yield pa.RecordBatch.from_arrays([pa.array(rid[whole]), pa.array(start[whole]), pa.array(start[whole] + count[whole])], schema=_SPANS)
-        # buckets of more than one distinct run are refined; ``one`` is sorted by bucket
-        fresh = _starts(key[one])
-        bucket = np.repeat(np.arange(len(fresh)), np.diff(np.append(fresh, len(one))))
-        shared = np.bincount(bucket, minlength=len(fresh))[bucket] > 1
-        runs, bucket = one[shared], bucket[shared]
-        if len(runs):
-            n = count[runs]
-            buf = _gathered(data, place[runs], size[runs])
-            begin = np.cumsum(n + SPAN - 1) - (n + SPAN - 1)
-            owner = np.repeat(np.arange(len(runs)), n)
-            at = begin[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            ids = span_ids(buf)[at]
-            order = np.lexsort((ids, bucket[owner]))
-            first = _starts(bucket[owner][order], ids[order])
-            least = np.minimum.reduceat(ord_[runs][owner][order], first)
-            flags = np.empty(len(owner), dtype=bool)
-            flags[order] = np.repeat(least, np.diff(np.append(first, len(order)))) < ord_[runs][owner][order]
-            # every member that is not wholly repeated has the smallest doc_id of its run: same flags
-            number = np.full(len(one), -1)
-            number[shared] = np.arange(len(runs))
-            member = np.flatnonzero(~whole & (number[of] >= 0))
-            lo = np.cumsum(n) - n
-            mine = number[of[member]]
-            for r, a, b in _spans(rid[member], start[member], _gathered(flags, lo[mine], n[mine]), count[member]):
-                yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(a), pa.array(b)], schema=_SPANS)
+        # whole buckets at a time, about ``CHUNK`` runs, so that memory does not follow the range
+        order = np.argsort(key, kind="stable")
+        first = _starts(key[order])
+        cut = first[np.searchsorted(first, np.arange(0, len(order), CHUNK))[1:] - 1] if len(order) > CHUNK else first[:0]
+        for i in np.split(order, np.unique(cut[cut > 0])):
+            yield from _refine_buckets(key[i], rid[i], ord_[i], start[i], count[i], place[i], size[i], data)
+
+
+def _refine_buckets(key, rid, ord_, start, count, place, size, data):
+    """Repeated spans among the runs of some buckets; the bytes of run ``i`` are at ``place[i]``."""
+    view = memoryview(data)
+    digest = np.array([xxhash.xxh3_64_intdigest(view[a : a + n]) for a, n in zip(place.tolist(), size.tolist())], np.uint64)
+    # equal runs are one from here on, under the smallest doc_id
+    order = np.lexsort((ord_, digest, key))
+    first = _starts(key[order], digest[order])
+    of = np.empty(len(order), dtype=np.int64)
+    of[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    one = order[first]
+    whole = ord_ > ord_[one][of]  # a smaller doc_id has the whole run
+    if whole.any():
+        yield pa.RecordBatch.from_arrays([pa.array(rid[whole]), pa.array(start[whole]), pa.array(start[whole] + count[whole])], schema=_SPANS)
+    # buckets of more than one distinct run are refined; ``one`` is sorted by bucket
+    fresh = _starts(key[one])
+    bucket = np.repeat(np.arange(len(fresh)), np.diff(np.append(fresh, len(one))))
+    shared = np.bincount(bucket, minlength=len(fresh))[bucket] > 1
+    runs, bucket = one[shared], bucket[shared]
+    if not len(runs):
+        return
+    n = count[runs]
+    buf = _gathered(data, place[runs], size[runs])
+    begin = np.cumsum(n + SPAN - 1) - (n + SPAN - 1)
+    owner = np.repeat(np.arange(len(runs)), n)
+    at = begin[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    ids = span_ids(buf)[at]
+    order = np.lexsort((ids, bucket[owner]))
+    first = _starts(bucket[owner][order], ids[order])
+    least = np.minimum.reduceat(ord_[runs][owner][order], first)
+    flags = np.empty(len(owner), dtype=bool)
+    flags[order] = np.repeat(least, np.diff(np.append(first, len(order)))) < ord_[runs][owner][order]
+    # every member that is not wholly repeated has the smallest doc_id of its run: same flags
+    number = np.full(len(one), -1)
+    number[shared] = np.arange(len(runs))
+    member = np.flatnonzero(~whole & (number[of] >= 0))
+    lo = np.cumsum(n) - n
+    mine = number[of[member]]
+    for r, a, b in _spans(rid[member], start[member], _gathered(flags, lo[mine], n[mine]), count[member]):
+        yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(a), pa.array(b)], schema=_SPANS)
 
 
 def repeated_spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
@@ -406,7 +420,7 @@ def repeated_spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
     n = shuffle_partitions(spark)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # about one identifier per 19 bytes is exchanged
-    ranges = max(4 * n, total // (19 * RANGE_ENTRIES))
+    ranges = max(1, total // (19 * RANGE_ENTRIES))
     gid = F.shiftright("rid", GROUP_BITS).alias("gid")
     kinds = lambda schema: ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'long'}" for f in schema)
     buckets = rows.select("rid", "text").mapInArrow(_initial_buckets(ranges), kinds(_BUCKETS))
@@ -416,6 +430,7 @@ def repeated_spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
     there = rows.select("rid", "ord", "text", gid).join(by_group, "gid").select("rid", "ord", "text", "live", "hot")
     runs = there.mapInArrow(_packed_runs(ranges), kinds(_RUNS))
     spans = stage(runs.repartition(n, "r").sortWithinPartitions("r").mapInArrow(_refine, kinds(_SPANS)), "repeated-spans")
+    del buckets, live, by_group, there, runs
     release_shuffles(spark)
     return spans.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # of one text
 
