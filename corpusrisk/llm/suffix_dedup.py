@@ -145,7 +145,9 @@ def _buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _range_of(ids: np.ndarray, ranges: int) -> np.ndarray:
-    return ((ids >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    """The range each identifier is sent to.  Smallest identifiers are small numbers, so they are
+    mixed once more before the number line is cut into equal parts."""
+    return ((refined(ids, ids) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -165,9 +167,9 @@ def _initial_buckets(ranges: int):
 
     def flush(parts):
         ids, group, several = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(ids, kind="stable")
-        ids, group, several = ids[order], group[order], several[order]
         at = _range_of(ids, ranges)
+        order = np.argsort(at, kind="stable")
+        ids, group, several, at = ids[order], group[order], several[order], at[order]
         first = _starts(at)
         for a, b in zip(first.tolist(), [*first[1:].tolist(), len(at)]):
             by = a + np.argsort(group[a:b], kind="stable")  # equal group ids side by side compress well

@@ -80,3 +80,12 @@ def test_texts_are_cut_at_whole_characters(spark):
     assert sd.whole_characters("aéb".encode(), 2, 4) == (3, 4) and sd.whole_characters("aéb".encode(), 0, 2) == (0, 1)
     clash = awkward(spark)
     assert sd.without_repeats(clash, length_col="n_chars").columns == clash.columns
+
+
+def test_ranges_are_even_although_smallest_identifiers_are_small():
+    import numpy as np
+
+    least = np.random.default_rng(0).integers(0, 1 << 63, size=(40_000, 35), dtype=np.uint64).min(1)
+    for ranges in (5, 91):
+        count = np.bincount(sd._range_of(least, ranges), minlength=ranges)
+        assert count.max() < 1.3 * 40_000 / ranges
