@@ -51,7 +51,7 @@ SEGMENT = 1 << 19  # windows of a text that are taken up at a time
 FLUSH = 1 << 19  # bucket identifiers a task gathers before it sends them
 FLUSH_BYTES = 16 << 20  # and bytes of runs
 CHUNK = 1 << 14  # runs that are refined together (or one bucket, where that has more)
-RANGE_ENTRIES = 500_000
+RANGE_ENTRIES = 1_500_000
 HOT = 100_000
 GROUP_BITS = 4  # live buckets are reported to groups of 16 neighbouring rows
 NO_ID = (1 << 63) - 1
