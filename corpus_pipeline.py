@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusrisk.llm.common import fresh_name, stage
+from corpusrisk.llm.common import numbered, stage
 from corpusrisk.llm.exact_dedup import exact_dedup
 from corpusrisk.llm.language_id import UNKNOWN, language_id
 from corpusrisk.llm.packing import best_fit_packing
@@ -27,24 +27,24 @@ from corpusrisk.llm.simhash import simhash_near_dedup
 from corpusrisk.llm.suffix_dedup import without_repeats
 
 
-def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``rid`` (place in the table, the same for every scan of it) is in
-    ``verdicts``; the operators number rows alike."""
-    rid = fresh_name(docs, "rid")
-    numbered = docs.withColumn(rid, F.monotonically_increasing_id())
-    return numbered.join(verdicts.select(F.col("rid").alias(rid)), rid, "left_semi").select(*docs.columns)
+def _keep(docs: DataFrame, operator, kept) -> DataFrame:
+    """The rows of ``docs`` whose verdict by ``operator`` is ``kept``.  Row numbers are written once,
+    before the operator reads them, and all its jobs and the join read that table."""
+    rows, rid = numbered(docs)
+    verdicts = operator(rows, rid_col=rid).filter(kept)
+    return rows.join(verdicts.select(F.col("rid").alias(rid)), rid, "left_semi").select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, language_id(docs).filter(F.col("lang_pred") != UNKNOWN))
+    return _keep(docs, language_id, F.col("lang_pred") != UNKNOWN)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, exact_dedup(docs).filter("kept"))
+    return _keep(docs, exact_dedup, F.col("kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, simhash_near_dedup(docs).filter("kept"))
+    return _keep(docs, simhash_near_dedup, F.col("kept"))
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

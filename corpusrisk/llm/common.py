@@ -24,12 +24,12 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, later
     jobs read the table, and a lost executor costs only its running tasks."""
     path = shared_path(df.sparkSession, label)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
@@ -56,9 +56,27 @@ def release_shuffles(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+def id_text_columns(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    return [F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")]
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``text`` (null text: empty) of ``docs``; all other columns are left behind."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return docs.select(*id_text_columns(id_col, text_col))
+
+
+def row_number(rid_col: str | None) -> Column:
+    """The row number in ``rid_col``; without one, a number that holds within this scan only."""
+    return (F.col(rid_col) if rid_col else F.monotonically_increasing_id()).alias("rid")
+
+
+def numbered(docs: DataFrame, label: str = "numbered") -> tuple[DataFrame, str]:
+    """A staged copy of ``docs`` with a row number in a new column, and the name of that column.
+
+    ``monotonically_increasing_id`` follows the file splits of a scan, which follow the executors
+    of the moment: only a number that is written once is the same for every later job."""
+    rid = fresh_name(docs, "rid")
+    return stage(docs.withColumn(rid, F.monotonically_increasing_id()), label, "zstd"), rid
 
 
 def fresh_name(df: DataFrame, base: str) -> str:

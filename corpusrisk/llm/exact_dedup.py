@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusrisk.llm.common import SPACE_CLASS, id_text, stage
+from corpusrisk.llm.common import SPACE_CLASS, id_text_columns, row_number, stage
 
 MIN_CHUNK, MAX_CHUNK = 512, 8192
 # ends a chunk: one of these endings, a space, and (looked at only) a letter of the first half
@@ -32,13 +32,13 @@ def chunk_pattern(min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK, bounda
     return rf"(?s).{{{min_chunk},{max_chunk - 2}}}?{boundary}|.{{1,{max_chunk}}}"
 
 
-def _chunked(docs: DataFrame, min_chunk: int, max_chunk: int, hash_bits: int) -> DataFrame:
+def _chunked(docs: DataFrame, min_chunk: int, max_chunk: int, hash_bits: int, rid_col: str | None = None) -> DataFrame:
     """Rows (rid, doc_id, text_sha256, chunks array<struct<h, n, c>>)."""
     mask = F.lit(-1 if hash_bits >= 64 else (1 << hash_bits) - 1).cast("long")
     normal = F.regexp_replace("text", SPACE_CLASS + "+", " ")
     return (
-        id_text(docs)
-        .select(F.monotonically_increasing_id().alias("rid"), "doc_id", normal.alias("text"))
+        docs.select(row_number(rid_col), *id_text_columns())
+        .select("rid", "doc_id", normal.alias("text"))
         .select(
             "rid",
             "doc_id",
@@ -54,18 +54,22 @@ def _chunked(docs: DataFrame, min_chunk: int, max_chunk: int, hash_bits: int) ->
     )
 
 
-def recipes(docs: DataFrame, min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK, hash_bits: int = 64) -> DataFrame:
+def recipes(docs: DataFrame, min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK, hash_bits: int = 64, rid_col: str | None = None) -> DataFrame:
     """One row per document: rid, doc_id, text_sha256 and ``recipe``, the ordered list of verified
     chunk identifiers ``struct<h long, n int, v int>`` (hash, bytes, rank among the contents that
     share both; 0 for nearly all).  ``hash_bits`` exists to force shared hashes in tests."""
-    chunked = _chunked(docs, min_chunk, max_chunk, hash_bits)
+    chunked = _chunked(docs, min_chunk, max_chunk, hash_bits, rid_col)
     bare = lambda c: F.struct(c["h"].alias("h"), c["n"].alias("n"), F.lit(0).alias("v"))
-    base = stage(chunked.select("rid", "doc_id", "text_sha256", F.transform("chunks", bare).alias("recipe")), "recipes")
+    unranked = lambda x: x.select("rid", "doc_id", "text_sha256", F.transform("chunks", bare).alias("recipe"))
+    base = stage(unranked(chunked), "recipes")
     contents = chunked.select(F.explode("chunks").alias("x")).select("x.h", "x.n", "x.c").distinct()
     shared = stage(contents.groupBy("h", "n").count().filter("count > 1").select("h", "n"), "shared-hashes")
     if shared.isEmpty():
         return base
     # rare: number the contents behind each shared hash and put the number into the identifiers
+    if rid_col is None:  # the rows are read again here: their numbers have to be written first
+        chunked = stage(chunked, "chunks")
+        base = unranked(chunked)
     at = chunked.select("rid", F.posexplode("chunks").alias("pos", "x")).select("rid", "pos", "x.h", "x.n", "x.c").join(shared, ["h", "n"])
     rank = Window.partitionBy("h", "n").orderBy("c")  # as many rows as contents share one hash
     ranks = at.select("h", "n", "c").distinct().withColumn("v", F.row_number().over(rank) - 1)
@@ -79,10 +83,10 @@ def recipes(docs: DataFrame, min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CH
     return stage(fixed.drop("fix"), "recipes-ranked")
 
 
-def exact_dedup(docs: DataFrame, min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK, hash_bits: int = 64) -> DataFrame:
+def exact_dedup(docs: DataFrame, min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK, hash_bits: int = 64, rid_col: str | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text), n_chunks and rid, the
-    row's ``monotonically_increasing_id`` in ``docs``; one row per row of ``docs``."""
-    rows = recipes(docs, min_chunk, max_chunk, hash_bits)
+    row number in ``rid_col`` (or one of a single scan); one row per row of ``docs``."""
+    rows = recipes(docs, min_chunk, max_chunk, hash_bits, rid_col)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid"))
     groups = rows.groupBy("recipe").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size"))
     return rows.join(groups, "recipe").select(

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusrisk.llm.common import held_out
+from corpusrisk.llm.common import held_out, row_number
 
 PER_LANGUAGE = 500
 LANDMARKS = 32
@@ -118,11 +118,11 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LA
     return fit([x[3] for x in sample], [x[2] for x in sample], landmarks, ridge)
 
 
-def language_id(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = RIDGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """rid (the row's ``monotonically_increasing_id``), doc_id, held_out, lang_pred and score."""
+def language_id(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = RIDGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rid_col: str | None = None) -> DataFrame:
+    """rid (the row number in ``rid_col``, or one of this scan), doc_id, held_out, lang_pred and score."""
     one = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     model = one.sparkSession.sparkContext.broadcast(train(one, per_language, landmarks, ridge))
-    rows = one.select(F.monotonically_increasing_id().alias("rid"), "doc_id", held_out("doc_id").alias("held_out"), "text")
+    rows = docs.select(row_number(rid_col), F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):

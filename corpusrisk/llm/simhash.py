@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusrisk.llm.common import id_text, shuffle_partitions, stage
+from corpusrisk.llm.common import id_text_columns, row_number, shuffle_partitions, stage
 from corpusrisk.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -57,9 +57,9 @@ def fingerprint(text: str, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text", rid_col: str | None = None) -> DataFrame:
     """rid, doc_id and fp (the fingerprint's bits as a signed long) of each row."""
-    one = id_text(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    one = docs.select(row_number(rid_col), *id_text_columns(id_col, text_col))
     kind = one.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -155,11 +155,11 @@ def _with_end(frames):
     yield None
 
 
-def simhash_near_dedup(docs: DataFrame, words: int = SHINGLE_WORDS, bits: int = MAX_BITS, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rid (the row's ``monotonically_increasing_id``), doc_id, fingerprint (16 lowercase hex digits),
+def simhash_near_dedup(docs: DataFrame, words: int = SHINGLE_WORDS, bits: int = MAX_BITS, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", rid_col: str | None = None) -> DataFrame:
+    """rid (the row number in ``rid_col``, or one of a single scan), doc_id, fingerprint (16 lowercase hex digits),
     component_id (smallest doc_id reachable over links), component_size and kept (one row of each
     component: the smallest doc_id, null ids last, the first of repeated rows)."""
-    rows = stage(fingerprints(docs, words, id_col, text_col), "fingerprints")
+    rows = stage(fingerprints(docs, words, id_col, text_col, rid_col), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     prints = stage(rows.groupBy("fp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")), "prints")
     found = connected_components(links(prints.select("fp"), bits, block)).withColumnRenamed("node", "fp")

@@ -27,7 +27,7 @@ identifier) and their 50-byte identifier both agree, 128 bits in all.
 Cases: null text is the empty text; a text below 50 bytes keeps everything; a null doc_id counts
 as larger than any other; rows with one doc_id are no smaller than one another, so repeated rows
 lose only what smaller ids have; extra columns are ignored; an empty table gives an empty result.
-``docs`` must be a table scan or otherwise give its rows in the same places each time.
+Rows are numbered once, in a staged copy that all later steps read.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusrisk.llm.common import forget_worker_tables, fresh_name, release_shuffles, shuffle_partitions, stage
+from corpusrisk.llm.common import forget_worker_tables, fresh_name, numbered, release_shuffles, row_number, shuffle_partitions, stage
 
 SPAN = 50
 GRAM = 16
@@ -457,9 +457,9 @@ def whole_characters(raw: bytes, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _ordered(docs: DataFrame, id_col: str, text_col: str, rid_col: str | None = None) -> DataFrame:
     return docs.select(
-        F.monotonically_increasing_id().alias("rid"),
+        row_number(rid_col),
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("ord"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
@@ -467,9 +467,9 @@ def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def suffix_dedup(docs: DataFrame, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: rid (its ``monotonically_increasing_id``), doc_id, n_bytes, n_removed,
-    n_spans, kept_sha256 and removed (list of byte ranges)."""
-    rows = _ordered(docs, id_col, text_col)
+    """One row per row of ``docs``: rid (its number), doc_id, n_bytes, n_removed, n_spans, kept_sha256
+    and removed (list of byte ranges)."""
+    rows = stage(_ordered(docs, id_col, text_col), "numbered", "zstd")
     spans = repeated_spans(rows.select("rid", "ord", "text"), hot)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -505,14 +505,15 @@ def kept_text(text: str, spans: list[tuple[int, int]]) -> str:
 def without_repeats(docs: DataFrame, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """``docs`` with all its rows and columns, repeated strings cut out of the texts (and the length in
     characters counted anew where ``length_col`` is one of its columns)."""
-    rid, found = fresh_name(docs, "rid"), fresh_name(docs, "spans")
-    spans = repeated_spans(_ordered(docs, id_col, text_col).select("rid", "ord", "text"), hot)
+    rows, rid = numbered(docs)
+    found = fresh_name(docs, "spans")
+    spans = repeated_spans(_ordered(rows, id_col, text_col, rid).select("rid", "ord", "text"), hot)
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, some: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else kept_text(t, [(x["lo"], x["hi"]) for x in s]) for t, s in zip(text, some)], dtype=object)
 
-    out = docs.withColumn(rid, F.monotonically_increasing_id()).join(spans.select(F.col("rid").alias(rid), F.col("spans").alias(found)), rid, "left")
+    out = rows.join(spans.select(F.col("rid").alias(rid), F.col("spans").alias(found)), rid, "left")
     out = out.withColumn(text_col, cut(F.col(text_col), F.col(found)))
     if length_col in docs.columns:
         kind = docs.schema[length_col].dataType
