@@ -1,9 +1,11 @@
 """Sharding by balanced label propagation: equal texts are drawn into one shard while every shard
 keeps its row quota (law ``rows``: shard counts differ by at most one).
 
-Links: documents with equal texts, held as a star around their group (never as pairs).  A group
-larger than a quarter of a shard is first split into blocks of that size, because quotas must cut
-it anyway.  Every linked document starts in a shard drawn by hash.  Then, in rounds:
+Links: documents with equal texts, held as a star around their group (never as pairs).  Only a group
+larger than a shard is split, as quotas must cut it: into blocks of a whole shard and a rest.  Blocks
+above a quarter of a shard (fewer than four a shard, whatever the input) get their labels first, the
+largest first, each the fullest shard that still takes it whole.  Every other linked document starts
+in a shard drawn by hash from the room that is left.  Then, in rounds over these blocks:
 
 1. each block counts its documents by shard (the join of documents and their block, aggregated);
 2. a divided block wants the shard that holds most of it (ties by hash); one that was refused in
@@ -53,6 +55,21 @@ def _edges(room: list[int]) -> list[int]:
     return out
 
 
+def place_large(blocks: list[tuple[str, int]], sizes: list[int]) -> list[tuple[str, int, int]]:
+    """(block, shard, n) for blocks (block, n): the largest first, each in the shard with the least
+    room that holds it; one that fits nowhere is cut into as few parts as the room allows."""
+    room, out = list(sizes), []
+    for block, n in sorted(blocks, key=lambda x: (-x[1], x[0])):
+        while n:
+            fits = [s for s, r in enumerate(room) if r >= n]
+            s = min(fits, key=lambda s: (room[s], s)) if fits else max(range(len(room)), key=lambda s: (room[s], -s))
+            part = min(n, room[s])
+            room[s] -= part
+            n -= part
+            out.append((block, s, part))
+    return out
+
+
 def label_propagation(blocks: DataFrame, sizes: list[int], rounds: int = ROUNDS) -> DataFrame:
     """``blocks``: (block, shard, n), the documents of each block by shard.  Returns the same columns
     after at most ``rounds`` rounds; quotas are those of ``sizes``."""
@@ -125,20 +142,34 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     rows = stage(places(stage(one, "hashed"), "grp", [F.col("doc_id")], "nth", "grouped", "group_size"), "linked")
     total = rows.count()
     sizes = quotas(total, shards)
-    block_rows = max(2, total // shards // 4)
+    block_rows = max(1, total // shards)
+    whole = F.col("group_size") <= max(sizes)
+    nth_block = F.when(whole, F.lit(0)).otherwise(F.floor(F.col("nth") / block_rows))
     linked = rows.filter("group_size > 1").select(
         "doc_id", "size", "text_crc32", "group_size",
-        F.concat_ws(":", "grp", F.floor(F.col("nth") / block_rows).cast("string")).alias("block"),
-        (F.col("nth") % block_rows).alias("at"),
+        F.concat_ws(":", "grp", nth_block.cast("string")).alias("block"),
+        F.when(whole, F.col("nth")).otherwise(F.col("nth") % block_rows).alias("at"),
+        F.when(whole, F.col("group_size")).otherwise(F.least(F.lit(block_rows), F.col("group_size") - nth_block * block_rows)).alias("block_size"),
     )
-    start = F.pmod(F.xxhash64("block", "at"), F.lit(shards)).cast("int")
-    blocks = stage(linked.groupBy("block", start.alias("shard")).agg(F.count(F.lit(1)).alias("n")), "start")
-    blocks = within_quotas(label_propagation(blocks, sizes, rounds), sizes)
+    is_large = F.col("block_size") > block_rows // 4
+    # fewer than four blocks a shard reach the driver
+    large = place_large([(r["block"], r["block_size"]) for r in linked.filter(is_large & (F.col("at") == 0)).select("block", "block_size").collect()], sizes)
+    left = list(sizes)
+    for _, s, n in large:
+        left[s] -= n
+    at = F.pmod(F.xxhash64("block", "at"), F.lit(max(1, sum(left))))
+    start = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in _edges(left)[1:]]), lambda e: e <= at))
+    small = linked.filter(~is_large)
+    blocks = stage(small.groupBy("block", start.alias("shard")).agg(F.count(F.lit(1)).alias("n")), "start")
+    blocks = within_quotas(label_propagation(blocks, left, rounds), left).select("block", F.col("shard").cast("int").alias("shard"), "n")
+    fixed = rows.sparkSession.createDataFrame(large, "block string, shard int, n long")
     # a block's documents go to its shards in order of their place
     earlier = Window.partitionBy("block").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # at most one row per shard
-    spans = blocks.withColumn("lo", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    together = linked.join(spans, "block").filter("at >= lo AND at < lo + n").select("doc_id", "size", "text_crc32", "group_size", "block", "shard")
-    edges = _edges([q - n for n, q in zip(loads(blocks, shards), sizes)])
+    with_spans = lambda x: x.withColumn("lo", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    # the rows of a large block stay where they are: its few spans go to them
+    both = small.join(with_spans(blocks), "block").unionByName(linked.filter(is_large).join(F.broadcast(with_spans(fixed)), "block"))
+    together = both.filter("at >= lo AND at < lo + n").select("doc_id", "size", "text_crc32", "group_size", "block", "shard")
+    edges = _edges([q - n for n, q in zip(loads(blocks, shards), left)])
     single = number_rows(rows.filter("group_size = 1"), [F.col("doc_id"), F.col("grp")], "singles", "_g")
     fill = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in edges[1:]]), lambda e: e <= F.col("_g")))
     placed = together.unionByName(single.select("doc_id", "size", "text_crc32", "group_size", F.lit(None).cast("string").alias("block"), fill.alias("shard")))

@@ -33,6 +33,17 @@ def test_hot_group_is_cut_no_more_than_quotas_ask(spark):
     assert sum(len(set(g)) > 1 for g in groups.values() if len(g) < 10) <= 0.1 * len(groups)
 
 
+def test_groups_span_no_more_shards_than_quotas_ask(spark):
+    sizes = {"third": 400, "most of two": 220, **{f"part {i}": 36 for i in range(5)}, "quarter": 31}
+    texts = [name for name, n in sizes.items() for _ in range(n)]
+    texts += [f"text {i // 2}" for i in range(1200 - len(texts))]
+    df = spark.createDataFrame([(7 * i % 1200, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    groups = check(balanced_shards(df, shards=10).collect(), 10)
+    large = sorted((len(g), len(set(g))) for g in groups.values() if len(g) > 2)
+    assert large == [(31, 1), *[(36, 1)] * 5, (220, 2), (400, 4)]
+    assert sum(len(set(g)) > 1 for g in groups.values() if len(g) == 2) <= 0.1 * len(groups)
+
+
 def test_quotas_hold_after_propagation(spark):
     blocks = spark.createDataFrame([(f"b{i}", s, 3) for i in range(40) for s in (0, 1)], "block string, shard int, n long")
     sizes = quotas(240, 4)
