@@ -11,19 +11,23 @@ from corpusrisk.operators import lineage as ln
 from corpusrisk.operators import models as md
 from corpusrisk.operators import report as rp
 from corpusrisk.operators import sampling as sp
+from corpusrisk.operators.prefix import running_sum
 from corpusrisk.plans.tables import label_text, load
 from corpusrisk.sinks import writers as wr
 from corpusrisk.sources import readers as rd
 
 # ---------------------------------------------------------------------------------------------- feeds
 
+FILE_CUSTOMERS = 10_000  # customers a part of a feed file stands for
+FILE_ORDERS = 100_000  # order keys a run file stands for
 COMMIT_URL = "https://github.com/torvalds/linux/commit/"
 
 
 def feed(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as feed files of JSON text, parsed with the feed's schema: an order is a reference
     (every third not a CONFIRM one), a customer's orders of one status are an item, a status and
-    year a file."""
+    year a file.  A file comes in as many parts as its range of customers asks for (``FILE_CUSTOMERS``
+    each), in their order, with ``before``, the number of items in earlier parts."""
     o = load(spark, sf, "orders").withColumn("file_name", F.concat_ws("-", F.lit("feed"), "o_orderstatus", F.year("o_orderdate").cast("string")))
     source = F.when(F.col("o_orderkey") % 3 == 0, "MISC").otherwise("CONFIRM")
     url = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("https://example.com/"), F.col("o_orderkey").cast("string"))).otherwise(
@@ -36,14 +40,26 @@ def feed(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.col("refs").alias("reference_data")).alias("references"),
         F.struct(F.array(F.struct(F.concat(F.lit("the f_"), F.col("o_custkey").cast("string"), F.lit(" function in net/c"), F.col("o_custkey").cast("string"), F.lit(".c allows")).alias("value"))).alias("description_data")).alias("description"),
     )
-    files = items.groupBy("file_name").agg(F.array_sort(F.collect_list(F.struct(F.col("o_custkey"), F.struct(cve.alias("cve")).alias("i")))).alias("s"))
+    part = F.floor(F.col("o_custkey") / F.lit(FILE_CUSTOMERS)).alias("part")
+    files = items.groupBy("file_name", part).agg(F.array_sort(F.collect_list(F.struct(F.col("o_custkey"), F.struct(cve.alias("cve")).alias("i")))).alias("s"))
     text = F.to_json(F.struct(F.transform("s", lambda x: x["i"]).alias("CVE_Items")))
-    return files.select("file_name", F.from_json(text, rd.FEED_SCHEMA)["CVE_Items"].alias("CVE_Items"))
+    counts = o.select("file_name", part, "o_custkey").distinct().groupBy("file_name", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = running_sum(counts, ["file_name"], ["part"], ["n"], "upto_").select("file_name", "part", (F.col("upto_n") - F.col("n")).cast("long").alias("before"))
+    parsed = files.select("file_name", "part", F.from_json(text, rd.FEED_SCHEMA)["CVE_Items"].alias("CVE_Items"))
+    return parsed.join(before, ["file_name", "part"])
+
+
+def items_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Items of the feed with their places in the whole file."""
+    parts = feed(spark, sf)
+    one = parts.select(F.struct("file_name", "before").alias("file_name"), "CVE_Items")
+    placed = ln.feed_items(one).withColumn("item_pos", (F.col("file_name.before") + F.col("item_pos")).cast("int"))
+    return placed.withColumn("file_name", F.col("file_name.file_name"))
 
 
 def q_src_feed_items(spark: SparkSession, sf: str) -> DataFrame:
     """``src_feed`` + ``src_feed_items`` + ``fn_find_all``: items with their places, fix commits and names."""
-    r = ln.advisory_records(ln.feed_items(feed(spark, sf)))
+    r = ln.advisory_records(items_of(spark, sf))
     return r.select("file_name", "item_pos", "cve_id", F.array_join(F.array_sort("fix_commits"), ",").alias("fix_commits"), F.array_join("desc_files", ",").alias("files"), F.array_join("desc_functions", ",").alias("functions"))
 
 
@@ -60,7 +76,7 @@ SELECT file_name, item_pos::INTEGER AS item_pos, 'CVE-' || o_custkey AS cve_id,
 
 def q_flt_has_commits(spark: SparkSession, sf: str) -> DataFrame:
     """``flt_has_commits`` + ``agg_last_wins``: the last file's item with fix commits per advisory."""
-    a = ln.latest_advisories(ln.advisory_records(ln.feed_items(feed(spark, sf))))
+    a = ln.latest_advisories(ln.advisory_records(items_of(spark, sf)))
     return a.select("cve_id", F.array_join(F.array_sort("fix_commits"), ",").alias("fix_commits"))
 
 
@@ -199,9 +215,17 @@ def order_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_src_runs(spark: SparkSession, sf: str) -> DataFrame:
-    """``src_runs``: positional ``[id, label, score]`` triples from JSON text, cast."""
-    s = order_scores(spark, sf)
-    runs = s.groupBy("split").agg(F.collect_list(F.array("id", F.col("label").cast("string"), F.col("score").cast("string"))).alias("examples"))
+    """``src_runs``: positional ``[id, label, score]`` triples from JSON text, cast; a split's runs are
+    files of ``FILE_ORDERS`` order keys each."""
+    return parsed_runs(run_files(spark, sf))
+
+
+def run_files(spark: SparkSession, sf: str) -> DataFrame:
+    s = order_scores(spark, sf).withColumn("file", F.floor(F.col("id").cast("long") / F.lit(FILE_ORDERS)))
+    return s.groupBy("split", "file").agg(F.collect_list(F.array("id", F.col("label").cast("string"), F.col("score").cast("string"))).alias("examples"))
+
+
+def parsed_runs(runs: DataFrame) -> DataFrame:
     parsed = runs.select("split", F.from_json(F.to_json(F.struct(F.struct("examples").alias("test"))), rd.RUN_SCHEMA).alias("r"))
     return parsed.select("split", F.explode("r.test.examples").alias("e")).select("split", *rd.example_columns(F.col("e")))
 
