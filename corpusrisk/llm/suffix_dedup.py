@@ -328,7 +328,7 @@ def _packed_runs(ranges: int):
                     place, n, row = int(g.at[begin[j]]), int(end[j] - begin[j]), g.text[g.part[begin[j]]]
                     text, one = g.data[place : place + n + SPAN - 1], np.ones(n, dtype=np.int64)
                     each = _gathered(text, np.arange(n), one * SPAN)
-                    held.append((span_ids(text), one * rid[row], one * ord_[row], g.start[begin[j]] + np.arange(n), one, each))
+                    held.append((refined(np.full(n, ids[j]), span_ids(text)), one * rid[row], one * ord_[row], g.start[begin[j]] + np.arange(n), one, each))
                     size += n * 100
                 if size >= FLUSH_BYTES:
                     yield from send(held)
