@@ -4,7 +4,7 @@ Tokens: white space only separates words for this tokenizer, so each word is enc
 ``tokenizers`` library and remembered in a bounded table per worker.  A document is its ids and the
 end id; longer ones than a sequence are cut into full pieces and a rest.
 
-Placement, in bulk-synchronous steps: the pieces are range-sorted by descending length (ranks from
+Placement by a sequential loop on the driver, in place of distributed sweeps: the pieces are range-sorted by descending length (ranks from
 the range partitions, no single-task sort) and so are the gaps of the open sequences.  One step
 takes the longest pieces not placed yet - all pieces of one length, which are interchangeable -
 and sweeps the gaps upwards from the successor of that length; every gap takes as many as fit, the
