@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from corpusrisk.llm.byte_bpe import byte_bpe
 from corpusrisk.llm.common import load
 from corpusrisk.llm.exact_dedup import exact_dedup
+from corpusrisk.llm.hard_negatives import hard_negatives
+from corpusrisk.llm.html_text import main_text
+from corpusrisk.llm.importance import importance_resample
 from corpusrisk.llm.language_id import language_id
 from corpusrisk.llm.packing import best_fit_packing
 from corpusrisk.llm.quality_classifier import quality_scores
@@ -130,6 +133,38 @@ SELECT page_id, url, row_number() OVER w - 1 AS record_no, (sum(length) OVER (w
 FROM d WINDOW w AS (ORDER BY page_id NULLS FIRST, url, sha256)
 """
 
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+SQL_OP11 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS c
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.c, b.c)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)
+QUALIFY row_number() OVER w <= 10
+"""
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance_resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(load(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": (op1_simhash_near_dedup, None),
     "op2_quality_classifier": (op2_quality_classifier, None),
@@ -141,6 +176,9 @@ QUERIES = {
     "op8_sharding": (op8_sharding, None),
     "op9_exact_dedup": (op9_exact_dedup, SQL_OP9),
     "op10_warc_fixity_audit": (op10_warc_fixity_audit, SQL_OP10),
+    "op11_hard_negatives": (op11_hard_negatives, SQL_OP11),
+    "op12_importance_resampling": (op12_importance_resampling, None),
+    "op13_html_extraction": (op13_html_extraction, None),
 }
 
 
