@@ -7,7 +7,8 @@ carries the CRC and the length of the word.  Scanning the group's texts emits th
 order.  The CRC of a run is composed from adjacent payloads - the CRC of ``a b`` from those of ``a``,
 of a space and of ``b`` and the length of ``b`` - so no run is ever written out as text.
 
-Buckets are counted over all documents and over all target texts; a task sends one row per bucket.
+One scan writes each document's distinct buckets with their numbers.  Buckets are counted over all
+documents and over all target texts; a task sends one row per bucket.
 A bucket's gain is a floored log-ratio of the two smoothed shares; a document's weight is the floored
 mean gain of its features.  Weights with Gumbel noise drawn from the document's id are ranked by a
 range sort, and the highest are drawn.
@@ -155,21 +156,40 @@ def _groups(batch: pa.RecordBatch, column: int):
         yield first, raw
 
 
-def bucket_counts(texts: DataFrame, buckets: int, longest: int, text_col: str = "text") -> np.ndarray:
-    """Occurrences of features by bucket, over all rows; the driver gets one row per bucket."""
+def bucketed(texts: DataFrame, buckets: int, longest: int, id_col: str | None = None, text_col: str = "text") -> DataFrame:
+    """One scan of all texts: doc_id, n_words, n_features, and the distinct buckets of the features with
+    their numbers, as packed unsigned 32-bit integers.  A row is bounded by the number of buckets."""
+    one = texts.select((F.col(id_col) if id_col else F.lit(None).cast("long")).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = one.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for first, raw in _groups(batch, 1):
+                words, of, crc = feature_crcs(raw, longest)
+                n = np.bincount(of, minlength=len(raw))
+                key, count = np.unique(of.astype(np.int64) * buckets + crc % np.uint32(buckets), return_counts=True)
+                edges = np.searchsorted(key, np.arange(len(raw) + 1, dtype=np.int64) * buckets)
+                packed = ((key % buckets).astype("<u4"), count.astype("<u4"))
+                cells = [[c[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:])] for c in packed]
+                columns = [pa.array(words, pa.int64()), pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in cells)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(raw)), *columns], names=["doc_id", "n_words", "n_features", "found", "times"])
+
+    return stage(one.mapInArrow(run, f"doc_id {kind}, n_words long, n_features long, found binary, times binary"), "buckets", "zstd")
+
+
+def bucket_counts(scanned: DataFrame, buckets: int) -> np.ndarray:
+    """Occurrences of features by bucket, over all rows; a task and the driver get one row per bucket."""
 
     def count(batches):
         total = np.zeros(buckets, dtype=np.int64)
         for batch in batches:
-            for _, raw in _groups(batch, 0):
-                _, _, crc = feature_crcs(raw, longest)
-                total += np.bincount(crc % np.uint32(buckets), minlength=buckets)
+            found, times = (np.frombuffer(b"".join(c.to_pylist()), "<u4") for c in batch.columns)
+            total += np.bincount(found, times, buckets).astype(np.int64)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
 
     out = np.zeros(buckets, dtype=np.int64)
-    counted = texts.select(F.col(text_col)).mapInArrow(count, "bucket long, n long")
-    for r in counted.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in scanned.select("found", "times").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r["bucket"]] = r["n"]
     return out
 
@@ -190,24 +210,21 @@ def importance_resample(
     docs: DataFrame, target: DataFrame, percent: int = 10, least_words: int = 20, buckets: int = 10_000, longest: int = 1, seed: int = 2024, id_col: str = "doc_id", text_col: str = "text", target_text: str = "text"
 ) -> DataFrame:
     """doc_id, n_words, n_features, weight, score and rank (null: not drawn) of every document."""
-    gain = gains(bucket_counts(docs, buckets, longest, text_col), bucket_counts(target, buckets, longest, target_text))
-    kind = docs.schema[id_col].dataType.simpleString()
+    source = bucketed(docs, buckets, longest, id_col, text_col)
+    wanted = bucketed(target, buckets, longest, None, target_text)
+    gain = gains(bucket_counts(source, buckets), bucket_counts(wanted, buckets))
+    kind = source.schema["doc_id"].dataType.simpleString()
 
     def score(batches):
         for batch in batches:
-            ids = batch.column(0)
-            for first, raw in _groups(batch, 1):
-                words, of, crc = feature_crcs(raw, longest)
-                n = np.bincount(of, minlength=len(raw))
-                total = np.zeros(len(raw), dtype=np.int64)
-                np.add.at(total, of, gain[crc % np.uint32(buckets)])
-                weight = np.where(n > 0, total // np.maximum(n, 1), 0)
-                mine = ids.slice(first, len(raw))
-                luck = np.array([noise(seed, i) for i in mine.to_pylist()], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([mine, *(pa.array(c.astype(np.int64)) for c in (words, n, weight, weight + luck))], names=["doc_id", "n_words", "n_features", "weight", "score"])
-
-    one = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    scored = stage(one.mapInArrow(score, f"doc_id {kind}, n_words long, n_features long, weight long, score long"), "importance")
+            ids, words, n, found, times = batch.columns
+            total = np.array([int((gain[np.frombuffer(f, "<u4")] * np.frombuffer(t, "<u4").astype(np.int64)).sum()) for f, t in zip(found.to_pylist(), times.to_pylist())], dtype=np.int64)
+            features = n.to_numpy()
+            weight = np.where(features > 0, total // np.maximum(features, 1), 0)
+            luck = np.array([noise(seed, i) for i in ids.to_pylist()], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([ids, words, n, pa.array(weight), pa.array(weight + luck)], names=["doc_id", "n_words", "n_features", "weight", "score"])
+
+    scored = stage(source.mapInArrow(score, f"doc_id {kind}, n_words long, n_features long, weight long, score long"), "importance")
     able = scored.filter(F.col("n_words") >= least_words)
     drawn = able.count() * percent // 100
     # only the able documents are ranked; the sort is by ranges, the place a partition's offset and its own
