@@ -40,13 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusrisk.llm.common import id_text, number_rows, shuffle_partitions, stage, worker_table
+from corpusrisk.llm.common import id_text, number_rows, stage, worker_table
 
 SEQUENCE_TOKENS = 2048
 END_ID = 0
 REMEMBERED_BYTES = 24 << 20  # of words and ids, in each of two generations kept per worker
 ENTRY_BYTES = 200  # what a table entry takes besides
 GROUP_CHARS = 2_000_000
+ROUND_TASKS = 8  # a round has few rows, whatever the corpus
 RANK_BITS = 10  # matched runs meet pieces by blocks of 1,024 ranks
 
 
@@ -252,7 +253,7 @@ def successors(state: DataFrame, size: int) -> DataFrame:
 
     Sizes are cut into ranges; within one, a downward sweep has the last gap seen, and from the
     ranges above comes their least gap: one carried number per range."""
-    ranges = min(shuffle_partitions(state.sparkSession), 16)
+    ranges = ROUND_TASKS
     placed = state.withColumn("_r", F.expr(f"size * {ranges} div {size + 1}"))
     least = placed.filter(F.col("kind") == GAP).groupBy("_r").agg(F.min("size").alias("_least"))
     every = placed.select("_r").distinct().join(least, "_r", "left")  # at most ``ranges`` rows
@@ -267,7 +268,6 @@ def successors(state: DataFrame, size: int) -> DataFrame:
 def matched_runs(lengths: DataFrame, size: int) -> DataFrame:
     """Matched runs (first, n, size, sequence, per, gap) of all pieces, ranked by descending length;
     ``lengths``: (length, n)."""
-    spark = lengths.sparkSession
     before = Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)  # at most ``size`` rows
     first = F.coalesce(F.sum("n").over(before), F.lit(0))
     none = [F.lit(None).cast("long").alias(c) for c in ("sequence", "per", "gap")]
@@ -275,9 +275,8 @@ def matched_runs(lengths: DataFrame, size: int) -> DataFrame:
     rounds, opened = [], 0
     waiting = state.count()
     while waiting:
-        n = min(shuffle_partitions(spark), 16)  # a round has few rows, whatever the corpus
         swept = successors(state.filter(F.col("kind") != MATCHED), size)
-        met = swept.select("successor", "kind", "size", "first", "n").repartition(n, "successor").sortWithinPartitions("successor")
+        met = swept.select("successor", "kind", "size", "first", "n").repartition(ROUND_TASKS, "successor").sortWithinPartitions("successor").coalesce(ROUND_TASKS)
         state = stage(met.mapInArrow(_resolver(size, opened), _RUN_SQL), "packing-round")
         rounds.append(state.filter(F.col("kind") == MATCHED))
         # new sequences start with an empty gap: their number is what the whole gaps gave
