@@ -175,33 +175,43 @@ def told(path: tuple[tuple[str, ...], ...]) -> int | None:
     return None
 
 
-_slots: dict[str, int] = worker_table({})
+class _Hashes(dict):
+    """CRC-32 of tokens, remembered up to a bound."""
 
+    def __missing__(self, token: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        h = self[token] = zlib.crc32(token.encode("utf-8", "surrogatepass"))
+        return h
 
-def _slot(token: str, width: int) -> int:
-    h = _slots.get(token)
-    if h is None:
-        if len(_slots) >= REMEMBERED:
-            _slots.clear()
-        h = _slots[token] = zlib.crc32(token.encode("utf-8", "surrogatepass"))
-    return h % width
+
+_hashes = worker_table(_Hashes())
+
+
+@lru_cache(maxsize=10_000)
+def _path_slots(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
+    """Places of a path's tokens, and of those of its innermost element behind them."""
+    every = {_hashes[t] % PATH_SLOTS for element in path for t in element}
+    return np.array(sorted(every) + sorted({PATH_SLOTS + _hashes[t] % PATH_SLOTS for t in (path[-1] if path else ())}), dtype=np.int64)
 
 
 def vectors(page: list[Block]) -> np.ndarray:
     """One row per block: hashed path, innermost element, hashed words, measures."""
-    x = np.zeros((len(page), WIDTH), dtype=np.float32)
-    words = 2 * PATH_SLOTS
-    measures = words + WORD_SLOTS
-    for i, b in enumerate(page):
-        for element in b.path:
-            x[i, [_slot(t, PATH_SLOTS) for t in element]] = 1
-        for t in b.path[-1] if b.path else ():
-            x[i, PATH_SLOTS + _slot(t, PATH_SLOTS)] = 1
-        found = b.text.lower().split()
-        at, n = np.unique([_slot(w, WORD_SLOTS) for w in found], return_counts=True)
-        x[i, words + at] = n / np.sqrt((n * n).sum())
-        size = len(b.text)
-        x[i, measures:] = (np.log1p(size) / 6, min(b.linked / size, 1), sum(b.text.count(c) for c in ".,;:!?") / len(found), sum(map(str.isdigit, b.text)) / size, np.log1p(len(found)) / 4)
+    n = len(page)
+    x = np.zeros((n, WIDTH), dtype=np.float32)
+    if not n:
+        return x
+    paths = [_path_slots(b.path) for b in page]
+    x[np.repeat(np.arange(n), [len(p) for p in paths]), np.concatenate(paths)] = 1
+    words = [b.text.lower().split() for b in page]
+    n_words = np.array([len(w) for w in words])
+    slots = np.fromiter((h for w in words for h in map(_hashes.__getitem__, w)), dtype=np.int64, count=int(n_words.sum())) % WORD_SLOTS
+    count = np.bincount(np.repeat(np.arange(n), n_words) * WORD_SLOTS + slots, minlength=n * WORD_SLOTS).reshape(n, WORD_SLOTS)
+    x[:, 2 * PATH_SLOTS : 2 * PATH_SLOTS + WORD_SLOTS] = count / np.sqrt((count * count).sum(axis=1, keepdims=True))
+    size = np.array([len(b.text) for b in page])
+    marks, digits = (np.array([sum(map(b.text.count, signs)) for b in page]) for signs in (".,;:!?", "0123456789"))
+    linked = np.minimum(np.array([b.linked for b in page]) / size, 1)
+    x[:, -MEASURES:] = np.stack([np.log1p(size) / 6, linked, marks / n_words, digits / size, np.log1p(n_words) / 4], axis=1)
     return x
 
 
@@ -399,9 +409,13 @@ def trained(pages: list[str], seed: int = 7, epochs: int = EPOCHS) -> Labeller:
 
 def training_pages(pages: DataFrame, limit: int = TRAIN_PAGES, most_chars: int = TRAIN_CHARS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> list[str]:
     """A sample of at most ``limit`` pages of at most ``most_chars`` characters, by a hash."""
-    key = F.xxhash64(F.col(id_col), F.col(url_col))
-    small = pages.filter(F.length(html_col).between(1, most_chars))
-    return [r["h"] for r in small.select(key.alias("k"), F.col(html_col).alias("h")).orderBy("k", "h").limit(limit).collect()]
+    small = pages.filter(F.length(html_col).between(1, most_chars)).select(F.xxhash64(F.col(id_col), F.col(url_col)).alias("k"), F.col(html_col).alias("h"))
+    # the keys alone decide which pages are sent; a page that repeats is sent once
+    keys = [r["k"] for r in small.select("k").distinct().orderBy("k").limit(limit).collect()]
+    if not keys:
+        return []
+    rows = small.filter(F.col("k") <= keys[-1]).groupBy("k").agg(F.min("h").alias("h"))  # ``limit`` groups
+    return [r["h"] for r in sorted(rows.collect(), key=lambda r: r["k"])]
 
 
 def extracted_text(page: list[Block], p: np.ndarray) -> str:
