@@ -24,13 +24,41 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
+_scratch: list[str] = []  # paths of tables that belong to the scratch begun last
+
+
+def stage(df: DataFrame, label: str, codec: str | None = None, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, later
-    jobs read the table, and a lost executor costs only its running tasks."""
+    jobs read the table, and a lost executor costs only its running tasks.
+
+    The table stays until :func:`discard` or, unless ``keep``, until the next :func:`begin_scratch`."""
     path = shared_path(df.sparkSession, label)
     schema = df.schema
     df.write.parquet(path, compression=codec)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    if not keep:
+        _scratch.append(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a staged table, given as :func:`stage` returned it, that no later job reads."""
+    _delete(table.sparkSession, table.staged_at)
+    if table.staged_at in _scratch:
+        _scratch.remove(table.staged_at)
+
+
+def begin_scratch(spark: SparkSession) -> None:
+    """Delete the tables staged since the last call.  For callers whose earlier results are all written:
+    a result is read from staged tables until it is."""
+    while _scratch:
+        _delete(spark, _scratch.pop())
 
 
 _worker_tables: list[dict] = []

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusrisk.llm.common import id_text, number_rows, stage, worker_table
+from corpusrisk.llm.common import discard, id_text, number_rows, stage, worker_table
 
 SEQUENCE_TOKENS = 2048
 END_ID = 0
@@ -293,6 +293,8 @@ def pack(pieces: DataFrame, size: int = SEQUENCE_TOKENS) -> DataFrame:
     # range sorting reads its input twice: tokenise once
     pieces = stage(pieces, "tokenised")
     ranked = number_rows(pieces, [F.col("length").desc(), F.col("doc_id"), F.col("piece")], "pieces", "_rank")
+    columns = pieces.columns
+    discard(pieces)  # numbered in a table of its own
     runs = stage(matched_runs(ranked.groupBy("length").agg(F.count(F.lit(1)).alias("n")), size), "matched-runs")
     # a run meets the blocks of ranks that it reaches into; blocks are small, so a piece meets few runs
     block = lambda c: F.shiftright(c, RANK_BITS)
@@ -301,7 +303,7 @@ def pack(pieces: DataFrame, size: int = SEQUENCE_TOKENS) -> DataFrame:
     at = F.col("_rank") - F.col("_first")
     j = ranked.withColumn("_block", block(F.col("_rank"))).join(spread, "_block").filter((at >= 0) & (at < F.col("_n")))
     place = [(F.col("sequence") + F.expr("(_rank - _first) div per")).alias("sequence_id"), (F.lit(size) - F.col("gap") + at % F.col("per") * F.col("_size")).alias("offset")]
-    return j.select(*pieces.columns, *place)
+    return j.select(*columns, *place)
 
 
 def best_fit_packing(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE_TOKENS, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusrisk.llm.common import forget_worker_tables, fresh_name, numbered, release_shuffles, row_number, shuffle_partitions, stage
+from corpusrisk.llm.common import discard, forget_worker_tables, fresh_name, numbered, release_shuffles, row_number, shuffle_partitions, stage
 
 SPAN = 50
 GRAM = 16
@@ -432,6 +432,7 @@ def repeated_spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
     there = rows.select("rid", "ord", "text", gid).join(by_group, "gid").select("rid", "ord", "text", "live", "hot")
     runs = there.mapInArrow(_packed_runs(ranges), kinds(_RUNS))
     spans = stage(runs.repartition(n, "r").sortWithinPartitions("r").mapInArrow(_refine, kinds(_SPANS)), "repeated-spans")
+    discard(live)
     del buckets, live, by_group, there, runs
     release_shuffles(spark)
     return spans.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # of one text
