@@ -15,10 +15,12 @@ text and lang alone, and extra columns pass through.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusrisk.llm.common import numbered, stage
+from corpusrisk.llm.common import begin_scratch, numbered, stage
 from corpusrisk.llm.exact_dedup import exact_dedup
 from corpusrisk.llm.language_id import UNKNOWN, language_id
 from corpusrisk.llm.packing import best_fit_packing
@@ -35,22 +37,39 @@ def _keep(docs: DataFrame, operator, kept) -> DataFrame:
     return rows.join(verdicts.select(F.col("rid").alias(rid)), rid, "left_semi").select(*docs.columns)
 
 
+def _stage(step):
+    """A stage that first deletes the tables which the stage before it staged: its ``docs`` are that
+    stage's result, written and read again, so nothing reads them any more."""
+
+    @functools.wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        begin_scratch(spark)
+        return step(spark, docs, sf_dir)
+
+    return run
+
+
+@_stage
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _keep(docs, language_id, F.col("lang_pred") != UNKNOWN)
 
 
+@_stage
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _keep(docs, exact_dedup, F.col("kept"))
 
 
+@_stage
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _keep(docs, simhash_near_dedup, F.col("kept"))
 
 
+@_stage
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_repeats(docs, length_col="n_chars")
 
 
+@_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return best_fit_packing(docs, tokenizer_path("word_bpe_49k.json"))
 
@@ -70,5 +89,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name)
+        docs = stage(step(spark, docs, sf_dir), name, keep=True)
     return docs
