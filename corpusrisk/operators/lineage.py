@@ -5,7 +5,7 @@ committed_timestamp, parents)``, ``file_versions(commit_hash, change_type, a_pat
 a_text, b_text)`` (each fix commit against its first parent) and ``blame(commit_hash, path,
 line_no, blame_commit)``.  Git access itself is outside the library.
 
-The line diff is the *set form*: equal lines are numbered by occurrence and matched by
+The sequential line diff is in :mod:`corpusrisk.operators.linediff`.  The one here is the *set form*: equal lines are numbered by occurrence and matched by
 ``(file, text, occurrence)``; an old line without a partner is deleted or replaced.  A run of
 new lines inserted between two consecutive old lines blames those two neighbours (line 0 and
 n + 1 then match no blame row).  Unlike a sequential matcher, a moved line counts as unchanged.

@@ -4,8 +4,8 @@ A model spec is the reference's dict (``{"type": "RandomForest", "n_estimators":
 "criterion": "gini"}`` ...).  Every estimator trains distributed with a ``weightCol``
 (``w = y * pos_class_weight + 1 - y``) and is scored with the exact ranking metrics of
 :mod:`corpusrisk.operators.evaluate`.  Custom pieces: AdaBoost (weighted stumps, weights
-updated by column expressions, lineage cut with a reliable checkpoint per round) and an RBF
-SVM by random Fourier features (Rahimi & Recht 2007) with Platt scaling (Platt 1999).
+updated by column expressions) and kernel SVMs, exact by a cascade or approximate by random Fourier
+features (Rahimi & Recht 2007), with Platt scaling (Platt 1999).
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from corpusrisk.functions import rand
 from corpusrisk.operators import evaluate as ev
+from corpusrisk.operators import svm
 from corpusrisk.session import pin
 
 FEATURES, LABEL, WEIGHT = "features", "label", "weight"
@@ -38,6 +39,7 @@ FEATURES, LABEL, WEIGHT = "features", "label", "weight"
 # builds; boosted trees stay small, as each only mends what the others leave.
 FOREST_TREES, FOREST_DEPTH, BOOSTED_DEPTH, TREE_BINS = 100, 30, 5, 32
 BOOSTING_ROUNDS = 50
+MAX_ITER = 200  # of the linear models, unless the spec has ``max_iter``
 SEARCH_TRIALS = 100
 RUNS_PER_SPLIT = 10
 LEARNING_CURVE_RUNS, LEARNING_CURVE_SIZES = 50, (100, 500, 1000, 2000, 5000, 10000)
@@ -46,8 +48,8 @@ LEARNING_CURVE_RUNS, LEARNING_CURVE_SIZES = 50, (100, 500, 1000, 2000, 5000, 100
 # ---------------------------------------------------------------------------------------------- data
 
 
-def model_frame(df: DataFrame, vector: str | Column, label: str = "y", pos_class_weight: float = 1.0, id_col: str = "file") -> DataFrame:
-    """``(file, features VECTOR, label DOUBLE, weight)`` from an ARRAY<DOUBLE/FLOAT> column
+def model_frame(df: DataFrame, vector: str | Column, label: str = "y", pos_class_weight: float = 1.0, id_col: str = "file", keep: Sequence[str] = ()) -> DataFrame:
+    """``(file, features VECTOR, label DOUBLE, weight)`` and the columns ``keep``, from an ARRAY<DOUBLE/FLOAT> column
     (``fn_stack``: all rows must have the same width, checked by the caller's assertion)."""
     v = F.col(vector) if isinstance(vector, str) else vector
     y = F.col(label).cast("double")
@@ -56,6 +58,7 @@ def model_frame(df: DataFrame, vector: str | Column, label: str = "y", pos_class
         array_to_vector(F.transform(v, lambda x: x.cast("double"))).alias(FEATURES),
         y.alias(LABEL),
         ev.sample_weight(y, pos_class_weight).alias(WEIGHT),
+        *keep,
     )
 
 
@@ -81,7 +84,7 @@ def make_estimator(spec: dict, n_rows: float | None = None, seed: int = 1):
         # C * sum(loss) + penalty  ==  (1/n) sum(loss) + (1/(C n)) penalty
         reg = 1.0 / (float(spec["C"]) * float(n_rows or 1.0))
         l1 = spec.get("penalty", "l2") == "l1"
-        return LogisticRegression(regParam=reg, elasticNetParam=1.0 if l1 else 0.0, standardization=False, weightCol=WEIGHT, maxIter=200, **common)
+        return LogisticRegression(regParam=reg, elasticNetParam=1.0 if l1 else 0.0, standardization=False, weightCol=WEIGHT, maxIter=int(spec.get("max_iter", MAX_ITER)), **common)
     if t == "RandomForest":
         return RandomForestClassifier(numTrees=int(spec.get("n_estimators", FOREST_TREES)), impurity=spec.get("criterion", "gini"), weightCol=WEIGHT, seed=seed, **tree, **common)
     if t == "GBT":
@@ -151,21 +154,32 @@ def random_fourier_features(df: DataFrame, dim_in: int, n_features: int, gamma:
 
 
 def fit_svm(train: DataFrame, test: DataFrame, spec: dict, seed: int = 1) -> DataFrame:
-    """``ml_svm``: linear SVM (or RBF through random Fourier features), probability by a
-    logistic fit on the training margins (Platt scaling).  As in the reference, gamma is used
-    only when the kernel type is spelled ``'RBF'``; otherwise ``'auto'`` = 1 / n_features."""
+    """``ml_svm``: a kernel machine by a cascade (:mod:`corpusrisk.operators.svm`), or with ``n_fourier`` in the
+    spec an approximate one of linear size: a linear SVM on random Fourier features.  The linear kernel
+    is Spark's own.  Probability by a logistic fit on the training margins (Platt scaling).  As in the
+    reference, gamma is used only when the kernel type is spelled ``'RBF'``; otherwise ``'auto'`` = 1 /
+    n_features."""
     kernel = spec.get("kernel", {"type": "linear"})
-    tr, te = train, test
     if kernel.get("type", "linear").lower() == "rbf":
         d = len(train.select(FEATURES).first()[0])
-        gamma = kernel.get("gamma") if kernel.get("type") == "RBF" else 1.0 / d
-        nf = int(spec.get("n_fourier", 256))
-        tr, te = random_fourier_features(train, d, nf, float(gamma), seed), random_fourier_features(test, d, nf, float(gamma), seed)
-    n = tr.agg(F.sum(WEIGHT)).first()[0]
-    svm = LinearSVC(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, regParam=1.0 / (float(spec.get("C", 1.0)) * n), maxIter=200).fit(tr)
-    margin = lambda d: svm.transform(d).withColumn("m", array_to_vector(F.array(vector_to_array("rawPrediction")[1])))
-    platt = LogisticRegression(featuresCol="m", labelCol=LABEL, weightCol=WEIGHT, regParam=0.0).fit(margin(tr).select("m", LABEL, WEIGHT))
-    return _p1(platt.transform(margin(te).select("file", LABEL, "m"))).select("file", LABEL, "score")
+        gamma = float(kernel.get("gamma") if kernel.get("type") == "RBF" else 1.0 / d)
+        if "n_fourier" not in spec:
+            dense = lambda df: df.select("*", vector_to_array(FEATURES).alias("x"))
+            machine = svm.fit(dense(train), float(spec.get("C", 1.0)), "rbf", gamma, label=LABEL, weight=WEIGHT)
+            margin = lambda df: svm.decision_values(dense(df).drop(FEATURES), machine).withColumn("m", array_to_vector(F.array("f")))
+            return _platt(margin(train), margin(test))
+        nf = int(spec["n_fourier"])
+        train, test = random_fourier_features(train, d, nf, gamma, seed), random_fourier_features(test, d, nf, gamma, seed)
+    n = train.agg(F.sum(WEIGHT)).first()[0]
+    model = LinearSVC(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, regParam=1.0 / (float(spec.get("C", 1.0)) * n), maxIter=int(spec.get("max_iter", MAX_ITER))).fit(train)
+    margin = lambda df: model.transform(df).withColumn("m", array_to_vector(F.array(vector_to_array("rawPrediction")[1])))
+    return _platt(margin(train), margin(test))
+
+
+def _platt(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Scores of ``test`` from a logistic fit on the margins ``m`` of ``train``."""
+    platt = LogisticRegression(featuresCol="m", labelCol=LABEL, weightCol=WEIGHT, regParam=0.0).fit(train.select("m", LABEL, WEIGHT))
+    return _p1(platt.transform(test.select("file", LABEL, "m"))).select("file", LABEL, "score")
 
 
 # ---------------------------------------------------------------------------------------------- AdaBoost
@@ -215,59 +229,45 @@ def fit_adaboost(train: DataFrame, test: DataFrame, n_estimators: int, seed: int
 # ---------------------------------------------------------------------------------------------- search and runs
 
 
-def trial_table(spark, space: dict, n_trials: int, seed: int = 1) -> DataFrame:
-    """``ml_random_search`` trial table: one row per trial with every parameter drawn by an
-    expression of a seeded uniform.  ``space`` maps a name to ``("uniform", lo, hi)``,
-    ``("quniform", lo, hi, q)``, ``("pow2_quniform", lo, hi, q)``, ``("qloguniform", lo, hi, q)``
-    or ``("choice", [options])``."""
-    t = spark.range(n_trials).withColumnRenamed("id", "trial")
-    for name, dist in space.items():
-        u = rand.uniform(seed, F.col("trial"), F.lit(name))
-        kind = dist[0]
-        if kind == "uniform":
-            e = F.lit(dist[1]) + u * (dist[2] - dist[1])
-        elif kind == "quniform":
-            e = F.round((F.lit(dist[1]) + u * (dist[2] - dist[1])) / dist[3]) * dist[3]
-        elif kind == "pow2_quniform":
-            e = F.pow(F.lit(2.0), F.round((F.lit(dist[1]) + u * (dist[2] - dist[1])) / dist[3]) * dist[3])
-        elif kind == "qloguniform":
-            e = F.round(F.exp(F.lit(dist[1]) + u * (dist[2] - dist[1])) / dist[3]) * dist[3]
-        elif kind == "choice":
-            opts = dist[1]
-            e = F.element_at(F.array(*[F.lit(o) for o in opts]), (F.floor(u * len(opts)) + 1).cast("int"))
-        else:
-            raise ValueError(f"unknown distribution {kind}")
-        t = t.withColumn(name, e)
-    return t
-
-
 def reweighted(frame: DataFrame, pos_class_weight: float) -> DataFrame:
     """``frame`` with its weight column drawn anew for another weight of class 1."""
     return frame.withColumn(WEIGHT, ev.sample_weight(LABEL, float(pos_class_weight)))
 
 
-def random_search(train: DataFrame, valid: DataFrame, trials: DataFrame, to_spec, seed: int = 1, parallelism: int = 4) -> DataFrame:
-    """``ml_random_search``: run every trial (each trains on the cluster, ``parallelism`` of them at
-    a time) and record AP.  A trial's ``pos_class_weight``, where its spec has one, weighs its
-    training rows.  A spec that no estimator takes is recorded with its error and skipped; any
-    other failure - a lost executor, memory - ends the search, as does a search without a result.
-    The trial table is small (the number of trials), so the driver goes through it, never the data."""
+def tried_specs(data: dict[str, tuple[DataFrame, DataFrame]], to_spec, seed: int = 1, parallelism: int = 8, data_key: str = "pooling"):
+    """An ``evaluate`` for :func:`corpusrisk.operators.tpe.search`: the loss ``1 - average precision`` of
+    every trial of a batch.
+
+    ``data`` maps the trial's ``data_key`` to its pinned ``(train, valid)`` frames.  Every trial trains on
+    the cluster, ``parallelism`` of them at a time, and the scores of all trials of the batch go into
+    one table keyed by trial, which is evaluated at once.  A trial's ``pos_class_weight`` weighs its
+    training rows.  A spec that no estimator takes is recorded with its error; any other failure - a
+    lost executor, memory - ends the search.  A batch is a few rows: the driver goes through them,
+    never through the data."""
+    from functools import reduce
     from multiprocessing.pool import ThreadPool
 
     def one(row) -> tuple:
-        spec = to_spec(row.asDict())
         try:
-            data = reweighted(train, spec["pos_class_weight"]) if "pos_class_weight" in spec else train
-            m, _ = train_and_evaluate(data, valid, spec, seed)
-            return int(row["trial"]), str(spec), float(m.first()["average_precision"]), None
+            spec = to_spec(row.asDict())
+            train, valid = data[row[data_key]] if data_key in row else next(iter(data.values()))
+            weighed = reweighted(train, spec["pos_class_weight"]) if "pos_class_weight" in spec else train
+            return row["trial"], fit_predict(weighed, valid, spec, seed).select(F.lit(row["trial"]).alias("trial"), LABEL, "score"), None
         except (ValueError, KeyError, TypeError) as e:
-            return int(row["trial"]), str(spec), None, str(e)
+            return row["trial"], None, str(e)
+
+    def evaluate(trials: DataFrame) -> DataFrame:
+        spark = trials.sparkSession
+        with ThreadPool(parallelism) as pool:
+            out = pool.map(one, trials.collect())
+        errors = spark.createDataFrame([(t, e) for t, _, e in out], "trial long, error string")
+        scored = [s for _, s, _ in out if s is not None]
+        if not scored:
+            return errors.select("trial", F.lit(None).cast("double").alias("loss"), "error")
+        rank = ev.ranking_metrics(ev.curve_points(pin(reduce(DataFrame.unionByName, scored)).withColumn("y", F.col(LABEL).cast("int")), ["trial"], label="y", score="score"), ["trial"])
+        return errors.join(rank.select("trial", (1 - F.col("average_precision")).alias("loss")), "trial", "left").select("trial", "loss", "error")
 
-    with ThreadPool(parallelism) as pool:
-        out = pool.map(one, trials.orderBy("trial").collect())
-    if out and all(r[2] is None for r in out):
-        raise ValueError(f"every trial failed; the first: {out[0][3]}")
-    return train.sparkSession.createDataFrame(out, "trial long, spec string, average_precision double, error string")
+    return evaluate
 
 
 def repeat_runs(train: DataFrame, test: DataFrame, spec: dict, runs: int = RUNS_PER_SPLIT, split: str = "") -> tuple[DataFrame, DataFrame]:
@@ -334,8 +334,14 @@ def learning_curve(
     -> fit -> precision and recall on a test sample of at most ``test_rows`` rows.  Each run draws
     its own sample (nested across the sizes of a run: the smallest hashes).
 
-    Samples are bounded by ``sizes``, so with L2 logistic regression every (run, size) is one group
+    A size above the number of rows raises: no smaller sample goes by its name.  Samples are bounded by
+    ``sizes``, so with L2 logistic regression every (run, size) is one group
     of one Spark job, fitted in its task; other estimators are fitted one after another."""
+    n = train.count()
+    if not sizes:
+        return train.sparkSession.createDataFrame([], "run int, training_examples int, metric string, score double")
+    if max(sizes) > n:
+        raise ValueError(f"a sample of {max(sizes)} rows was asked of {n}")
     samples = run_samples(train, sizes, runs, seed)
     held = test.withColumn("_u", rand.uniform(seed, F.lit("test"), F.col("file").cast("string"))).orderBy("_u", "file").limit(test_rows).drop("_u")
     if spec.get("type") == "LR" and spec.get("penalty", "l2") == "l2":
@@ -366,10 +372,8 @@ def learning_curve(
     return res.unpivot(["run", "training_examples"], ["precision", "recall"], "metric", "score")
 
 
-def objective_history(model) -> pd.DataFrame:
-    """``ml_history``: the per-iteration training loss where the model keeps one."""
-    try:
-        hist = model.summary.objectiveHistory
-    except Exception:  # noqa: BLE001
-        return pd.DataFrame({"iteration": [], "loss": []})
-    return pd.DataFrame({"iteration": list(range(len(hist))), "loss": list(hist)})
+def objective_history(spark, model) -> DataFrame:
+    """``ml_history`` of a Spark model: ``(iteration, loss)`` of its training; no rows for a model that keeps
+    no summary.  (The trained network's history comes from :mod:`corpusrisk.operators.neural`.)"""
+    losses = model.summary.objectiveHistory if getattr(model, "hasSummary", False) else []
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(losses)], "iteration int, loss double")

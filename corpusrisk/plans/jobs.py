@@ -21,6 +21,7 @@ from corpusrisk.operators import lineage as ln
 from corpusrisk.operators import models as md
 from corpusrisk.operators import report as rp
 from corpusrisk.operators import sequence_model as sqm
+from corpusrisk.operators.linediff import sequential_changed_lines
 from corpusrisk.session import broadcast_if_small, pin
 from corpusrisk.sinks import writers as wr
 from corpusrisk.sources import readers as rd
@@ -33,7 +34,7 @@ def feed_to_relational(
     advisories = pin(ln.drop_many_commits(ln.latest_advisories(ln.advisory_records(ln.feed_items(rd.read_feeds(spark, feed_dir)))), max_fix_commits))
     valid, _missing = ln.valid_fix_commits(advisories, commits)
     fixes = valid.select(F.col("fix_commit_hash").alias("commit_hash")).distinct()
-    changed = ln.changed_lines(file_versions.join(fixes, "commit_hash", "left_semi"))
+    changed = sequential_changed_lines(file_versions.join(fixes, "commit_hash", "left_semi"))
     tables = ln.relational_tables(valid, ln.blame_lines(changed, commits, blame), commits)
     if out_dir:
         wr.write_relational(tables, f"{out_dir}/relational")
@@ -50,7 +51,7 @@ def documents_to_scores(
     vectors = sqm.document_vectors(docs, "file", "tokens", sqm.token_vectors(docs.filter(F.size("tokens") > 0), "tokens", size=vector_size))
     # jn_index_vectors: index rows without a vector drop out silently
     data = pin(index.join(vectors, "file").withColumn("y", ev.label_to_num("label")).withColumn("vec", vx.pooled(pooling)))
-    frame = md.model_frame(data, "vec", "y", pos_class_weight, "file").join(data.select("file", "split", "part"), "file")
+    frame = md.model_frame(data, "vec", "y", pos_class_weight, "file", keep=["split", "part"])
     metrics, examples = None, None
     for row in rd.splits(index).collect():  # the split names (a handful of releases)
         s = row["split"]

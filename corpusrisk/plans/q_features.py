@@ -3,12 +3,20 @@ discretise -> forest baseline, and the n-gram language model over the document c
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusrisk.operators import corpus, discretise as ds, models as md, ngram
-from corpusrisk.plans.q_text import LM_VOCAB_SIZE, SQL_LM_IDS, lm_corpus
-from corpusrisk.plans.tables import dev_group, load
+from corpusrisk.operators import corpus, discretise as ds, models as md, neural, ngram
+from corpusrisk.operators.sparse import sparse_vectors
+from corpusrisk.plans.q_text import LM_VOCAB_SIZE, SQL_ALPHA, SQL_LM_IDS, bag_of_words, lm_corpus
+from corpusrisk.plans.tables import SQL_LABELLED_DOCS, dev_group, labelled_docs, load
+from corpusrisk.session import broadcast_if_small, ensure_checkpoint_dir, pin
+from corpusrisk.sinks import writers as wr
+from corpusrisk.sources import readers as rd
+
+SEQUENCE_EPOCHS = 50
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 CLASS = "l_returnflag"
@@ -109,8 +117,7 @@ def q_ft_drop_useless(spark: SparkSession, sf: str) -> DataFrame:
     """Which numeric ``lineitem`` columns carry no variation."""
     li = load(spark, sf, "lineitem")
     cols = FEATURES + ["l_linenumber"]
-    useless = set(ds.useless_columns(li, cols))
-    return spark.createDataFrame([(c, c in useless) for c in cols], "column string, useless boolean")
+    return ds.useless_table(li, cols)
 
 
 SQL_FT_DROP_USELESS = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", min({c}) = max({c}) AS useless FROM lineitem" for c in FEATURES + ["l_linenumber"])
@@ -131,6 +138,81 @@ def q_ml_drf(spark: SparkSession, sf: str) -> DataFrame:
     return m.withColumn("n_binary_features", F.lit(len(keep)))
 
 
+def word_counts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Labelled documents ``(doc_id, label, part)`` and their word counts over the training
+    vocabulary ``(doc_id, idx, cnt, label, part)``."""
+    counts, _ = bag_of_words(spark, sf)
+    docs = pin(labelled_docs(spark, sf).select("doc_id", "label", "part"))
+    return docs, pin(counts.join(docs, "doc_id"))
+
+
+def word_cuts(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """Accepted cuts of every word, fitted on the training part."""
+    train = docs.filter("part = 'train'")
+    hist, classes = ds.histogram_from_sparse(counts.filter("part = 'train'").select("doc_id", "idx", "cnt"), train, doc="doc_id")
+    return pin(ds.fit_cuts_from_histogram(hist, len(classes)))
+
+
+def q_ft_mdl_word_cuts(spark: SparkSession, sf: str) -> DataFrame:
+    """``ft_mdl_discretise`` of sparse word counts, implicit zeros included: every accepted cut."""
+    return word_cuts(*word_counts(spark, sf)).select(F.col("feature").cast("long").alias("idx"), "cut")
+
+
+def q_ft_mdl_word_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """The binary entries of every labelled document (train and valid): word and cut it exceeds."""
+    docs, counts = word_counts(spark, sf)
+    index = ds.cut_index(word_cuts(docs, counts))
+    entries = ds.binary_entries(counts, index, doc="doc_id")
+    named = index.select("feature", F.posexplode("cuts").alias("_i", "cut"), "base").select(F.col("feature").cast("long").alias("idx"), "cut", (F.col("base") + F.col("_i")).alias("col"))
+    return entries.join(named, "col").select("doc_id", "idx", "cut")
+
+
+_W = [_xl(c) for c in ("nl", "l0", "l1", "nr", "r0", "r1")]
+# segments (lo, hi] of each word's counts, as in SQL_FT_MDL_CUTS
+SQL_WORD_CUTS = f"""
+{SQL_ALPHA},
+cnt AS (SELECT c.doc_id, c.part, c.label, a.id AS idx, count(*)::DOUBLE AS cnt FROM ctoks c JOIN avocab a ON c.token = a.token GROUP BY ALL),
+tot AS (SELECT count(*) FILTER (label <> 'VULNERABLE') AS t0, count(*) FILTER (label = 'VULNERABLE') AS t1 FROM ({SQL_LABELLED_DOCS}) WHERE part = 'train'),
+nz AS (SELECT idx, cnt AS value, count(*) FILTER (label <> 'VULNERABLE') AS c0, count(*) FILTER (label = 'VULNERABLE') AS c1 FROM cnt WHERE part = 'train' GROUP BY ALL),
+zero AS (SELECT idx, 0.0 AS value, any_value(t0) - sum(c0) AS c0, any_value(t1) - sum(c1) AS c1 FROM nz, tot GROUP BY idx),
+h AS (SELECT * FROM nz UNION ALL SELECT * FROM zero WHERE c0 + c1 > 0),
+seg AS (
+  SELECT DISTINCT idx, -1e300 AS lo, 1e300 AS hi, CAST(NULL AS DOUBLE) AS cut FROM h
+  UNION ALL
+  SELECT idx, CASE WHEN side = 0 THEN lo ELSE value END, CASE WHEN side = 0 THEN value ELSE hi END, CASE WHEN side = 0 THEN (value + nxt) / 2 END
+  FROM (
+    SELECT * FROM (
+      SELECT *, (({_W[0]} - {_W[1]} - {_W[2]}) + ({_W[3]} - {_W[4]} - {_W[5]})) / n AS entropy FROM (
+        SELECT *, n0 - l0 AS r0, n1 - l1 AS r1, l0 + l1 AS nl, n0 + n1 AS n, n0 + n1 - l0 - l1 AS nr FROM (
+          SELECT h.idx, lo, hi, value, sum(c0) OVER w AS l0, sum(c1) OVER w AS l1, sum(c0) OVER s AS n0, sum(c1) OVER s AS n1,
+                 count(*) OVER s AS nv, lead(value) OVER (PARTITION BY h.idx, lo, hi ORDER BY value) AS nxt
+          FROM h JOIN seg ON h.idx = seg.idx AND value > lo AND value <= hi
+          WINDOW w AS (PARTITION BY h.idx, lo, hi ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), s AS (PARTITION BY h.idx, lo, hi))
+        WHERE nxt IS NOT NULL))
+    QUALIFY row_number() OVER (PARTITION BY idx, lo, hi ORDER BY entropy, value) = 1), (VALUES (0), (1)) AS sides(side)
+  WHERE {_part('n', ['n0', 'n1'])} > log2(nv - 1) + {_part('nl', ['l0', 'l1'])} + {_part('nr', ['r0', 'r1'])}),
+cuts AS (SELECT idx, cut FROM seg WHERE cut IS NOT NULL)
+"""
+SQL_FT_MDL_WORD_CUTS = f"WITH RECURSIVE {SQL_WORD_CUTS} SELECT idx::BIGINT AS idx, cut FROM cuts"
+SQL_FT_MDL_WORD_ENTRIES = f"WITH RECURSIVE {SQL_WORD_CUTS} SELECT doc_id, cnt.idx::BIGINT AS idx, cut FROM cnt JOIN cuts ON cnt.idx = cuts.idx AND cnt.cnt > cuts.cut"
+
+
+def q_ml_drf_words(spark: SparkSession, sf: str) -> DataFrame:
+    """``ml_drf`` on word counts: MDL cuts per word -> sparse binary vectors -> columns without variation
+    dropped -> a forest of 100 trees -> metrics on the validation part."""
+    docs, counts = word_counts(spark, sf)
+    entries = pin(ds.binary_entries(counts, ds.cut_index(word_cuts(docs, counts)), doc="doc_id").join(docs, "doc_id"))
+    train = docs.filter("part = 'train'")
+    kept = pin(ds.varying_columns(entries.filter("part = 'train'"), train.count()))
+    width = kept.count()
+    rows = sparse_vectors(entries.join(broadcast_if_small(kept), "col"), docs, width, doc="doc_id", out=md.FEATURES)
+    y = (F.col("label") == "VULNERABLE").cast("double")
+    frame = pin(rows.select(F.col("doc_id").alias("file"), md.FEATURES, y.alias(md.LABEL), F.lit(1.0).alias(md.WEIGHT), "part"))
+    of = lambda part: frame.filter(F.col("part") == part).drop("part")
+    m, _ = md.train_and_evaluate(of("train"), of("valid"), {"type": "RandomForest", "n_estimators": md.FOREST_TREES, "criterion": "gini"})
+    return m.withColumn("n_binary_features", F.lit(width))
+
+
 def lm_ids(spark: SparkSession, sf: str) -> DataFrame:
     c = lm_corpus(spark, sf)
     return corpus.next_token_ids(c, corpus.lm_vocabulary(c, LM_VOCAB_SIZE))
@@ -158,6 +240,40 @@ sc AS (SELECT p.doc_ord, p.pos,
 SQL_ML_NGRAM_LM = f"WITH {SQL_NGRAM} SELECT doc_ord, count(*) AS n_tokens, -avg(logp) AS cross_entropy FROM sc GROUP BY doc_ord"
 
 
+def q_ml_kneser_ney(spark: SparkSession, sf: str) -> DataFrame:
+    """``ml_ngram_lm``: Kneser-Ney of order 5 on the training lines; tokens and cross-entropy (bits per
+    token) of every validation document."""
+    c = lm_corpus(spark, sf)
+    lines = corpus.line_ids(c, corpus.lm_vocabulary(c, LM_VOCAB_SIZE)).withColumn("stream", corpus.stream_of("doc_ord"))
+    rows = pin(ngram.ngram_rows(lines.select(F.struct("doc_ord", "stream").alias("doc"), "ids"), doc="doc"))
+    model = ngram.fit_kneser_ney(rows.filter("doc.stream = 'train'"), LM_VOCAB_SIZE)
+    valid = rows.filter("doc.stream = 'valid'").withColumn("doc_ord", F.col("doc.doc_ord"))
+    return ngram.kneser_ney_cross_entropy(model, valid)
+
+
+def _kneser_ney_sql(order: int = ngram.ORDER, d: float = ngram.DISCOUNT) -> str:
+    lag = lambda k: "id" if k == 1 else f"coalesce(lag(id, {k - 1}) OVER (PARTITION BY doc_ord ORDER BY pos), {ngram.START})"
+    ctx = lambda k: [f"p{i}" for i in range(1, k)]
+    out = [
+        f"{SQL_LM_IDS}",
+        f"g AS (SELECT doc_ord, pos, {', '.join(f'{lag(k)} AS p{k}' for k in range(1, order))}, next_id AS w, doc_ord % 100 < 5 AS valid FROM nexts)",
+        f"c{order} AS (SELECT {', '.join([*ctx(order), 'w'])}, count(*) AS c FROM g WHERE NOT valid GROUP BY ALL)",
+    ]
+    out += [f"c{k} AS (SELECT {', '.join([*ctx(k), 'w'])}, count(*) AS c FROM c{k + 1} GROUP BY ALL)" for k in range(order - 1, 0, -1)]
+    out += [f"t{k} AS (SELECT {', '.join(ctx(k))}, sum(c) AS total, count(*) AS types FROM c{k} GROUP BY ALL)" for k in range(2, order + 1)]
+    out.append(f"s1 AS (SELECT g.*, (greatest(coalesce(c, 0) - {d}, 0) + {d} * (SELECT count(*) FROM c1) / {LM_VOCAB_SIZE}) / (SELECT sum(c) FROM c1) AS p FROM g LEFT JOIN c1 ON g.w = c1.w WHERE valid)")
+    for k in range(2, order + 1):
+        on = lambda t, cols: " AND ".join(f"s.{x} = {t}.{x}" for x in cols)
+        out.append(
+            f"s{k} AS (SELECT s.* EXCLUDE (p), CASE WHEN total IS NULL THEN p ELSE (greatest(coalesce(c, 0) - {d}, 0) + {d} * types * p) / total END AS p "
+            f"FROM s{k - 1} s LEFT JOIN t{k} t ON {on('t', ctx(k))} LEFT JOIN c{k} c ON {on('c', [*ctx(k), 'w'])})"
+        )
+    return f"WITH {', '.join(out)} SELECT doc_ord, count(*) AS n_tokens, -avg(log2(p)) AS cross_entropy FROM s{order} GROUP BY doc_ord"
+
+
+SQL_ML_KNESER_NEY = _kneser_ney_sql()
+
+
 def q_ml_ngram_top_next(spark: SparkSession, sf: str) -> DataFrame:
     """Most frequent next token per context in the training stream."""
     return ngram.top_next(ngram.fit(lm_ids(spark, sf), LM_VOCAB_SIZE))
@@ -170,8 +286,12 @@ QUERIES = {
     "ft_mdl_discretise": (q_ft_mdl_discretise, SQL_FT_MDL_DISCRETISE),
     "ft_mdl_cuts": (q_ft_mdl_cuts, SQL_FT_MDL_CUTS),
     "ft_drop_useless": (q_ft_drop_useless, SQL_FT_DROP_USELESS),
+    "ft_mdl_word_cuts": (q_ft_mdl_word_cuts, SQL_FT_MDL_WORD_CUTS),
+    "ft_mdl_word_entries": (q_ft_mdl_word_entries, SQL_FT_MDL_WORD_ENTRIES),
     "ml_drf": (q_ml_drf, None),
+    "ml_drf_words": (q_ml_drf_words, None),
     "ml_ngram_lm": (q_ml_ngram_lm, SQL_ML_NGRAM_LM),
+    "ml_kneser_ney": (q_ml_kneser_ney, SQL_ML_KNESER_NEY),
     "ml_ngram_top_next": (q_ml_ngram_top_next, SQL_ML_NGRAM_TOP_NEXT),
 }
 
@@ -218,14 +338,38 @@ r AS (SELECT doc_ord, v, greatest(CAST(ceil(len(v) / 128.0) AS BIGINT), 1) AS n_
 SELECT doc_ord, n_rows::INTEGER AS n_rows, md5(array_to_string(list_concat(list_resize([]::INTEGER[], n_rows * 128 - len(v), 0), v), ',')) AS rows_md5 FROM r"""
 
 
-def q_ml_sequence(spark: SparkSession, sf: str) -> DataFrame:
-    """``ml_sequence``: weighted n-gram presence classifier over the token-id vectors."""
+NGRAM_MIN_DOCS = 3
+
+
+def q_ml_sequence_ngrams(spark: SparkSession, sf: str) -> DataFrame:
+    """Weighted n-gram presence classifier over the token-id vectors."""
     vec, _ = classifier_vectors(spark, sf)
-    vec = vec.withColumnRenamed("doc_id", "file")
-    m, _ = sqm.fit_sequence_classifier(vec.filter(F.col("part") == "train"), vec.filter(F.col("part") == "valid"), "vector", n=3, pos_class_weight=2.0)
+    vec = pin(vec.withColumnRenamed("doc_id", "file"))
+    m, _ = sqm.fit_sequence_classifier(vec.filter(F.col("part") == "train"), vec.filter(F.col("part") == "valid"), "vector", NGRAM_MIN_DOCS, pos_class_weight=2.0)
     return m
 
 
+def trained_sequence(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    vec, n = classifier_vectors(spark, sf)
+    vec = pin(vec.withColumnRenamed("doc_id", "file"))
+    spec = neural.SequenceSpec(vocab_size=n + 1, class_weight={0: 1.0, 1: 2.0}, max_epochs=SEQUENCE_EPOCHS)
+    return neural.train_and_evaluate(vec.filter(F.col("part") == "train"), vec.filter(F.col("part") == "valid"), spec, tokens="vector")
+
+
+def q_ml_sequence(spark: SparkSession, sf: str) -> DataFrame:
+    """``ml_sequence``: convolutional classifier over the token-id vectors, trained with early stopping."""
+    return trained_sequence(spark, sf)[0]
+
+
+def q_ml_history(spark: SparkSession, sf: str) -> DataFrame:
+    """``ml_history``: losses per epoch of that training, written with its run and read back."""
+    m, ex, history = trained_sequence(spark, sf)
+    one = lambda df: df.select(F.lit("s1").alias("split"), F.lit("r1").alias("run"), "*")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+    wr.write_runs(one(m), one(ex), path, one(history))
+    return rd.read_saved_history(spark, path)
+
+
 def q_ft_token_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """``ft_token_vectors``: the vector of every token of the labelled documents."""
     docs = labelled_docs(spark, sf).select(tx.tokenise("text").alias("tokens"))
@@ -233,6 +377,17 @@ def q_ft_token_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("word", *[F.col("vector")[d].alias(f"v{d}") for d in range(sqm.VECTOR_SIZE)])
 
 
+SINGULAR_SIZE = 16
+
+
+def q_ft_singular_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """``ft_token_vectors`` by truncated singular value decomposition of the labelled documents' table: the
+    vector of every token, the singular values and the share of the table they leave out."""
+    docs = labelled_docs(spark, sf).select(tx.tokenise("text").alias("tokens"))
+    v, found = sqm.singular_token_vectors(docs, "tokens", SINGULAR_SIZE)
+    return v.withColumn("singular_values", F.array(*[F.lit(float(x)) for x in found.values])).withColumn("residual", F.lit(found.residual))
+
+
 def q_ft_document_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Token vectors pooled (mean, sd) per labelled document."""
     docs = labelled_docs(spark, sf).select("doc_id", tx.tokenise("text").alias("tokens"))
@@ -281,7 +436,10 @@ QUERIES.update(
         "fn_chunk": (q_fn_chunk, SQL_FN_CHUNK),
         "fn_doc_chunks": (q_fn_doc_chunks, SQL_FN_DOC_CHUNKS),
         "ml_sequence": (q_ml_sequence, None),
+        "ml_sequence_ngrams": (q_ml_sequence_ngrams, None),
+        "ml_history": (q_ml_history, None),
         "ft_token_vectors": (q_ft_token_vectors, SQL_FT_TOKEN_VECTORS),
+        "ft_singular_vectors": (q_ft_singular_vectors, None),
         "ft_document_vectors": (q_ft_document_vectors, None),
     }
 )

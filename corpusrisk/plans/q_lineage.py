@@ -3,8 +3,9 @@ blamed lines -> introducing commits (``customer``/``orders``/``lineitem``), and
 diff over version pairs of ``documents``.
 
 Stand-ins: advisory = customer, fix commit = order, repository = orders not pending ('P'),
-commit time = order date, blame rows = line items (path = supplier, line = line number, origin
-= part); each commit is its own first parent so the blame lookup reads ``lineitem``.
+commit time = order date and a time of day from the key, parents = the order before (none for every
+tenth order) and one more, blame rows = line items (path = parity of the line, line = line number,
+origin = part): a commit's changed lines are looked up in its first parent's line items.
 Version pairs = consecutive documents (by id) of one ``source``."""
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusrisk.functions import text as tx
 from corpusrisk.operators import lineage as ln
+from corpusrisk.operators.linediff import sequential_changed_lines
 from corpusrisk.operators.prefix import running_sum
 from corpusrisk.operators.sampling import iso_timestamp
 from corpusrisk.plans.q_text import sq
@@ -30,8 +32,10 @@ SQL_FLT_CONFIRM_FIX = f"SELECT page_id, CASE WHEN regexp_matches(url, '{sq(tx.FI
 
 def commits(spark: SparkSession, sf: str) -> DataFrame:
     o = load(spark, sf, "orders").filter(F.col("o_orderstatus") != "P")
-    h = F.col("o_orderkey").cast("string")
-    return o.select(h.alias("commit_hash"), iso_timestamp("o_orderdate").alias("committed_timestamp"), F.array(h).alias("parents"))
+    k = F.col("o_orderkey")
+    time = F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + (k % 86400) * 1_000_000 + (k % 3) * 250_000)
+    parents = F.when(k % 10 == 0, F.array().cast("array<string>")).otherwise(F.array((k - 1).cast("string"), F.lit("other")))
+    return o.select(k.cast("string").alias("commit_hash"), iso_timestamp(time.cast("timestamp_ntz")).alias("committed_timestamp"), parents.alias("parents"))
 
 
 def fix_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,7 +48,7 @@ def blame_table(spark: SparkSession, sf: str) -> DataFrame:
     li = load(spark, sf, "lineitem")
     return li.select(
         F.col("l_orderkey").cast("string").alias("commit_hash"),
-        F.col("l_suppkey").cast("string").alias("path"),
+        (F.col("l_linenumber") % 2).cast("string").alias("path"),
         F.col("l_linenumber").alias("line_no"),
         F.col("l_partkey").cast("string").alias("blame_commit"),
     )
@@ -64,15 +68,17 @@ def tables(spark: SparkSession, sf: str) -> dict:
 
 
 SQL_LINEAGE = """
-cm AS (SELECT CAST(o_orderkey AS VARCHAR) AS commit_hash,
-              strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(o_orderdate) % 1000000 <> 0 THEN '.' || lpad(CAST(epoch_us(o_orderdate) % 1000000 AS VARCHAR), 6, '0') ELSE '' END || '+00:00' AS committed_timestamp,
-              CAST(o_orderkey AS VARCHAR) AS parent FROM orders WHERE o_orderstatus <> 'P'),
+cm AS (SELECT CAST(o_orderkey AS VARCHAR) AS commit_hash, ts,
+              strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 <> 0 THEN '.' || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') ELSE '' END || '+00:00' AS committed_timestamp,
+              CASE WHEN o_orderkey % 10 <> 0 THEN CAST(o_orderkey - 1 AS VARCHAR) END AS parent
+       FROM (SELECT *, make_timestamp(epoch_us(o_orderdate) + (o_orderkey % 86400) * 1000000 + (o_orderkey % 3) * 250000) AS ts FROM orders) WHERE o_orderstatus <> 'P'),
 fr0 AS (SELECT 'CVE-' || CAST(o_custkey AS VARCHAR) AS cve_id, CAST(o_orderkey AS VARCHAR) AS fix_commit_hash FROM orders),
 fr AS (SELECT * FROM fr0 WHERE cve_id IN (SELECT cve_id FROM fr0 GROUP BY cve_id HAVING count(DISTINCT fix_commit_hash) <= 4)),
 valid AS (SELECT * FROM fr WHERE fix_commit_hash IN (SELECT commit_hash FROM cm)),
-bt AS (SELECT CAST(l_orderkey AS VARCHAR) AS commit_hash, CAST(l_suppkey AS VARCHAR) AS path, l_linenumber AS line_no, CAST(l_partkey AS VARCHAR) AS blame_commit FROM lineitem),
-al AS (SELECT b.commit_hash AS affecting_commit_hash, b.path AS affected_file, b.line_no AS affected_line, b.blame_commit AS affected_line_blame_commit_hash
-       FROM bt b JOIN cm ON cm.commit_hash = b.commit_hash WHERE b.commit_hash IN (SELECT fix_commit_hash FROM valid)),
+bt AS (SELECT CAST(l_orderkey AS VARCHAR) AS commit_hash, CAST(l_linenumber % 2 AS VARCHAR) AS path, l_linenumber AS line_no, CAST(l_partkey AS VARCHAR) AS blame_commit FROM lineitem),
+ch AS (SELECT DISTINCT commit_hash, path, line_no FROM bt WHERE commit_hash IN (SELECT fix_commit_hash FROM valid)),
+al AS (SELECT ch.commit_hash AS affecting_commit_hash, ch.path AS affected_file, ch.line_no AS affected_line, b.blame_commit AS affected_line_blame_commit_hash
+       FROM ch JOIN cm ON cm.commit_hash = ch.commit_hash JOIN bt b ON b.commit_hash = cm.parent AND b.path = ch.path AND b.line_no = ch.line_no),
 cd AS (SELECT cm.commit_hash, cm.committed_timestamp, cm.parent AS parent_commit_hash FROM cm
        WHERE cm.commit_hash IN (SELECT fix_commit_hash FROM valid UNION SELECT affected_line_blame_commit_hash FROM al))
 """
@@ -120,13 +126,14 @@ SQL_JN_COMMIT_DETAILS = f"WITH {SQL_LINEAGE} SELECT commit_hash, committed_times
 
 
 def q_dif_introducers(spark: SparkSession, sf: str) -> DataFrame:
-    return ln.introducers(tables(spark, sf)).select("cve_id", "n_fix_commits", "n_lines", "n_introducing_commits")
+    micros = [F.unix_micros(c).alias(c) for c in ("first_introduced", "last_introduced")]
+    return ln.introducers(tables(spark, sf)).select("cve_id", "n_fix_commits", "n_lines", "n_introducing_commits", *micros)
 
 
 SQL_DIF_INTRODUCERS = f"""WITH {SQL_LINEAGE}
 SELECT v.cve_id, count(DISTINCT v.fix_commit_hash) AS n_fix_commits, count(al.affected_line) AS n_lines,
-       count(DISTINCT al.affected_line_blame_commit_hash) AS n_introducing_commits
-FROM valid v LEFT JOIN al ON v.fix_commit_hash = al.affecting_commit_hash GROUP BY v.cve_id"""
+       count(DISTINCT al.affected_line_blame_commit_hash) AS n_introducing_commits, epoch_us(min(i.ts)) AS first_introduced, epoch_us(max(i.ts)) AS last_introduced
+FROM valid v LEFT JOIN al ON v.fix_commit_hash = al.affecting_commit_hash LEFT JOIN cm i ON i.commit_hash = al.affected_line_blame_commit_hash GROUP BY v.cve_id"""
 
 
 # ---------------------------------------------------------------------------------------------- line diff on documents
@@ -146,10 +153,14 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE line = '') AS n_blank
 
 
 def version_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    d = load(spark, sf, "documents").select("doc_id", "source", "text").withColumn("_one", F.lit(1.0))
-    ranked = running_sum(d, ["source"], ["doc_id"], ["_one"]).select("doc_id", "source", "text", F.col("cum__one").cast("long").alias("r"))
-    old = ranked.select("source", (F.col("r") + 1).alias("r"), F.col("text").alias("a_text"))
-    return ranked.join(old, ["source", "r"]).select(F.col("doc_id").alias("commit_hash"), F.col("source").alias("a_path"), F.lit("M").alias("change_type"), "a_text", F.col("text").alias("b_text"))
+    d = load(spark, sf, "documents").select("doc_id", "source", "text")
+    # rank the keys alone; the texts join the pairs of ids
+    ranked = running_sum(d.select("doc_id", "source").withColumn("_one", F.lit(1.0)), ["source"], ["doc_id"], ["_one"]).select("doc_id", "source", F.col("cum__one").cast("long").alias("r"))
+    old = ranked.select("source", (F.col("r") + 1).alias("r"), F.col("doc_id").alias("old_id"))
+    pairs = ranked.join(old, ["source", "r"]).select("doc_id", "old_id", "source")
+    new, before = d.select("doc_id", F.col("text").alias("b_text")), d.select(F.col("doc_id").alias("old_id"), F.col("text").alias("a_text"))
+    both = pairs.join(new, "doc_id").join(before, "old_id")
+    return both.select(F.col("doc_id").alias("commit_hash"), F.col("source").alias("a_path"), F.lit("M").alias("change_type"), "a_text", "b_text")
 
 
 def q_dif_changed_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -176,7 +187,41 @@ SELECT DISTINCT commit_hash, a_path, line_no FROM (
 """
 
 
+REPLACED = 7  # every line whose place is a multiple of this is edited
+
+
+def edited_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Stand-in: every document against an edit of it: its first third of lines moved to the end and
+    every seventh line replaced.  Lines carry their occurrence number, so that no two are equal."""
+    lines = ln.numbered_lines(load(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], "text")
+    line = F.concat_ws(" ", F.col("occ").cast("string"), "line")
+    cell = F.struct("line_no", line.alias("old"), F.when(F.col("line_no") % REPLACED == 0, F.concat(line, F.lit(" edited"))).otherwise(line).alias("new"))
+    docs = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(cell)).alias("c"))  # one document's lines
+    third = F.floor(F.size("c") / 3).cast("int")
+    moved = F.concat(F.slice("c", third + 1, F.size("c")), F.slice("c", F.lit(1), third))
+    return docs.select(F.col("doc_id").alias("commit_hash"), F.lit("f").alias("a_path"), F.lit("M").alias("change_type"), F.array_join("c.old", "\n").alias("a_text"), F.array_join(F.transform(moved, lambda x: x["new"]), "\n").alias("b_text"))
+
+
+def q_dif_moved_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """``dif_changed_lines`` as a sequential diff of versions with moved and replaced lines."""
+    return sequential_changed_lines(edited_versions(spark, sf)).select("commit_hash", "line_no")
+
+
+# a matched line is an unedited one of the two thirds that stay in order
+SQL_DIF_MOVED_LINES = f"""
+WITH l AS (SELECT doc_id, p::INTEGER AS p FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, p)),
+n AS (SELECT doc_id, max(p) AS n, max(p) // 3 AS k FROM l GROUP BY doc_id),
+s AS (SELECT l.doc_id, p, n, k, p > k AND p % {REPLACED} <> 0 AS same, CASE WHEN p > k THEN p - k ELSE n - k + p END AS q FROM l JOIN n ON l.doc_id = n.doc_id),
+m AS (SELECT doc_id, n, p, q FROM s WHERE same UNION ALL SELECT doc_id, n, n + 1, n + 1 FROM n UNION ALL SELECT doc_id, n, 0, 0 FROM n),
+g AS (SELECT doc_id, p, q, lead(p) OVER w AS np, lead(q) OVER w AS nq FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+b AS (SELECT doc_id, unnest(range(p + 1, np)) AS line_no FROM g WHERE np > p + 1
+      UNION ALL SELECT doc_id, unnest([p, np]) FROM g WHERE np = p + 1 AND nq > q + 1)
+SELECT DISTINCT doc_id AS commit_hash, line_no::INTEGER AS line_no FROM b
+"""
+
+
 QUERIES = {
+    "dif_moved_lines": (q_dif_moved_lines, SQL_DIF_MOVED_LINES),
     "flt_confirm_fix": (q_flt_confirm_fix, SQL_FLT_CONFIRM_FIX),
     "flt_max_commits": (q_flt_max_commits, SQL_FLT_MAX_COMMITS),
     "jn_valid_commits": (q_jn_valid_commits, SQL_JN_VALID_COMMITS),

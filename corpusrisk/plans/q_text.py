@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusrisk.functions import text as tx
 from corpusrisk.functions import vectors as vx
 from corpusrisk.operators import corpus, vocab
+from corpusrisk.operators.arrays import term_counts, token_ids
 from corpusrisk.operators.prefix import dense_index
 from corpusrisk.plans.tables import SQL_LABELLED_DOCS, labelled_docs, load, load_text
 from corpusrisk.session import pin
@@ -227,24 +228,28 @@ vocab AS (
 SQL_WIN_FIRST_SEEN_ID = f"WITH {SQL_FIRST_SEEN} SELECT token, id FROM vocab"
 
 
-def labelled_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+def all_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
     """Every labelled document as ids of the first-seen training vocabulary (unknown = n); the
-    vocabulary is fitted on the training part.  The tokens are recomputed for the two uses rather
-    than materialised: the exploded token table is several times larger than the text."""
-    toks = vocab.explode_tokens(labelled_docs(spark, sf), "doc_id", tx.tokenise("text"), keep=["part"])
-    fitted = vocab.first_seen_vocab(toks.filter(F.col("part") == "train").withColumn("doc_ord", F.col("doc_id")), doc_ord="doc_ord", min_occurrences=MIN_OCC, min_documents=MIN_DOCS)
-    v = vocab.vocab_side(fitted.select("token", "id"))
+    vocabulary is fitted on the training part.  Documents are tokenised into arrays, which the
+    lookup maps in place; only the vocabulary's counts are shuffled."""
+    docs = pin(labelled_docs(spark, sf).select("doc_id", "part", tx.tokenise("text").alias("tokens")))
+    train = vocab.explode_tokens(docs.filter(F.col("part") == "train"), "doc_id", "tokens").withColumn("doc_ord", F.col("doc_id"))
+    v = pin(vocab.first_seen_vocab(train, doc_ord="doc_ord", min_occurrences=MIN_OCC, min_documents=MIN_DOCS).select("token", "id"))
     n = v.count()
-    return vocab.vectorise(toks, v, unk=n, doc="doc_id", prepared=True), n
+    return token_ids(docs.select("doc_id", "tokens"), "tokens", v, n, out="vector"), n
+
+
+def labelled_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """The vectors of documents that have a token."""
+    vec, n = all_vectors(spark, sf)
+    return vec.filter(F.size("vector") > 0), n
 
 
 def q_ft_vocab_vectorise(spark: SparkSession, sf: str) -> DataFrame:
     """``ft_vocab_vectorise`` / ``jn_vocab``: every labelled document (train and valid) as ids of
     the training vocabulary, unknown = n."""
-    vec, n = labelled_vectors(spark, sf)
-    docs = labelled_docs(spark, sf)
-    all_docs = docs.select("doc_id").join(vec, "doc_id", "left").withColumn("vector", F.coalesce("vector", F.array().cast("array<bigint>")))
-    return all_docs.select(
+    vec, n = all_vectors(spark, sf)
+    return vec.select(
         "doc_id",
         F.size("vector").alias("n_tokens"),
         F.size(F.filter("vector", lambda x: x == F.lit(n))).alias("n_unk"),
@@ -316,11 +321,19 @@ def q_fn_attr_name(spark: SparkSession, sf: str) -> DataFrame:
 SQL_FN_ATTR_NAME = f"WITH {SQL_ALPHA} SELECT id, 'feat_' || regexp_replace(token, '{sq(tx.NON_WORD)}', '_', 'g') || '_' || id AS attribute FROM avocab"
 
 
+def bag_of_words(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, idx, cnt)`` of every labelled document over the alphabetical training vocabulary, and
+    the vocabulary.  Counting is inside the row; no (document, token) pair is exchanged."""
+    docs = pin(labelled_docs(spark, sf).select("doc_id", "part", tx.count_tokens("text").alias("tokens")))
+    words = docs.filter(F.col("part") == "train").select(F.explode("tokens").alias("token"))
+    v = pin(vocab.alpha_vocab(words))
+    return term_counts(token_ids(docs.select("doc_id", "tokens"), "tokens", v, -1), "ids", "doc_id"), v
+
+
 def q_ft_bow(spark: SparkSession, sf: str) -> DataFrame:
     """``ft_bow`` / ``agg_doc_terms``: bag-of-words counts of every labelled document over the
     alphabetical training vocabulary."""
-    toks, v = alpha(spark, sf)
-    return vocab.doc_term_counts(toks, v, doc="doc_id")
+    return bag_of_words(spark, sf)[0]
 
 
 SQL_FT_BOW = f"""
@@ -331,9 +344,8 @@ SELECT c.doc_id, a.id AS idx, count(*)::BIGINT AS cnt FROM ctoks c JOIN avocab a
 
 def q_snk_sparse(spark: SparkSession, sf: str) -> DataFrame:
     """``snk_sparse``: one sparse row string per document, ``{idx cnt,...,n label}``."""
-    toks, v = alpha(spark, sf)
+    counts, v = bag_of_words(spark, sf)
     n = v.count()
-    counts = vocab.doc_term_counts(toks, v, doc="doc_id")
     docs = labelled_docs(spark, sf).select("doc_id", "label")
     return corpus.sparse_rows(counts, docs, n, doc="doc_id")
 

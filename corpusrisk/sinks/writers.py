@@ -1,8 +1,11 @@
 """Writers: relational tables, nested blame tree, datasets, corpora, sparse features,
-predictions, stats files and run results (with the finished-split marker written last)."""
+predictions, stats files and run results (attempts that a manifest commits)."""
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,16 +62,33 @@ def write_stats(prf: DataFrame, path: str, mode: str = "overwrite") -> None:
     stats_lines(prf).write.mode(mode).partitionBy(*[c for c in prf.columns if c not in {"tp", "tn", "fp", "fn", "precision", "recall", "f1", "accuracy"}]).text(path)
 
 
-def write_runs(results: DataFrame, examples: DataFrame, path: str, history: DataFrame | None = None) -> None:
-    """``snk_runs``: append run metrics, scored examples and, where given, the training history
-    ``(split, run, iteration, loss)``, partitioned by split; each split's run list comes last.  The
-    list is the commit marker that ``readers.read_saved_runs`` and :func:`pending_splits` go by.
-    (One document per run would hold all of a run's examples in one row.)"""
-    if history is not None:
-        history.write.mode("append").partitionBy("split").parquet(f"{path}/history")
-    results.write.mode("append").partitionBy("split").parquet(f"{path}/results")
-    examples.write.mode("append").partitionBy("split").parquet(f"{path}/examples")
-    results.select("split", "run").distinct().write.mode("append").partitionBy("split").parquet(f"{path}/run_ids")
+def stage_attempt(results: DataFrame, examples: DataFrame, path: str, history: DataFrame | None = None) -> str:
+    """Write one attempt's run metrics, scored examples and, where given, training history ``(split,
+    run, iteration, loss)`` to folders of its own, and return the attempt's name.  Nothing reads them
+    until :func:`commit_attempt` names the attempt.  (One document per run would hold all of a run's
+    examples in one row.)"""
+    attempt = f"a{uuid.uuid4().hex}"
+    for name, df in (("history", history), ("results", results), ("examples", examples)):
+        if df is not None:
+            df.write.parquet(f"{path}/{name}/attempt={attempt}")
+    return attempt
+
+
+def commit_attempt(results: DataFrame, path: str, attempt: str) -> None:
+    """Add the attempt's rows ``(split, run, attempt, committed_at)`` to the manifest, as one file,
+    whose appearance is the commit.  Of several attempts at a run the one committed first counts
+    (``readers.saved_run_list``), so a retry or a rival never adds to a run that is there."""
+    spark = results.sparkSession
+    now = datetime.now(timezone.utc).isoformat()
+    listed = spark.read.parquet(f"{path}/results/attempt={attempt}").select(F.col("split").cast("string"), F.col("run").cast("string")).distinct()
+    listed.withColumn("attempt", F.lit(attempt)).withColumn("committed_at", F.lit(now)).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def write_runs(results: DataFrame, examples: DataFrame, path: str, history: DataFrame | None = None) -> str:
+    """``snk_runs``: one attempt, staged and then committed; its rows of the manifest come last."""
+    attempt = stage_attempt(results, examples, path, history)
+    commit_attempt(results, path, attempt)
+    return attempt
 
 
 def pending_splits(planned: DataFrame, finished: DataFrame) -> DataFrame:

@@ -7,15 +7,14 @@ name is kept from ``_metadata`` wherever an order or key depends on it.
 
 from __future__ import annotations
 
-import io
-import tarfile
-import zipfile
+import fnmatch
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusrisk.sources import files
+
 # ---------------------------------------------------------------------------------------------- schemas
 
 FEED_SCHEMA = T.StructType(
@@ -165,24 +164,17 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_content(spark: SparkSession, path: str) -> DataFrame:
-    """``src_content``: one row per file: ``(file, content)`` (whole text; an empty file keeps an
-    empty row, so it is not mistaken for a missing one)."""
-    df = spark.read.format("binaryFile").load(path)
-    scanned = df.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("content").cast("string").alias("content"))
-    # file scans skip zero-length files: add them back from the listing (names of empty files only)
-    empties = _empty_files(spark, path)
-    if not empties:
-        return scanned
-    return scanned.unionByName(spark.createDataFrame([(n, "") for n in empties], "file string, content string"))
-
-
-def _empty_files(spark: SparkSession, path: str) -> list[str]:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p) or not fs.getFileStatus(p).isDirectory():
-        return []
-    return [st.getPath().getName() for st in fs.listStatus(p) if st.isFile() and st.getLen() == 0]
+    """``src_content``: one row per file: ``(file, content)``, ``file`` being the name within ``path``, nested
+    folders included (whole text; an empty file keeps an empty row, so it is not mistaken for a
+    missing one)."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    scanned = df.select(files.relative_to(path).alias("file"), F.col("content").cast("string").alias("content"))
+    return scanned.unionByName(_empty_files(spark, path).select(files.relative_to(path).alias("file"), F.lit("").alias("content")))
+
+
+def _empty_files(spark: SparkSession, path: str) -> DataFrame:
+    """Zero-length files below ``path``, which file scans skip."""
+    return files.file_table(spark, path).filter("size = 0").select("path")
 
 
 def attach_content(index: DataFrame, content: DataFrame, strict: bool = True) -> DataFrame:
@@ -198,41 +190,17 @@ def read_tree(spark: SparkSession, path: str, glob: str = "*.c") -> DataFrame:
     dropped (the reference logs and skips them).  ``(path, content)``."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    return df.select("path", text.alias("content")).filter(F.col("content").isNotNull())
-
-
-# Fixed value: supported archive suffixes
-ARCHIVE_SUFFIXES = (".zip", ".tar.gz")
+    named = F.element_at(F.split("path", "/"), -1).rlike(fnmatch.translate(glob).replace(r"\Z", "$").replace(r"\z", "$"))
+    empty = _empty_files(spark, path).filter(named).select(F.concat(F.lit("file:"), "path").alias("path") if files.local_form(path).startswith("/") else "path", F.lit("").alias("content"))
+    return df.select("path", text.alias("content")).filter(F.col("content").isNotNull()).unionByName(empty)
 
 
 def read_archives(spark: SparkSession, path: str, glob: str = "*", member_suffix: str = ".c") -> DataFrame:
-    """``src_archive``: members of zip / tar.gz archives ending in ``member_suffix``, as
+    """``src_archive``: members of zip / tar.gz archives in ``path`` ending in ``member_suffix``, as
     ``(archive, path, content)``; any other archive suffix raises, a member that is not UTF-8 is
-    left out (as in :func:`read_tree`).  Archives are dealt out over the session's partitions and
-    handed on one at a time."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
-    raw = raw.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
-    schema = T.StructType([T.StructField("archive", T.StringType()), T.StructField("path", T.StringType()), T.StructField("content", T.BinaryType())])
-
-    def _members(batches):
-        for b in batches:
-            for archive, blob in zip(b["path"], b["content"]):
-                out = []
-                if archive.endswith(".zip"):
-                    with zipfile.ZipFile(io.BytesIO(blob)) as z:
-                        for name in sorted(z.namelist()):
-                            if name.endswith(member_suffix):
-                                out.append((archive, name, z.read(name)))
-                elif archive.endswith(".tar.gz"):
-                    with tarfile.open(fileobj=io.BytesIO(blob), mode="r:gz") as t:
-                        for m in sorted(t.getmembers(), key=lambda m: m.name):
-                            if m.isfile() and m.name.endswith(member_suffix):
-                                out.append((archive, m.name, t.extractfile(m).read()))
-                else:
-                    raise ValueError(f"unsupported archive: {archive}")
-                yield pd.DataFrame(out, columns=["archive", "path", "content"])
-
-    members = raw.mapInPandas(_members, schema)
+    left out (as in :func:`read_tree`).  Members are streamed from the open archives."""
+    found = files.file_table(spark, path, recursive=False).filter(F.element_at(F.split("path", "/"), -1).rlike(fnmatch.translate(glob).replace(r"\Z", "$").replace(r"\z", "$")))
+    members = files.archive_members(found, member_suffix)
     return members.select("archive", "path", F.try_validate_utf8(F.col("content").cast("string")).alias("content")).filter(F.col("content").isNotNull())
 
 
@@ -275,16 +243,33 @@ def example_columns(triple: F.Column) -> list[F.Column]:
     return [triple[0].alias("id"), triple[1].cast("int").alias("label"), triple[2].cast("double").alias("score")]
 
 
+def saved_run_list(spark: SparkSession, path: str) -> DataFrame:
+    """``(split, run, attempt)`` of the finished runs in the manifest that ``writers.write_runs`` keeps:
+    of several attempts at a run, the one committed first."""
+    manifest = spark.read.schema("split string, run string, attempt string, committed_at string").parquet(f"{path}/manifest")
+    return manifest.groupBy("split", "run").agg(F.min_by("attempt", F.struct("committed_at", "attempt")).alias("attempt"))
+
+
+def _saved(spark: SparkSession, path: str, name: str, finished_only: bool) -> DataFrame:
+    out = spark.read.parquet(f"{path}/{name}").withColumn("split", F.col("split").cast("string")).withColumn("run", F.col("run").cast("string"))
+    return out.join(saved_run_list(spark, path), ["split", "run", "attempt"], "left_semi") if finished_only else out
+
+
 def read_saved_runs(spark: SparkSession, path: str, finished_only: bool = True) -> DataFrame:
     """Scored examples ``(split, run, id, label, score)`` of what ``writers.write_runs`` wrote, by
-    default of runs on their split's run list only."""
-    out = spark.read.parquet(f"{path}/examples").select("split", "run", F.col("file").cast("string").alias("id"), F.col("label").cast("int").alias("label"), "score")
-    return out.join(saved_run_list(spark, path), ["split", "run"], "left_semi") if finished_only else out
+    default of the attempts that count."""
+    out = _saved(spark, path, "examples", finished_only)
+    return out.select("split", "run", F.col("file").cast("string").alias("id"), F.col("label").cast("int").alias("label"), "score")
 
 
-def saved_run_list(spark: SparkSession, path: str) -> DataFrame:
-    """``(split, run)`` of the finished runs that ``writers.write_runs`` listed."""
-    return spark.read.parquet(f"{path}/run_ids").select("split", "run")
+def read_saved_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """Metrics of the finished runs, as written."""
+    return _saved(spark, path, "results", True).drop("attempt")
+
+
+def read_saved_history(spark: SparkSession, path: str) -> DataFrame:
+    """``ml_history``: ``(split, run, iteration, loss ...)`` of the finished runs."""
+    return _saved(spark, path, "history", True).drop("attempt")
 
 
 def read_run_metrics(spark: SparkSession, path: str) -> DataFrame:

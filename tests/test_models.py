@@ -59,14 +59,6 @@ def test_invalid_spec_raises():
         md.make_estimator({"type": "Perceptron"})
 
 
-def test_trial_table(spark):
-    space = {"a": ("uniform", 1.0, 2.0), "b": ("quniform", 10, 50, 10), "c": ("choice", ["x", "y"]), "d": ("pow2_quniform", 3, 6, 1), "e": ("qloguniform", 0, 3, 1)}
-    t = md.trial_table(spark, space, 50, seed=2).collect()
-    assert len(t) == 50
-    assert all(1.0 <= r["a"] < 2.0 and r["b"] % 10 == 0 and r["c"] in ("x", "y") and r["d"] in (8, 16, 32, 64) for r in t)
-    assert t == md.trial_table(spark, space, 50, seed=2).collect()
-
-
 def test_mdl_finds_separating_cut(spark):
     rows = [(float(v), "A" if v < 50 else "B", float(v % 7)) for v in range(100)]
     df = spark.createDataFrame(rows, "x double, y string, noise double")
@@ -115,12 +107,17 @@ def test_ngram_lm_prefers_seen_bigrams(spark):
 
 
 def test_objective_history(spark, frames):
-    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.classification import LogisticRegression, NaiveBayes
 
     tr, _ = frames
-    model = LogisticRegression(featuresCol=md.FEATURES, labelCol=md.LABEL, maxIter=5).fit(tr)
-    h = md.objective_history(model)
-    assert len(h) >= 1 and list(h.columns) == ["iteration", "loss"]
+    h = md.objective_history(spark, LogisticRegression(featuresCol=md.FEATURES, labelCol=md.LABEL, maxIter=5).fit(tr))
+    assert h.columns == ["iteration", "loss"] and h.count() >= 1
+    assert md.objective_history(spark, NaiveBayes(modelType="gaussian", featuresCol=md.FEATURES, labelCol=md.LABEL).fit(tr)).count() == 0
+
+
+def test_learning_curve_refuses_a_size_above_the_rows(spark, frames):
+    with pytest.raises(ValueError, match="1000 rows"):
+        md.learning_curve(*frames, {"type": "LR", "C": 1.0}, sizes=[30, 1000], runs=1)
 
 
 def test_learning_curve_draws_a_sample_per_run(spark, frames):
@@ -139,15 +136,3 @@ def test_learning_curve_fits_in_tasks_agree_with_the_estimator(spark, frames):
     sample = md.run_samples(tr, [30, 200], 2).filter("run = 1 AND _r <= 30").drop("run", "_r")
     m = md.train_and_evaluate(sample, te, spec)[0].first()
     assert abs(curve[(1, 30, "precision")] - m["precision"]) < 1e-9 and abs(curve[(1, 30, "recall")] - m["recall"]) < 1e-9
-
-
-def test_search_uses_the_drawn_weight_and_keeps_whole_errors(spark, frames):
-    tr, te = frames
-    heavy = md.reweighted(tr, 9.0).groupBy(md.LABEL).agg(F.max(md.WEIGHT).alias("w")).collect()
-    assert {r[md.LABEL]: r["w"] for r in heavy} == {0.0: 1.0, 1.0: 9.0}
-    trials = spark.createDataFrame([(0, "LR"), (1, "x" * 400)], "trial long, kind string")
-    to_spec = lambda r: {"type": r["kind"], "C": 1.0, "pos_class_weight": 3.0}
-    got = {r["trial"]: r for r in md.random_search(tr, te, trials, to_spec).collect()}
-    assert got[0]["average_precision"] > 0.9 and "x" * 400 in got[1]["error"]
-    with pytest.raises(ValueError):
-        md.random_search(tr, te, trials.filter("trial = 1"), to_spec)

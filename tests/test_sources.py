@@ -151,6 +151,39 @@ def test_saved_runs_round_trip(spark, tmp):
     assert [r["split"] for r in wr.pending_splits(planned, rd.saved_run_list(spark, f"{tmp}/saved")).collect()] == ["s3"]
 
 
+def _run_tables(spark, runs, examples=3):
+    results = spark.createDataFrame([(s, r, 0.5) for s, r in runs], "split string, run string, average_precision double")
+    ex = spark.createDataFrame([(s, r, f"f{i}", float(i % 2), i / 10) for s, r in runs for i in range(examples)], "split string, run string, file string, label double, score double")
+    history = spark.createDataFrame([(s, r, k, 1.0 / (k + 1)) for s, r in runs for k in range(2)], "split string, run string, iteration int, loss double")
+    return results, ex, history
+
+
+def test_killed_and_repeated_attempts_are_read_once(spark, tmp):
+    path = f"{tmp}/runs"
+    runs = [("007", "r1"), ("007", "r2")]
+    results, ex, history = _run_tables(spark, runs)
+    wr.stage_attempt(results, ex, path, history)  # killed before its commit
+    wr.write_runs(results, ex, path, history)  # repeated
+    wr.write_runs(results, ex, path, history)  # and, by mistake, once more
+    got = sorted((r["split"], r["run"], r["id"]) for r in rd.read_saved_runs(spark, path).collect())
+    assert got == [(s, r, f"f{i}") for s, r in runs for i in range(3)]  # split names keep their zeros
+    assert rd.read_saved_history(spark, path).count() == 4 and rd.read_saved_metrics(spark, path).count() == 2
+    assert rd.read_saved_runs(spark, path, finished_only=False).count() == 18
+
+
+def test_concurrent_attempts_and_the_first_commit_stays(spark, tmp):
+    path = f"{tmp}/runs"
+    one, two = _run_tables(spark, [("s", "r1"), ("s", "r2")]), _run_tables(spark, [("s", "r2"), ("s", "r3")], examples=5)
+    a, b = (wr.stage_attempt(*t[:2], path, t[2]) for t in (one, two))  # both at work
+    wr.commit_attempt(two[0], path, b)
+    wr.commit_attempt(one[0], path, a)
+    count = {r["run"]: r["count"] for r in rd.read_saved_runs(spark, path).groupBy("run").count().collect()}
+    assert count == {"r1": 3, "r2": 5, "r3": 5}
+    assert {r["run"]: r["attempt"] for r in rd.saved_run_list(spark, path).collect()} == {"r1": a, "r2": b, "r3": b}
+    wr.write_runs(*one[:2], path)
+    assert {r["run"]: r["attempt"] for r in rd.saved_run_list(spark, path).collect()} == {"r1": a, "r2": b, "r3": b}
+
+
 def test_metadata_round_trip(spark, tmp):
     meta = spark.createDataFrame([("000000000000000a", "VULNERABLE", "c1", "a.c", 1500000000)], rd.METADATA_SCHEMA)
     index = spark.createDataFrame([("s", "train", "a.c", "VULNERABLE")], "split string, part string, file string, label string")
