@@ -44,7 +44,7 @@ from corpusrisk.llm.common import discard, id_text, number_rows, stage, worker_t
 
 SEQUENCE_TOKENS = 2048
 END_ID = 0
-REMEMBERED_BYTES = 24 << 20  # of words and ids, in each of two generations kept per worker
+REMEMBERED_BYTES = 56 << 20  # of words and ids, in each of two generations kept per worker
 ENTRY_BYTES = 200  # what a table entry takes besides
 GROUP_CHARS = 2_000_000
 ROUND_TASKS = 8  # a round has few rows, whatever the corpus
@@ -117,16 +117,22 @@ class WordCoder:
             self.known.clear()
         if not self.known:  # also when another operator has emptied the tables
             self.held = 0
-        new = list(set().union(*cut).difference(self.known))
-        again = {w: self.old[w] for w in new if w in self.old}
-        if again:
-            new = [w for w in new if w not in again]
-            self.known.update(again)
-        learned = self.learn(new) if new else []
-        self.known.update(zip(new, learned))
-        self.held += sum(map(len, again)) + sum(map(len, again.values())) + sum(map(len, new)) + sum(map(len, learned)) + ENTRY_BYTES * (len(again) + len(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        rows, missing = [list(map(self.known.get, c)) for c in cut], set()
+        for c, r in zip(cut, rows):
+            if None in r:
+                missing.update([w for w, x in zip(c, r) if x is None])
+        found, new = {}, []
+        for w in missing:
+            x = self.old.get(w)
+            if x is None:
+                new.append(w)
+            else:
+                found[w] = x
+        if new:
+            found.update(zip(new, self.learn(new)))
+        self.known.update(found)
+        self.held += len(b"".join(found)) + len(b"".join(found.values())) + ENTRY_BYTES * len(found)
+        return [b"".join([found[w] if x is None else x for w, x in zip(c, r)] if None in r else r) for c, r in zip(cut, rows)]
 
 
 @lru_cache(maxsize=2)
