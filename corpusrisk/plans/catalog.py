@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_text", "q_eval", "q_seq", "q_lineage", "q_synth", "q_models", "q_features", "q_inputs", "q_search"]
+_MODULES = ["q_text", "q_eval", "q_seq", "q_lineage", "q_synth", "q_models", "q_features", "q_inputs", "q_search", "q_roundtrip"]
 
 
 def catalog() -> dict:

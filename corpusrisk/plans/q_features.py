@@ -59,10 +59,10 @@ cum AS (SELECT *, sum(c0) OVER w AS l0, sum(c1) OVER w AS l1, sum(c2) OVER w AS
         FROM h WINDOW w AS (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 c2 AS (SELECT *, n0 - l0 AS r0, n1 - l1 AS r1, n2 - l2 AS r2, l0 + l1 + l2 AS nl, n0 + n1 + n2 AS n FROM cum WHERE nxt IS NOT NULL),
 c3 AS (SELECT *, n - nl AS nr FROM c2),
-e AS (SELECT *, (({_xl('nl')} - {_xl('l0')} - {_xl('l1')} - {_xl('l2')}) + ({_xl('nr')} - {_xl('r0')} - {_xl('r1')} - {_xl('r2')})) / n AS entropy FROM c3),
+e AS (SELECT *, round((({_xl('nl')} - {_xl('l0')} - {_xl('l1')} - {_xl('l2')}) + ({_xl('nr')} - {_xl('r0')} - {_xl('r1')} - {_xl('r2')})) / n, {ds.TIE_DIGITS}) AS entropy FROM c3),
 best AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY feature ORDER BY entropy, value) = 1)
 SELECT feature, (value + nxt) / 2 AS cut,
-       {_part('n', ['n0', 'n1', 'n2'])} > log2(nv - 1) + {_part('nl', ['l0', 'l1', 'l2'])} + {_part('nr', ['r0', 'r1', 'r2'])} AS accepted
+       {_part('n', ['n0', 'n1', 'n2'])} - {ds.TIE} > log2(nv - 1) + {_part('nl', ['l0', 'l1', 'l2'])} + {_part('nr', ['r0', 'r1', 'r2'])} AS accepted
 FROM best
 """
 
@@ -100,7 +100,7 @@ seg AS (
   SELECT feature, CASE WHEN side = 0 THEN lo ELSE value END, CASE WHEN side = 0 THEN value ELSE hi END, CASE WHEN side = 0 THEN (value + nxt) / 2 END
   FROM (
     SELECT * FROM (
-      SELECT *, (({_xl('nl')} - {_xl('l0')} - {_xl('l1')} - {_xl('l2')}) + ({_xl('nr')} - {_xl('r0')} - {_xl('r1')} - {_xl('r2')})) / n AS entropy FROM (
+      SELECT *, round((({_xl('nl')} - {_xl('l0')} - {_xl('l1')} - {_xl('l2')}) + ({_xl('nr')} - {_xl('r0')} - {_xl('r1')} - {_xl('r2')})) / n, {ds.TIE_DIGITS}) AS entropy FROM (
         SELECT *, n0 - l0 AS r0, n1 - l1 AS r1, n2 - l2 AS r2, l0 + l1 + l2 AS nl, n0 + n1 + n2 AS n, n0 + n1 + n2 - l0 - l1 - l2 AS nr FROM (
           SELECT h.feature, lo, hi, value, sum(c0) OVER w AS l0, sum(c1) OVER w AS l1, sum(c2) OVER w AS l2,
                  sum(c0) OVER s AS n0, sum(c1) OVER s AS n1, sum(c2) OVER s AS n2, count(*) OVER s AS nv, lead(value) OVER (PARTITION BY h.feature, lo, hi ORDER BY value) AS nxt
@@ -108,7 +108,7 @@ seg AS (
           WINDOW w AS (PARTITION BY h.feature, lo, hi ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), s AS (PARTITION BY h.feature, lo, hi))
         WHERE nxt IS NOT NULL))
     QUALIFY row_number() OVER (PARTITION BY feature, lo, hi ORDER BY entropy, value) = 1), (VALUES (0), (1)) AS sides(side)
-  WHERE {_part('n', ['n0', 'n1', 'n2'])} > log2(nv - 1) + {_part('nl', ['l0', 'l1', 'l2'])} + {_part('nr', ['r0', 'r1', 'r2'])})
+  WHERE {_part('n', ['n0', 'n1', 'n2'])} - {ds.TIE} > log2(nv - 1) + {_part('nl', ['l0', 'l1', 'l2'])} + {_part('nr', ['r0', 'r1', 'r2'])})
 SELECT feature, cut FROM seg WHERE cut IS NOT NULL
 """
 
@@ -182,7 +182,7 @@ seg AS (
   SELECT idx, CASE WHEN side = 0 THEN lo ELSE value END, CASE WHEN side = 0 THEN value ELSE hi END, CASE WHEN side = 0 THEN (value + nxt) / 2 END
   FROM (
     SELECT * FROM (
-      SELECT *, (({_W[0]} - {_W[1]} - {_W[2]}) + ({_W[3]} - {_W[4]} - {_W[5]})) / n AS entropy FROM (
+      SELECT *, round((({_W[0]} - {_W[1]} - {_W[2]}) + ({_W[3]} - {_W[4]} - {_W[5]})) / n, {ds.TIE_DIGITS}) AS entropy FROM (
         SELECT *, n0 - l0 AS r0, n1 - l1 AS r1, l0 + l1 AS nl, n0 + n1 AS n, n0 + n1 - l0 - l1 AS nr FROM (
           SELECT h.idx, lo, hi, value, sum(c0) OVER w AS l0, sum(c1) OVER w AS l1, sum(c0) OVER s AS n0, sum(c1) OVER s AS n1,
                  count(*) OVER s AS nv, lead(value) OVER (PARTITION BY h.idx, lo, hi ORDER BY value) AS nxt
@@ -190,7 +190,7 @@ seg AS (
           WINDOW w AS (PARTITION BY h.idx, lo, hi ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), s AS (PARTITION BY h.idx, lo, hi))
         WHERE nxt IS NOT NULL))
     QUALIFY row_number() OVER (PARTITION BY idx, lo, hi ORDER BY entropy, value) = 1), (VALUES (0), (1)) AS sides(side)
-  WHERE {_part('n', ['n0', 'n1'])} > log2(nv - 1) + {_part('nl', ['l0', 'l1'])} + {_part('nr', ['r0', 'r1'])}),
+  WHERE {_part('n', ['n0', 'n1'])} - {ds.TIE} > log2(nv - 1) + {_part('nl', ['l0', 'l1'])} + {_part('nr', ['r0', 'r1'])}),
 cuts AS (SELECT idx, cut FROM seg WHERE cut IS NOT NULL)
 """
 SQL_FT_MDL_WORD_CUTS = f"WITH RECURSIVE {SQL_WORD_CUTS} SELECT idx::BIGINT AS idx, cut FROM cuts"
