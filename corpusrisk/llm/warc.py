@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusrisk.llm.common import number_rows, running_total, shared_path, shuffle_partitions, stage
+from corpusrisk.llm.common import number_rows, places, running_total, shared_path, shuffle_partitions, stage
 
 FANOUT = 16
 VOLUME_RECORDS = 2048
@@ -49,7 +49,8 @@ def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 def _hashed(records: DataFrame) -> DataFrame:
     data = F.col("record").cast("binary")
-    return records.select("record_id", "url", F.octet_length("record").cast("long").alias("length"), F.sha2(data, 256).alias("sha256"))
+    name = F.concat(F.coalesce(F.col("record_id").cast("string"), F.lit("null")), F.lit(" "), F.ltrim(F.regexp_replace("url", r"[\r\n]", " ")))
+    return records.select("record_id", "url", name.alias("name"), F.octet_length("record").cast("long").alias("length"), F.sha2(data, 256).alias("sha256"))
 
 
 ORDER = ["record_id", "url", "sha256"]
@@ -103,7 +104,8 @@ def _inflate(data: bytes) -> bytes:
 
 def read_warc(spark: SparkSession, path: str, with_record: bool = False) -> DataFrame:
     """One row per record: file, part and volume (from the file's name), seq, offset (in the
-    volume), length, sha256, target_uri and, on request, the record's bytes."""
+    volume), length, sha256, target_uri, name (its id and URL, empty where its header is lost) and, on
+    request, the record's bytes."""
 
     def parse(batches):
         for batch in batches:
@@ -112,15 +114,18 @@ def read_warc(spark: SparkSession, path: str, with_record: bool = False) -> Data
                 part, volume = (int(m[1]), int(m[2])) if m else (0, 0)
                 rows = []
                 for seq, (offset, rec) in enumerate(parse_volume(_inflate(content.as_py()))):
-                    uri = re.search(rb"(?im)^WARC-Target-URI:[ \t]*(.*?)\r$", rec[: rec.find(b"\r\n\r\n") + 2])
-                    rows.append((name, part, volume, seq, offset, len(rec), hashlib.sha256(rec).hexdigest(), uri[1].decode("utf-8", "replace") if uri else None, rec if with_record else None))
+                    head = rec[: rec.find(b"\r\n\r\n") + 2]
+                    uri, ident = re.search(rb"(?im)^WARC-Target-URI:[ \t]*(.*?)\r$", head), re.search(rb"(?im)^WARC-Record-ID:[ \t]*<urn:page:(.*?)>\r$", head)
+                    target = uri[1].decode("utf-8", "replace") if uri else None
+                    called = f"{ident[1].decode('utf-8', 'replace')} {target}" if ident and uri else ""
+                    rows.append((name, part, volume, seq, offset, len(rec), hashlib.sha256(rec).hexdigest(), target, called, rec if with_record else None))
                 for s in range(0, len(rows), 1000):
                     cols = list(zip(*rows[s : s + 1000]))
-                    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["file", "part", "volume", "seq", "offset", "length", "sha256", "target_uri", "record"])
+                    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["file", "part", "volume", "seq", "offset", "length", "sha256", "target_uri", "name", "record"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    return files.mapInArrow(parse, "file string, part int, volume int, seq int, offset long, length long, sha256 string, target_uri string, record binary")
+    return files.mapInArrow(parse, "file string, part int, volume int, seq int, offset long, length long, sha256 string, target_uri string, name string, record binary")
 
 
 def leaves(records: DataFrame, order: list[str | Column], label: str) -> DataFrame:
@@ -163,29 +168,40 @@ def differing(a: list[DataFrame], b: list[DataFrame], fanout: int = FANOUT) -> D
     return suspects.select(F.col("up").alias("idx"))
 
 
+def matched(a: DataFrame, b: DataFrame, key: str, label: str) -> DataFrame:
+    """(idx, idx_b): records of two replicas with equal ``key``, the first with the first, the second with
+    the second and so on.  Copies are numbered over range partitions, so a key may have any number."""
+    first, second = (places(t.select("idx", key), key, ["idx"], "_occ", f"{label}-{n}") for n, t in (("a", a), ("b", b)))
+    return stage(first.join(second.withColumnRenamed("idx", "idx_b"), [key, "_occ"]).select("idx", "idx_b"), f"{label}-pairs")
+
+
 def audit(a: DataFrame, b: DataFrame, fanout: int = FANOUT) -> tuple[DataFrame, str | None, str | None]:
     """Audit replica ``b`` against ``a``, both from ``leaves``.  Returns every record of ``a`` and the
-    extra ones of ``b`` with ``status`` - intact, changed, moved (the same bytes stand at another
-    offset of ``b``), missing or extra - and ``replica_sha256``, and the two roots."""
+    extra ones of ``b`` with ``status`` and ``replica_sha256``, and the two roots.
+
+    Differing leaves are matched by what the records are: those with the same bytes at another place are
+    moved; of the rest, those with the same id and URL are changed; of the rest, those at the same
+    place (a lost header) are changed; what is left is missing or extra."""
     levels = height(max(a.count(), b.count(), 1), fanout)
     ta, tb = merkle_levels(a, levels, "a", fanout), merkle_levels(b, levels, "b", fanout)
     bad = differing(ta, tb, fanout)
     (ra, rb) = ((t[-1].first() or {"hash": None})["hash"] for t in (ta, tb))  # one row each
-    bad_b = b.join(bad, "idx", "left_semi").select("idx", F.col("sha256").alias("replica_sha256"), F.col("offset").alias("replica_offset"), F.col("length").alias("replica_length"))
-    elsewhere = bad_b.select(F.col("replica_sha256").alias("sha256")).distinct().withColumn("_found", F.lit(True))
-    bad_a = a.join(bad, "idx", "left_semi").join(elsewhere, "sha256", "left")
-    found = bad_a.join(bad_b, "idx", "full_outer").withColumn(
-        "status",
-        F.when(F.col("sha256").isNull(), "extra")
-        .when(F.col("_found"), "moved")
-        .when(F.col("replica_sha256").isNull(), "missing")
-        .otherwise("changed"),
-    )
-    offset = F.coalesce(F.col("offset"), F.col("replica_offset")).alias("offset")
-    length = F.coalesce(F.col("length"), F.col("replica_length")).alias("length")
-    found = found.select("record_id", "url", "idx", offset, length, "sha256", "status", "replica_sha256")
+    columns = ["record_id", "url", "idx", "offset", "length", "sha256", "status", "replica_sha256"]
     fine = a.join(bad, "idx", "left_anti").select("record_id", "url", "idx", "offset", "length", "sha256", F.lit("intact").alias("status"), F.col("sha256").alias("replica_sha256"))
-    return fine.unionByName(found), ra, rb
+    if ra == rb:
+        return fine, ra, rb
+    rest_a, rest_b = (stage(t.join(bad, "idx", "left_semi"), "differing-records") for t in (a, b))
+    out = fine
+    replica = rest_b.select(F.col("idx").alias("idx_b"), F.col("sha256").alias("replica_sha256"))
+    for key, status in (("sha256", "moved"), ("name", "changed"), ("idx", "changed")):
+        pairs = rest_a.select("idx", F.col("idx").alias("idx_b")).join(rest_b.select(F.col("idx").alias("idx_b")), "idx_b", "left_semi") if key == "idx" else matched(rest_a.filter(F.col(key) != ""), rest_b.filter(F.col(key) != ""), key, status)
+        out = out.unionByName(rest_a.join(pairs, "idx").join(replica, "idx_b").withColumn("status", F.lit(status)).select(*columns))
+        rest_a, rest_b = (stage(t.join(pairs.select(F.col(c).alias("idx")), "idx", "left_anti"), "differing-records") for t, c in ((rest_a, "idx"), (rest_b, "idx_b")))
+    missing = rest_a.withColumn("status", F.lit("missing")).withColumn("replica_sha256", F.lit(None).cast("string")).select(*columns)
+    kinds = {f.name: f.dataType for f in a.schema.fields}
+    none = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    extra = rest_b.select(none("record_id"), none("url"), "idx", "offset", "length", none("sha256"), F.lit("extra").alias("status"), F.col("sha256").alias("replica_sha256"))
+    return out.unionByName(missing).unionByName(extra), ra, rb
 
 
 def audited_archive(pages: DataFrame, stored: DataFrame | None = None, volume_records: int = VOLUME_RECORDS) -> DataFrame:
@@ -195,7 +211,7 @@ def audited_archive(pages: DataFrame, stored: DataFrame | None = None, volume_re
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write_warc(warc_records(stored if stored is not None else pages), path, volume_records)
-    back = read_warc(spark, path).select("part", "volume", "seq", "length", "sha256")
+    back = read_warc(spark, path).select("part", "volume", "seq", "length", "sha256", "name")
     a = leaves(_hashed(warc_records(pages)), ORDER, "a")
     b = leaves(back, ["part", "volume", "seq"], "b")
     rows, ra, rb = audit(a, b)
