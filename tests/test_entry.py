@@ -11,7 +11,7 @@ from tools.oracle_check import digest
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-HEAVY = {"ml_random_search", "ml_learning_curve", "ml_svm", "ml_ada", "ml_drf", "ml_sequence", "ml_fit_eval_gbt", "ml_repeat_runs", "syn_distant", "ft_mdl_cuts", "pipeline"}
+HEAVY = {"ml_random_search", "ml_learning_curve", "ml_svm", "ml_ada", "ml_drf", "ml_sequence", "ml_fit_eval_gbt", "ml_repeat_runs", "syn_distant", "ft_mdl_cuts", "ft_mdl_word_cuts", "ft_mdl_word_entries", "ft_singular_vectors", "ml_drf_words", "ml_history", "ml_sequence_ngrams", "pipeline"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
 
