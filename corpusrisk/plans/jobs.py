@@ -48,7 +48,7 @@ def documents_to_scores(
     """E2.  ``index``: ``(split, part, file, label)`` with part in {train, test}; ``content``:
     ``(file, content)``.  Returns ``(metrics per split and run, scored examples)``."""
     docs = pin(content.select("file", tx.denoise_tokens("content").alias("tokens")))
-    vectors = sqm.document_vectors(docs, "file", "tokens", sqm.token_vectors(docs.filter(F.size("tokens") > 0), "tokens", size=vector_size))
+    vectors = sqm.document_vectors(docs, "file", "tokens", sqm.token_vectors(docs.filter(F.size("tokens") > 0), "tokens", size=vector_size), vector_size)
     # jn_index_vectors: index rows without a vector drop out silently
     data = pin(index.join(vectors, "file").withColumn("y", ev.label_to_num("label")).withColumn("vec", vx.pooled(pooling)))
     frame = md.model_frame(data, "vec", "y", pos_class_weight, "file", keep=["split", "part"])
