@@ -28,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,7 @@ from corpusrisk.session import ensure_checkpoint_dir, pin
 
 MAX_PARAMETERS = 20_000_000
 UNIT = float(1 << 40)  # whole parts of a gradient entry
+HELD = 1 << 14  # token ids whose embedding gradients are held before they are added up
 
 
 @dataclass(frozen=True)
@@ -83,6 +85,19 @@ def prepared(ids, spec: SequenceSpec) -> np.ndarray:
     return np.concatenate([np.zeros(max(0, spec.conv_kernel_size - len(x)), np.int64), x])
 
 
+def _id_rows(lists: pa.Array):
+    """The id arrays of an Arrow column one by one, never as Python numbers; a null one is empty."""
+    edges = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+    flat = lists.flatten().to_numpy()
+    return (flat[lo:hi] for lo, hi in zip(edges[:-1], edges[1:]))
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The same ids in half the bytes where they fit."""
+    small = x.astype(np.int32)
+    return small if (small == x).all() else x
+
+
 def _forward(w: dict, x: np.ndarray, spec: SequenceSpec):
     places = np.arange(0, len(x) - spec.conv_kernel_size + 1, spec.conv_strides)
     at = x[places[:, None] + np.arange(spec.conv_kernel_size)]  # token ids under the kernel
@@ -119,21 +134,33 @@ def _whole(x: np.ndarray) -> np.ndarray:
     return np.rint(x * UNIT).astype(np.int64)
 
 
+def _folded(ids: np.ndarray, sums: np.ndarray, at: list, values: list) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by token id with some more entries added; ids rising."""
+    out, inverse = np.unique(np.concatenate([ids, *at]), return_inverse=True)
+    total = np.zeros((len(out), sums.shape[1]), np.int64)
+    np.add.at(total, inverse, np.concatenate([sums, *values]))
+    return out, total
+
+
 def _summed(rows, w: dict, spec: SequenceSpec, epoch: int):
-    """Whole sums of losses and gradients of some rows ``(number, ids, label)``."""
-    loss, dense, at, values = 0, {k: np.zeros(v.shape, np.int64) for k, v in w.items() if k != "embed"}, [], []
+    """Whole sums of losses and gradients of some rows ``(number, ids, label)``.  Gradients of few rows are held
+    at a time; what stays is one entry per token id."""
+    loss, dense, at, values, held = 0, {k: np.zeros(v.shape, np.int64) for k, v in w.items() if k != "embed"}, [], [], 0
+    ids, embed = np.zeros(0, np.int64), np.zeros((0, spec.embed_dim), np.int64)
     for number, x, y in rows:
         keep = np.random.default_rng([spec.seed, epoch, number]).random(spec.conv_filters) >= spec.dropout if spec.dropout else None
-        one, g, (ids, e) = gradient(w, x, y, spec, keep)
+        one, g, (under, e) = gradient(w, x, y, spec, keep)
         loss += int(round(one * UNIT))
         for k, v in g.items():
             dense[k] += _whole(v)
-        at.append(ids)
+        at.append(under)
         values.append(_whole(e))
-    ids, inverse = np.unique(np.concatenate(at) if at else np.zeros(0, np.int64), return_inverse=True)
-    embed = np.zeros((len(ids), spec.embed_dim), np.int64)
+        held += len(under)
+        if held >= max(HELD, len(ids)):
+            ids, embed = _folded(ids, embed, at, values)
+            at, values, held = [], [], 0
     if at:
-        np.add.at(embed, inverse, np.concatenate(values))
+        ids, embed = _folded(ids, embed, at, values)
     return loss, dense, ids, embed
 
 
@@ -224,7 +251,7 @@ def fit(df: DataFrame, spec: SequenceSpec, workers: int | None = None, tokens: s
         from pyspark import BarrierTaskContext
 
         context = BarrierTaskContext.get()
-        own = [(i, prepared(x, spec), t) for b in batches for i, x, t in zip(*(c.to_pylist() for c in b.columns))]
+        own = [(i, _narrow(prepared(x, spec)), t) for b in batches for i, x, t in zip(b.column(0).to_pylist(), _id_rows(b.column(1)), b.column(2).to_pylist())]
         for e in train(own, n_train, n_valid, spec, _gatherer(context)):
             if context.partitionId() == 0:
                 model = pickle.dumps(e["model"]) if e["model"] else None
@@ -247,7 +274,7 @@ def predict(df: DataFrame, model: dict[str, np.ndarray], spec: SequenceSpec, tok
 
     def run(batches):
         for b in batches:
-            z = np.array([logit(shared.value, prepared(x, spec), spec) for x in b.column(2).to_pylist()])
+            z = np.array([logit(shared.value, prepared(x, spec), spec) for x in _id_rows(b.column(2))])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(1.0 / (1.0 + np.exp(-z)), pa.float64())], names=["file", "label", "score"])
 
     rows = df.select(F.col(id_col).alias("file"), F.col(y).cast("double").alias("label"), F.col(tokens).cast("array<long>").alias("x"))

@@ -126,3 +126,32 @@ def test_awkward_rows(spark):
         nn.fit(df.filter("y > 1"), SPEC)
     with pytest.raises(ValueError, match="parameters"):
         nn.fit(df, nn.SequenceSpec(vocab_size=10_000_000))
+
+
+def test_a_step_holds_gradients_of_few_rows():
+    """What a step over all rows holds is bounded by the vocabulary, not by the rows; sums stay the same."""
+    import tracemalloc
+
+    spec = nn.SequenceSpec(vocab_size=50)
+    rnd = np.random.default_rng(2)
+    held = [(i, rnd.integers(0, 50, 12), float(i % 2)) for i in range(4000)]
+    w = nn.initial(spec)
+    tracemalloc.start()
+    loss, dense, ids, embed = nn._summed(held, w, spec, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20  # the gradients of all rows are 80 MB
+    want, total = np.zeros((50, spec.embed_dim), np.int64), 0
+    for _, x, y in held:
+        one, _, (at, rows_) = nn.gradient(w, x, y, spec)
+        np.add.at(want, at, np.rint(rows_ * nn.UNIT).astype(np.int64))
+        total += int(round(one * nn.UNIT))
+    assert loss == total and list(ids) == sorted(set(ids)) and (want[ids] == embed).all() and not want[np.setdiff1d(np.arange(50), ids)].any()
+
+
+def test_rows_of_an_arrow_column():
+    import pyarrow as pa
+
+    lists = pa.array([[9], [1, 2], None, [], [3, 1 << 40]], pa.list_(pa.int64())).slice(1)
+    assert [list(x) for x in nn._id_rows(lists)] == [[1, 2], [], [], [3, 1 << 40]]
+    assert nn._narrow(np.array([1, 2])).dtype == np.int32 and nn._narrow(np.array([1 << 40]))[0] == 1 << 40
