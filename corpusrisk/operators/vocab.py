@@ -107,6 +107,14 @@ def regroup(ids: DataFrame, doc: str = "doc", pos: str = "pos", value: str = "id
     return ids.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).alias("v")))), lambda s: s["v"]).alias(out))
 
 
+def regroup_arrays(df: DataFrame, doc: str = "doc", values: str = "ids", out: str = "vector") -> DataFrame:
+    """:func:`regroup` of rows ``(doc, ARRAY)`` that are still whole: what exploding them with their positions
+    and regrouping gives.  Elements move as arrays; only a document of several rows is sorted."""
+    rows = df.filter(F.size(values) > 0).groupBy(doc).agg(F.collect_list(values).alias("_a"))
+    placed = F.flatten(F.transform("_a", lambda a: F.transform(a, lambda v, i: F.struct(i.alias("p"), v.alias("v")))))
+    return rows.select(doc, F.when(F.size("_a") == 1, F.col("_a")[0]).otherwise(F.transform(F.array_sort(placed), lambda s: s["v"])).alias(out))
+
+
 def vectorise(tokens: DataFrame, vocab: DataFrame, unk: int, doc: str = "doc", pos: str = "pos", token: str = "token", prepared: bool = False) -> DataFrame:
     """``ft_vocab_vectorise`` (apply step): per document the id vector, unknown tokens -> ``unk``."""
     return regroup(lookup_ids(tokens, vocab, unk, token=token, prepared=prepared), doc=doc, pos=pos, value="id", out="vector")

@@ -2,8 +2,10 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from corpusrisk.operators import arrays as ar
+from corpusrisk.operators import vocab
 
 ROWS = [(0, ["a", "b", "a"]), (1, None), (2, []), (3, ["c", None, "b"]), (4, ["a"] * 9), (4, ["b", "c"])]
 
@@ -38,3 +40,13 @@ def test_a_batch_is_gone_through_in_slices(spark, monkeypatch):
     assert sorted([(r["doc"], r["ids"]) for r in ids.collect()], key=str) == want
     counts = ar.term_counts(ids, "ids", "doc", ignore=5).collect()
     assert sorted(map(tuple, counts)) == [(0, 1, 1), (0, 7, 2), (3, 1, 1), (4, 1, 1), (4, 7, 9)]
+
+
+def test_regrouped_arrays_equal_regrouped_elements(spark):
+    df = spark.createDataFrame([(0, [3, 1]), (1, None), (2, []), (4, [5, 9]), (4, [2, 9, 9])], "doc long, ids array<int>")
+    each = df.select("doc", F.posexplode("ids").alias("pos", "id"))
+    rows = lambda d: sorted((r["doc"], r["v"]) for r in d.collect())
+    whole = vocab.regroup_arrays(df, out="v")
+    assert rows(whole) == rows(vocab.regroup(each, out="v")) == [(0, [3, 1]), (4, [2, 5, 9, 9, 9])]
+    # elements are not exploded before they are exchanged
+    assert "Generate" not in whole._jdf.queryExecution().executedPlan().toString()
