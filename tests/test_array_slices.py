@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusrisk.operators import arrays as ar
-from corpusrisk.operators import vocab
+from corpusrisk.operators import batching, vocab
 
 ROWS = [(0, ["a", "b", "a"]), (1, None), (2, []), (3, ["c", None, "b"]), (4, ["a"] * 9), (4, ["b", "c"])]
 
@@ -50,3 +50,13 @@ def test_regrouped_arrays_equal_regrouped_elements(spark):
     assert rows(whole) == rows(vocab.regroup(each, out="v")) == [(0, [3, 1]), (4, [2, 5, 9, 9, 9])]
     # elements are not exploded before they are exchanged
     assert "Generate" not in whole._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batches_are_numbered_without_vectors(spark, monkeypatch):
+    seen, real = [], batching.dense_index
+    monkeypatch.setattr(batching, "dense_index", lambda df, *a, **k: (seen.append(df.columns), real(df, *a, **k))[1])
+    df = spark.createDataFrame([(i, i % 2, [i] * (i + 1)) for i in range(6)], "file long, label int, vectors array<int>")
+    out = batching.make_batches(df, 2, 3, pad=-1, order="file").orderBy("batch", "slot").collect()
+    assert [(r["batch"], r["slot"], r["file"]) for r in out] == [(i // 2, i % 2, i) for i in range(6)]
+    assert [[x for c in r["chunks"] for x in c] for r in out] == [[i] * (i + 1) + [-1] * ((3 if i < 2 else 6) - i - 1) for i in range(6)]
+    assert seen and all("vectors" not in c for c in seen)
