@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusrisk.operators import arrays as ar
-from corpusrisk.operators import batching, vocab
+from corpusrisk.operators import batching, ngram, vocab
 
 ROWS = [(0, ["a", "b", "a"]), (1, None), (2, []), (3, ["c", None, "b"]), (4, ["a"] * 9), (4, ["b", "c"])]
 
@@ -60,3 +60,9 @@ def test_batches_are_numbered_without_vectors(spark, monkeypatch):
     assert [(r["batch"], r["slot"], r["file"]) for r in out] == [(i // 2, i % 2, i) for i in range(6)]
     assert [[x for c in r["chunks"] for x in c] for r in out] == [[i] * (i + 1) + [-1] * ((3 if i < 2 else 6) - i - 1) for i in range(6)]
     assert seen and all("vectors" not in c for c in seen)
+
+
+def test_ngram_rows_keep_the_arrays_type(spark):
+    wide, narrow = (ngram.ngram_rows(spark.createDataFrame([(0, [4, 5]), (1, [])], f"doc_ord long, ids array<{t}>"), 3) for t in ("bigint", "int"))
+    assert [c[1] for c in narrow.dtypes] == ["bigint", "int", "int", "int", "int"]
+    assert wide.collect() == narrow.collect()
