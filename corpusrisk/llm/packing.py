@@ -31,12 +31,12 @@ from __future__ import annotations
 
 import os
 import zlib
-import re
 from bisect import bisect_left, insort
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +51,14 @@ ROUND_TASKS = 8  # a round has few rows, whatever the corpus
 RANK_BITS = 10  # matched runs meet pieces by blocks of 1,024 ranks
 
 
+def _gathered(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces number ``at`` of ``flat``, whose pieces have ``sizes``, one after another; and the end of each."""
+    lens = sizes[at]
+    ends = np.cumsum(lens)
+    shift = (np.cumsum(sizes) - sizes)[at] - (ends - lens)
+    return flat[np.repeat(shift, lens) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 class WordCoder:
     """Ids of texts by a tokenizer that lower-cases, drops white space and splits letters from
     other characters; each word is encoded once.
@@ -60,13 +68,15 @@ class WordCoder:
     where the call's result is cut), the few distinct endings are remembered.  All other words go
     through the whole tokenizer, many in one call.
 
-    Encoded words are kept in two generations: a full one becomes the old one, from which words that
-    come again are taken over, so frequent words stay and the table is bounded in bytes."""
+    The words of a call are told apart by Arrow, so only its distinct words are looked up, and plain ones
+    by their letters alone, whatever their ending or case.  Encoded words are kept in two generations: a
+    full one becomes the old one, from which words that come again are taken over, so frequent words stay
+    and the table is bounded in bytes."""
 
-    ENDINGS = ".,;:!?)"
+    ENDINGS = ".,;:!?)*$%&#"  # ASCII, neither letters, digits nor the apostrophe, which starts a split of its own
     # Latin letters: lower-cased one by one, unchanged by normalisation
     PLAIN = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c == c.lower())
-    SHAPE = re.compile(f"^(?:([{PLAIN}]+)([{re.escape(ENDINGS)}]*)|.+)$", re.M)
+    SHAPE = f"^[{PLAIN}]+$"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -79,8 +89,8 @@ class WordCoder:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = worker_table({})
-        self.old: dict[bytes, bytes] = worker_table({})
+        self.known: dict[str, bytes] = worker_table({})
+        self.old: dict[str, bytes] = worker_table({})
         self.held = 0  # bytes of the young generation
         self.ending = lru_cache(maxsize=10_000)(lambda e: self._whole([e])[0])
 
@@ -95,44 +105,56 @@ class WordCoder:
         flat, at = ids.tobytes(), (4 * cut).tolist()
         return [flat[a:b] for a, b in zip([0, *at[:-1]], at)]
 
-    def learn(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words, none of which is empty or has white space in it."""
-        shapes = self.SHAPE.findall(b"\n".join(words).decode().lower())
-        if len(shapes) != len(words):  # a character that splits lines or lower-cases into one
-            shapes = [("", "")] * len(words)
-        cores = dict.fromkeys(core for core, _ in shapes if core)
-        some = list(cores)
-        for s in range(0, len(some), 1000):
-            cores.update(zip(some[s : s + 1000], self._letters(some[s : s + 1000])))
-        rest = [w.decode() for w, (core, _) in zip(words, shapes) if not core]
-        whole = iter([x for s in range(0, len(rest), 1000) for x in self._whole(rest[s : s + 1000])])
-        return [(cores[core] + self.ending(end) if end else cores[core]) if core else next(whole) for core, end in shapes]
+    def learn(self, letters: list[str], others: list[str]) -> dict[str, bytes]:
+        """Ids of words of plain lower-case letters and of other words, none of which is empty or has white space in it."""
+        out = {}
+        for words, coded in ((letters, self._letters), (others, self._whole)):
+            for s in range(0, len(words), 1000):
+                out.update(zip(words[s : s + 1000], coded(words[s : s + 1000])))
+        return out
 
-    def encode_many(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, given and returned as bytes."""
-        cut = [t.split() for t in texts]  # at the six ASCII spaces; other ones stay inside a word
+    def _ids(self, keys: list[str], plain: np.ndarray) -> list[bytes]:
+        """Ids of distinct words, remembered or learned."""
         if self.held > REMEMBERED_BYTES:
             self.old.clear()
             self.old.update(self.known)
             self.known.clear()
         if not self.known:  # also when another operator has emptied the tables
             self.held = 0
-        rows, missing = [list(map(self.known.get, c)) for c in cut], set()
-        for c, r in zip(cut, rows):
-            if None in r:
-                missing.update([w for w, x in zip(c, r) if x is None])
-        found, new = {}, []
-        for w in missing:
-            x = self.old.get(w)
+        ids, found, new = list(map(self.known.get, keys)), {}, ([], [])
+        for i in [i for i, x in enumerate(ids) if x is None]:
+            x = self.old.get(keys[i]) if keys[i] else b""  # white space at the edge of a text leaves an empty word
             if x is None:
-                new.append(w)
+                new[0 if plain[i] else 1].append(keys[i])
             else:
-                found[w] = x
-        if new:
-            found.update(zip(new, self.learn(new)))
+                found[keys[i]] = x
+        if new[0] or new[1]:
+            found.update(self.learn(*new))
         self.known.update(found)
-        self.held += len(b"".join(found)) + len(b"".join(found.values())) + ENTRY_BYTES * len(found)
-        return [b"".join([found[w] if x is None else x for w, x in zip(c, r)] if None in r else r) for c, r in zip(cut, rows)]
+        self.held += len("".join(found).encode()) + len(b"".join(found.values())) + ENTRY_BYTES * len(found)
+        return [found[k] if x is None else x for k, x in zip(keys, ids)] if found else ids
+
+    def encode_many(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, given and returned as bytes."""
+        cut = pc.ascii_split_whitespace(pa.array(texts, pa.string()))  # at the six ASCII spaces; other ones stay inside a word
+        words = cut.flatten().dictionary_encode()
+        listed = lambda a: a.to_numpy(zero_copy_only=False).tolist()  # noqa: E731  in one step, not value by value
+        lower = pa.array("\n".join(listed(words.dictionary)).lower().split("\n"), pa.string()) if len(words) else words.dictionary
+        core = pc.utf8_rtrim(lower, characters=self.ENDINGS)
+        plain = pc.match_substring_regex(core, self.SHAPE)
+        keys = pc.if_else(plain, core, words.dictionary).dictionary_encode()
+        ends = pc.if_else(plain, pc.utf8_ltrim(lower, characters=self.PLAIN), "").dictionary_encode()
+        key_at, end_at = keys.indices.to_numpy(), ends.indices.to_numpy()
+        shape = np.zeros(len(keys.dictionary), dtype=bool)
+        shape[key_at] = plain.to_numpy(zero_copy_only=False)
+        parts = self._ids(listed(keys.dictionary), shape) + [self.ending(e) if e else b"" for e in listed(ends.dictionary)]
+        # a word is its letters' ids and its ending's; a text is its words'
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+        flat, upto = _gathered(np.frombuffer(b"".join(parts), dtype="<u4"), sizes, np.stack([key_at, len(shape) + end_at], axis=1).ravel())
+        flat, upto = _gathered(flat, np.diff(upto[1::2], prepend=0), words.indices.to_numpy())
+        at = np.concatenate([[0], 4 * upto])[cut.offsets.to_numpy()].tolist()
+        ids = flat.tobytes()
+        return [ids[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
 @lru_cache(maxsize=2)

@@ -110,6 +110,15 @@ def test_words_one_by_one_equal_whole_texts():
     assert coder.encode_many([t.encode() for t in texts]) == [np.array(public.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
 
 
+def test_plain_words_are_remembered_by_their_letters():
+    coder, public = WordCoder(PATH), Tokenizer.from_file(PATH)
+    texts = ["Wording wording. WORDING, wording%%%", " wording;*** \n", "", "wording's wording"]
+    want = [np.array(public.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert coder.encode_many([t.encode() for t in texts]) == want
+    assert {k for k in coder.known if k} == {"wording", "wording's"}
+    assert coder.encode_many([]) == [] and coder.encode_many([b""]) == [b""]
+
+
 def test_operator(spark):
     df, size = awkward(spark), 64
     public = Tokenizer.from_file(PATH)
