@@ -136,3 +136,7 @@ def test_learning_curve_fits_in_tasks_agree_with_the_estimator(spark, frames):
     sample = md.run_samples(tr, [30, 200], 2).filter("run = 1 AND _r <= 30").drop("run", "_r")
     m = md.train_and_evaluate(sample, te, spec)[0].first()
     assert abs(curve[(1, 30, "precision")] - m["precision"]) < 1e-9 and abs(curve[(1, 30, "recall")] - m["recall"]) < 1e-9
+
+
+def test_forest_rows_remember_their_nodes():
+    assert md.make_estimator({"type": "RandomForest"}).getCacheNodeIds()
