@@ -140,3 +140,15 @@ def test_learning_curve_fits_in_tasks_agree_with_the_estimator(spark, frames):
 
 def test_forest_rows_remember_their_nodes():
     assert md.make_estimator({"type": "RandomForest"}).getCacheNodeIds()
+
+
+def test_large_forest_is_fitted_in_groups(spark, frames, monkeypatch):
+    train, test = frames
+    test, made, plain = test.unionByName(test), [], md.make_estimator
+    monkeypatch.setattr(md, "FOREST_NODES", 2 * train.count() * 3)  # three trees a group
+    monkeypatch.setattr(md, "make_estimator", lambda spec, *a, **k: made.append((spec["n_estimators"], k["seed"])) or plain(spec, *a, **k))
+    got = md.fit_predict(train, test, {"type": "RandomForest", "n_estimators": 8, "criterion": "gini"}, seed=5)
+    rows = got.collect()
+    assert [n for n, _ in made] == [3, 3, 2] and len({s for _, s in made}) == 3
+    assert len(rows) == test.count() and all(0 <= r["score"] <= 1 for r in rows)
+    assert sum((r["score"] > 0.5) == (r["label"] == 1) for r in rows) > 0.8 * len(rows)
