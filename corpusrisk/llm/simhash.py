@@ -111,8 +111,9 @@ def links(prints: DataFrame, bits: int = MAX_BITS, block: int = BLOCK) -> DataFr
     sizes = sizes.filter((F.col("n") > 1) & (is_first | ((F.col("ones") > 0) & (F.col("ones") < F.col("n")))))
     sizes = sizes.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    # merged: Spark takes the 64 rows of a print for one, so it would broadcast the index of a small table
     dealt = (
-        index.join(sizes, "key")
+        index.hint("merge").join(sizes, "key")
         .withColumn("mine", mine)
         .select("key", "side", "fp", "mine", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
         .select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "side", "fp")

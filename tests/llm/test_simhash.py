@@ -52,6 +52,12 @@ def test_links_connect_all_within_three_bits(spark):
         assert classes(prints, lambda a, b: frozenset((a, b)) in linked) == want
 
 
+def test_the_index_of_variants_is_never_broadcast(spark):
+    df = spark.range(100).withColumnRenamed("id", "fp")  # its size is known, and that of its 64 variants a print taken for the same
+    plan = links(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_near_copies_form_components(spark):
     rnd = random.Random(5)
     w = words(6, 300)
