@@ -14,6 +14,10 @@ when the validation loss has not improved for some epochs; losses per epoch come
 exchange takes about a second whatever it carries (Spark looks for its end once a second), so steps are
 large: by default one per epoch, over all rows, with the validation sums in the same exchange.
 
+Every task gets the messages of all.  The gradients of the embedding grow with the vocabulary, so above
+``EXCHANGED`` bytes they are exchanged and applied one range of token ids after another; the ranges follow
+from the numbers of entries, which all tasks exchange first.
+
 Parameters are bounded by the vocabulary, which its thresholds bound; ``MAX_PARAMETERS`` is checked.  A
 task's memory holds its share of the token ids; more data asks for more tasks (``workers``).
 """
@@ -40,6 +44,8 @@ from corpusrisk.session import ensure_checkpoint_dir, pin
 MAX_PARAMETERS = 20_000_000
 UNIT = float(1 << 40)  # whole parts of a gradient entry
 HELD = 1 << 14  # token ids whose embedding gradients are held before they are added up
+EXCHANGED = 24 << 20  # bytes of embedding gradients, of all tasks together, that one exchange carries
+RANGE = 256  # neighbouring token ids whose entries go into one exchange
 
 
 @dataclass(frozen=True)
@@ -156,7 +162,7 @@ def _summed(rows, w: dict, spec: SequenceSpec, epoch: int):
         at.append(under)
         values.append(_whole(e))
         held += len(under)
-        if held >= max(HELD, len(ids)):
+        if held >= max(HELD, len(ids) // 2):
             ids, embed = _folded(ids, embed, at, values)
             at, values, held = [], [], 0
     if at:
@@ -170,11 +176,29 @@ class _Adam:
         self.m, self.v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
 
     def apply(self, w: dict, g: dict) -> None:
+        """Begin a step with the gradients of some parameters."""
         self.step += 1
         for k, x in g.items():
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.001 * (x * x - self.v[k])
-            w[k] -= self.rate * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.v[k] / (1 - 0.999**self.step)) + 1e-7)
+            self.move(w, k, slice(None), x)
+
+    def move(self, w: dict, k: str, at: slice, x: np.ndarray) -> None:
+        """The step of some rows of parameter ``k``."""
+        m, v = self.m[k][at], self.v[k][at]
+        m += 0.1 * (x - m)
+        v += 0.001 * (x * x - v)
+        w[k][at] -= self.rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.999**self.step)) + 1e-7)
+
+
+def _spans(entries: np.ndarray, each: int, n: int) -> list[tuple[int, int]]:
+    """Ranges of token ids 0 to ``n`` - 1, each with at most ``EXCHANGED`` bytes of entries or ``RANGE`` ids;
+    ``entries``: how many all tasks have in every ``RANGE`` ids."""
+    out, first, held = [], 0, 0
+    for i, c in enumerate(entries.tolist()):
+        if held and (held + c) * each > EXCHANGED:
+            out.append((first * RANGE, i * RANGE))
+            first, held = i, 0
+        held += c
+    return [*out, (first * RANGE, n)]
 
 
 def shuffled(number: np.ndarray, n: int, epoch: int, seed: int) -> np.ndarray:
@@ -187,9 +211,9 @@ def shuffled(number: np.ndarray, n: int, epoch: int, seed: int) -> np.ndarray:
     return np.array([(int(i) * factor + shift) % n for i in number], dtype=np.int64)
 
 
-def train(rows, n_train: int, n_valid: int, spec: SequenceSpec, gather):
-    """Train on this task's ``rows`` (number, ids, label); ``gather`` exchanges one object with all tasks.
-    Yields one dict per epoch; the last one carries the best parameters."""
+def train(rows, n_train: int, n_valid: int, spec: SequenceSpec, gather, tasks: int = 1, keeps: bool = True):
+    """Train on this task's ``rows`` (number, ids, label); ``gather`` exchanges one object with all ``tasks``.
+    Yields one dict per epoch; the last one carries the best parameters, if this task ``keeps`` them."""
     own = [r for r in rows if r[0] < n_train]
     tail = [r for r in rows if r[0] >= n_train]
     number = np.array([r[0] for r in own], dtype=np.int64)
@@ -197,6 +221,8 @@ def train(rows, n_train: int, n_valid: int, spec: SequenceSpec, gather):
     adam, best, waited, kept = _Adam(w, spec.learning_rate), math.inf, 0, w
     batch = min(spec.batch_size or n_train, n_train)
     loss = None
+    each = 8 * (1 + spec.embed_dim)  # bytes of an entry of the embedding's gradient: id and row
+    whole = spec.vocab_size * each * tasks <= EXCHANGED
     for epoch in range(spec.max_epochs + 1):
         # the validation sums of the epoch before travel with the first gradients of this one
         seen = [(logit(w, x, spec), y) for _, x, y in tail] if epoch else []
@@ -206,13 +232,13 @@ def train(rows, n_train: int, n_valid: int, spec: SequenceSpec, gather):
         edges = np.searchsorted(place[order], np.arange(0, n_train + batch, batch))
         total = 0
         for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
-            step = _summed([own[i] for i in order[lo:hi]] if epoch < spec.max_epochs else [], w, spec, epoch)
-            parts = gather((step, checked))
+            some, dense, ids, embed = _summed((own[i] for i in order[lo:hi]) if epoch < spec.max_epochs else [], w, spec, epoch)
+            parts = gather((some, dense, (ids, embed) if whole else np.bincount(ids // RANGE, minlength=-(-spec.vocab_size // RANGE)), checked))
             if epoch and not b:
-                val_loss = sum(c[0] for _, c in parts) / UNIT / n_valid if n_valid else loss
-                val_accuracy = sum(c[1] for _, c in parts) / n_valid if n_valid else None
+                val_loss = sum(p[3][0] for p in parts) / UNIT / n_valid if n_valid else loss
+                val_accuracy = sum(p[3][1] for p in parts) / n_valid if n_valid else None
                 if val_loss < best - spec.es_min_delta:
-                    best, waited, kept = val_loss, 0, {k: v.copy() for k, v in w.items()}
+                    best, waited, kept = val_loss, 0, {k: v.copy() for k, v in w.items()} if keeps else None
                 else:
                     waited += 1
                 last = waited >= spec.es_patience or epoch == spec.max_epochs
@@ -220,13 +246,19 @@ def train(rows, n_train: int, n_valid: int, spec: SequenceSpec, gather):
                 if last:
                     return
             size = min(batch, n_train - b * batch)
-            g = {k: sum(p[1][k] for p, _ in parts) / (UNIT * size) for k in parts[0][0][1]}
-            embed = np.zeros(w["embed"].shape, np.int64)
-            for (_, _, ids, values), _ in parts:
-                embed[ids] += values
-            g["embed"] = embed / (UNIT * size)
-            adam.apply(w, g)
-            total += sum(p[0] for p, _ in parts)
+            adam.apply(w, {k: sum(p[1][k] for p in parts) / (UNIT * size) for k in dense})
+            total += sum(p[0] for p in parts)
+            for start, stop in [(0, spec.vocab_size)] if whole else _spans(sum(p[2] for p in parts), each, spec.vocab_size):
+                at = np.searchsorted(ids, [start, stop])
+                found = [p[2] for p in parts] if whole else gather((ids[at[0] : at[1]], embed[at[0] : at[1]]))
+                for s in range(start, stop, max(1, EXCHANGED // each)):  # what a task adds up at a time
+                    e = min(stop, s + max(1, EXCHANGED // each))
+                    g = np.zeros((e - s, spec.embed_dim), np.int64)
+                    for i, values in found:
+                        x, y = np.searchsorted(i, [s, e])
+                        g[i[x:y] - s] += values[x:y]
+                    adam.move(w, "embed", slice(s, e), g / (UNIT * size))
+            parts = found = ids = embed = None  # not held while the next gradients are added up
         loss = total / UNIT / n_train
 
 
@@ -238,7 +270,10 @@ def fit(df: DataFrame, spec: SequenceSpec, workers: int | None = None, tokens: s
     """Parameters and the history ``(epoch, loss, val_loss, val_accuracy)`` of a training on ``df``."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("string").alias("_id"), F.col(tokens).cast("array<long>").alias("x"), F.col(y).cast("double").alias("y"))
-    numbered = pin(dense_index(rows.withColumn("_u", rand.uniform(spec.seed, F.col("_id"))), ["_u", "_id", F.hash("x", "y")], "number").select("number", "x", "y"))
+    # of a long row only the last ids count, see prepared(); the place of a row follows from all of them
+    last = F.slice("x", F.greatest(F.size("x") - spec.max_length + 1, F.lit(1)), F.lit(spec.max_length)).cast("array<int>")
+    placed = rows.select("_id", rand.uniform(spec.seed, F.col("_id")).alias("_u"), F.hash("x", "y").alias("_h"), last.alias("x"), "y")
+    numbered = pin(dense_index(placed, ["_u", "_id", "_h"], "number").select("number", "x", "y"))
     n = numbered.count()
     n_valid = int(n * spec.validation_split)
     n_train = n - n_valid
@@ -252,8 +287,9 @@ def fit(df: DataFrame, spec: SequenceSpec, workers: int | None = None, tokens: s
 
         context = BarrierTaskContext.get()
         own = [(i, _narrow(prepared(x, spec)), t) for b in batches for i, x, t in zip(b.column(0).to_pylist(), _id_rows(b.column(1)), b.column(2).to_pylist())]
-        for e in train(own, n_train, n_valid, spec, _gatherer(context)):
-            if context.partitionId() == 0:
+        first = context.partitionId() == 0
+        for e in train(own, n_train, n_valid, spec, _gatherer(context), tasks, first):
+            if first:
                 model = pickle.dumps(e["model"]) if e["model"] else None
                 yield pa.RecordBatch.from_pylist([{**e, "model": model}], schema=pa.schema([("epoch", pa.int32()), ("loss", pa.float64()), ("val_loss", pa.float64()), ("val_accuracy", pa.float64()), ("model", pa.binary())]))
 

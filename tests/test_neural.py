@@ -1,5 +1,6 @@
 """The trained sequence model: gradients, one model however rows are dealt, early stopping, history."""
 
+import pickle
 import random
 
 import numpy as np
@@ -155,3 +156,32 @@ def test_rows_of_an_arrow_column():
     lists = pa.array([[9], [1, 2], None, [], [3, 1 << 40]], pa.list_(pa.int64())).slice(1)
     assert [list(x) for x in nn._id_rows(lists)] == [[1, 2], [], [], [3, 1 << 40]]
     assert nn._narrow(np.array([1, 2])).dtype == np.int32 and nn._narrow(np.array([1 << 40]))[0] == 1 << 40
+
+
+def test_an_exchange_is_bounded_whatever_the_vocabulary(monkeypatch):
+    """Above the bound the embedding's gradients go in several exchanges, and the model stays the same."""
+    spec = nn.SequenceSpec(vocab_size=5000, embed_dim=16, max_epochs=2)
+    rnd = np.random.default_rng(5)
+    data = [(i, rnd.integers(0, 5000, 60), float(i % 2)) for i in range(60)]
+    sizes = []
+
+    def gather(x):
+        sizes.append(len(pickle.dumps(x, protocol=5)))
+        return [x]
+
+    once = list(nn.train(data, 50, 10, spec, gather))
+    assert len(sizes) == 3 and max(sizes) > 200_000  # one exchange for each epoch and one for the last losses
+    monkeypatch.setattr(nn, "EXCHANGED", 1 << 16)
+    sizes.clear()
+    often = list(nn.train(data, 50, 10, spec, gather))
+    assert max(sizes) < 100_000
+    assert [e["loss"] for e in once] == [e["loss"] for e in often]
+    assert all((once[-1]["model"][k] == often[-1]["model"][k]).all() for k in once[-1]["model"])
+
+
+def test_long_rows_are_cut_before_they_are_dealt(spark):
+    df = spark.createDataFrame([(f"f{i}", [i % 7] * 30 + [7, 8][: i % 3], i % 2) for i in range(20)], "file string, tokens array<int>, y int")
+    spec = nn.SequenceSpec(vocab_size=12, embed_dim=3, conv_filters=4, conv_kernel_size=3, max_epochs=1, max_length=4)
+    short = df.selectExpr("file", "slice(tokens, -4, 4) AS tokens", "y")
+    one, two = nn.fit(df, spec, workers=2)[0], nn.fit(short, spec, workers=2)[0]
+    assert all((one[k] == two[k]).all() for k in one)
